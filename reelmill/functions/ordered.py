@@ -1,10 +1,10 @@
 """Ordered per-key computations that survive a key holding a large share of all rows.
 
-A plain window over ``partitionBy(video)`` sends a whole video to one task. Here a *heavy* key (more than
-``share`` of all rows and more than ``floor`` rows) is cut into slices by an expression that never decreases along the order, e.g. the
-hour of media time. Every slice is a window of its own; what crosses a slice border (row count, running sum,
-neighbour value) comes from one summary row per slice. Light keys get a single NULL slice and behave like
-the plain window, so the result is the same either way.
+A plain window over ``partitionBy(video)`` sends a whole video to one task, which is right until one video is huge.
+:func:`find_heavy` counts rows per key once (a column-pruned, map-side combined aggregate) and names the *heavy* keys. Without any,
+:func:`ordered_scan` is the plain window. With some, their rows are cut into slices by an expression that never decreases along the
+order, e.g. the hour of media time: every slice is a window of its own, and what crosses a slice border (row
+count, running sum, neighbour value) comes from one summary row per slice. The result is the same either way.
 """
 
 from __future__ import annotations
@@ -14,19 +14,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.materialize import materialize
+
 HEAVY_FLOOR = 1_000_000
-# At most 1/HEAVY_SHARE keys can be heavy, which bounds every broadcast of the heavy-key list.
+# A heavy key also holds more than this share of all rows, so there are at most 1/HEAVY_SHARE heavy keys:
+# the bound on every broadcast of the heavy-key list.
 HEAVY_SHARE = 1e-5
+AUTO = "auto"
 
 
-def heavy_keys(
+def find_heavy(
     df: DataFrame, keys: list[str], floor: int = HEAVY_FLOOR, share: float = HEAVY_SHARE
-) -> DataFrame:
-    """Keys holding more than ``floor`` rows and more than ``share`` of all rows (<= 1/share keys)."""
+) -> DataFrame | None:
+    """Keys with more than ``floor`` rows and more than ``share`` of all rows; None when there is no such key."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    limit = F.greatest(F.lit(float(floor)), F.coalesce(total, F.lit(0)) * F.lit(share))
-    return counts.where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_heavy"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(floor, (total or 0) * share)
+    if (most or 0) <= limit:
+        return None
+    return materialize(counts.where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_heavy")))
+
+
+def resolve_heavy(heavy: DataFrame | None | str, df: DataFrame, keys: list[str]) -> DataFrame | None:
+    return find_heavy(df, keys) if isinstance(heavy, str) else heavy
 
 
 @dataclass(frozen=True)
@@ -48,17 +58,24 @@ def ordered_scan(
     order: list[Column],
     slice_by: Column,
     outputs: list[Ordered],
-    floor: int = HEAVY_FLOOR,
-    heavy: DataFrame | None = None,
+    heavy: DataFrame | None | str = AUTO,
 ) -> DataFrame:
-    """Add ordered per-key columns to ``df``; ``order`` holds ascending expressions and must be total."""
+    """Add ordered per-key columns to ``df``; ``order`` holds ascending expressions and must be total.
+
+    Pass the result of :func:`find_heavy` on the base table as ``heavy`` when several scans follow each other.
+    """
+    heavy = resolve_heavy(heavy, df, keys)
     if heavy is None:
-        heavy = heavy_keys(df, keys, floor)
+        return _plain_scan(df, keys, order, outputs)
     inputs = {o.name: f"_in_{i}" for i, o in enumerate(outputs) if o.value is not None}
-    marked = df.join(F.broadcast(heavy), keys, "left").withColumns(
-        {"_slice": F.when(F.col("_heavy"), slice_by)}
-        | {inputs[o.name]: o.value for o in outputs if o.value is not None}
-        | {f"_ord_{i}": c for i, c in enumerate(order)}
+    marked = (
+        materialize(df)  # read by the rows and by the border summary
+        .join(F.broadcast(heavy), keys, "left")
+        .withColumns(
+            {"_slice": F.when(F.col("_heavy"), slice_by)}
+            | {inputs[o.name]: o.value for o in outputs if o.value is not None}
+            | {f"_ord_{i}": c for i, c in enumerate(order)}
+        )
     )
     position = F.struct(*[f"_ord_{i}" for i in range(len(order))])
     in_slice = Window.partitionBy(*keys, "_slice")
@@ -128,3 +145,20 @@ def ordered_scan(
     scanned = marked.select("*", *[c.alias(n) for n, c in local.items()])
     joined = scanned.join(borders, [*keys, "_slice"], "left")
     return joined.select(*df.columns, *[c.alias(n) for n, c in merged.items()])
+
+
+def _plain_scan(df: DataFrame, keys: list[str], order: list[Column], outputs: list[Ordered]) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    along = group.orderBy(*order)
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    make = {
+        "row_number": lambda v: F.row_number().over(along).cast("long"),
+        "sum": lambda v: F.sum(v).over(upto),
+        "lag": lambda v: F.lag(v).over(along),
+        "lead": lambda v: F.lead(v).over(along),
+        "last": lambda v: F.last(v, ignorenulls=True).over(upto),
+        "count_all": lambda v: F.count(F.lit(1)).over(group),
+        "min_all": lambda v: F.min(v).over(group),
+        "max_all": lambda v: F.max(v).over(group),
+    }
+    return df.select("*", *[make[o.kind](o.value).alias(o.name) for o in outputs])

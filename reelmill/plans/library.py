@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import epoch_micros, search_tokens, stable_uuid
-from reelmill.functions.ordered import Ordered, heavy_keys, ordered_scan
+from reelmill.functions.ordered import Ordered, ordered_scan
 
 # Scene labels given to the five event types.
 SCENE_OF_EVENT = {
@@ -73,6 +73,7 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
         [F.col("line_no")],
         F.floor(F.col("line_no") / 4096),
         [Ordered("upto", "sum", F.length("line"))],
+        heavy=None,  # the lines of a document come from one row, so the group is never larger than that row
     )
     return timed.select(
         "video_no",
@@ -276,5 +277,26 @@ def window_vectors(spark: SparkSession, sf_dir: str, windows: DataFrame) -> Data
     return keyed.join(emb, "vec_id").drop("vec_id")
 
 
-def heavy_videos(df: DataFrame) -> DataFrame:
-    return heavy_keys(df, ["video_no"])
+def frame_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-minute segments over the videos of :func:`frames`."""
+    return (
+        frame_videos(spark, sf_dir)
+        .withColumn("seg_index", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_sec") / 240).cast("int"))))
+        .select(
+            "video_no",
+            "seg_index",
+            (F.col("seg_index") * 240.0).alias("start_sec"),
+            F.least((F.col("seg_index") + 1) * 240.0, F.col("duration_sec")).alias("end_sec"),
+            "is_silent",
+        )
+    )
+
+
+def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-minute segments over the videos of :func:`transcript`."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_no"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 960).cast("int"))).alias("seg_index")
+    )
+    return docs.select(
+        "video_no", "seg_index", (F.col("seg_index") * 60.0).alias("start_sec"), ((F.col("seg_index") + 1) * 60.0).alias("end_sec")
+    )
