@@ -300,3 +300,13 @@ def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "video_no", "seg_index", (F.col("seg_index") * 60.0).alias("start_sec"), ((F.col("seg_index") + 1) * 60.0).alias("end_sec")
     )
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector per label (6 decimals), numbered by label."""
+    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.bround(F.avg(F.col("x").cast("double")), 6).alias("m"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
+    return means.groupBy("label").agg(ordered.alias("vector")).select(
+        F.col("label").alias("label_no"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("label"), "vector"
+    )
