@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the URL namespace of RFC 4122, as hex.
@@ -99,3 +99,12 @@ def clock_label(sec: Column) -> Column:
     """m:ss of a position in seconds."""
     whole = F.floor(sec)
     return F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column as a one-row generator.
+
+    Later filters and projections then refer to the generated value; as a plain alias the optimizer would copy the
+    expression into each of them.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
