@@ -36,14 +36,20 @@ def _strict(candidate: Column) -> Column:
 
 
 def strict_fields(body: Column) -> Column:
-    """Fields of the first way to close the text that is valid: as is, ``}``, ``"}``, ``"}}``, or cut at the last ``}``."""
+    """Fields of the first way to close the text that is valid: as is, ``}``, ``"}``, ``"}}``, or cut at the last ``}``.
+
+    A failed parse is costly, so ways that cannot be valid are left out first: an object ends in a brace, and its
+    unescaped quotes come in pairs.
+    """
+    open_quote = F.length(F.regexp_replace(body, r'\\.|[^"]', "")) % 2 == 1
+    closed = F.regexp_like(body, F.lit(r"\}\s*$"))
     cut = F.regexp_extract(body, r"(?s)^(.*\})", 1)
     return F.coalesce(
-        _strict(body),
-        _strict(F.concat(body, F.lit("}"))),
-        _strict(F.concat(body, F.lit('"}'))),
-        _strict(F.concat(body, F.lit('"}}'))),
-        _strict(cut),
+        F.when(closed & ~open_quote, _strict(body)),
+        F.when(~open_quote, _strict(F.concat(body, F.lit("}")))),
+        F.when(open_quote, _strict(F.concat(body, F.lit('"}')))),
+        F.when(open_quote, _strict(F.concat(body, F.lit('"}}')))),
+        F.when(~closed & (cut != ""), _strict(cut)),
     )
 
 
@@ -69,9 +75,8 @@ def recovered_fields(body: Column) -> Column:
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
 
 
-def parse_model_json(raw: Column, body: Column, strict: Column) -> Column:
+def parse_model_json(raw: Column, body: Column, strict: Column, rec: Column) -> Column:
     """Parsed answer: ``status`` (strict / recovered / error), ``fields``, ``tags``, ``subtopics``, ``error``."""
-    rec = recovered_fields(body)
     usable = truthy(rec["topic"]).isNotNull() | truthy(rec["summary"]).isNotNull()
     none = F.lit(None)
 
@@ -102,7 +107,10 @@ def with_parsed(answers: DataFrame, raw: str, out: str) -> DataFrame:
     body, strict = f"_body_{out}", f"_strict_{out}"
     df = once(answers, body, json_body(F.col(raw)))
     df = once(df, strict, strict_fields(F.col(body)))
-    return once(df, out, parse_model_json(F.col(raw), F.col(body), F.col(strict))).drop(body, strict)
+    # the fallback runs only where the strict parse failed
+    rec = f"_rec_{out}"
+    df = once(df, rec, F.when(F.col(strict).isNull(), recovered_fields(F.col(body))))
+    return once(df, out, parse_model_json(F.col(raw), F.col(body), F.col(strict), F.col(rec))).drop(body, strict, rec)
 
 
 def finalize_tags(parsed: Column, is_silent: Column) -> Column:
@@ -158,7 +166,8 @@ def recover_failed_rows(stored: DataFrame) -> DataFrame:
     keys = ["topic", "subject", "grade_level", "difficulty", "content_type", "summary"]
     failed = once(stored.where(F.col("parse_error").isNotNull()), "_body", json_body(F.col("parse_error")))
     failed = once(failed, "_strict", strict_fields(F.col("_body")))
-    rec = recovered_fields(F.col("_body"))
+    failed = once(failed, "_rec", F.when(F.col("_strict").isNull(), recovered_fields(F.col("_body"))))
+    rec = F.col("_rec")
     is_strict = F.col("_strict").isNotNull()
     return failed.select(
         *[c for c in stored.columns if c != "parse_error"],
