@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,37 +16,51 @@ from reelmill.functions.columns import round_even, search_tokens
 
 TOP_KEYWORDS = 20
 TOP_ENTITIES = 40
+MIN_CHARS, MAX_CHARS = 2, 40
 
 
-def phrases(tokens: Column) -> Column:
-    """Single tokens and neighbouring pairs of 2 to 40 characters."""
-    pairs = F.zip_with(
-        F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.filter(F.concat(tokens, pairs), lambda p: F.length(p).between(2, 40))
+def _counts(tokens: list[str]) -> dict[str, int]:
+    """Occurrences of tokens and neighbouring pairs of 2 to 40 characters in one text."""
+    seen = Counter(tokens)
+    seen.update(map(" ".join, pairwise(tokens)))
+    return {p: n for p, n in seen.items() if MIN_CHARS <= len(p) <= MAX_CHARS}
 
 
-def _phrase_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Count per (text, phrase). A text explodes inside one task, so counts are combined before they are shuffled."""
-    listed = docs.select(key, phrases(tokens).alias("p"))
-    return (
-        listed.select(key, F.size("p").alias("total"), F.explode("p").alias("phrase"))
-        .groupBy(key, "phrase", "total")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def phrase_counts(docs: DataFrame, key: str, tokens: Column, top: int | None = None) -> DataFrame:
+    """Count per (text, phrase) with the text's ``total``; only the ``top`` most frequent ones if given.
+
+    All phrases of a text come from its one row, so they are counted where the row is and nothing is shuffled.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids: list = []
+            found: list[tuple[str, int, int, int]] = []
+            for doc, words in zip(pdf[key], pdf["tokens"], strict=True):
+                seen = _counts(words.split(" ") if words else [])
+                total = sum(seen.values())
+                items = seen.items()
+                if top is None:
+                    ranked = [(p, n, total, 0) for p, n in items]
+                else:
+                    best = heapq.nsmallest(top, items, key=lambda x: (-x[1], x[0].encode()))
+                    ranked = [(p, n, total, i) for i, (p, n) in enumerate(best, start=1)]
+                ids.extend([doc] * len(ranked))
+                found.extend(ranked)
+            out = pd.DataFrame(found, columns=["phrase", "n", "total", "place"])
+            out.insert(0, key, pd.Series(ids, dtype=pdf[key].dtype))
+            yield out
+
+    kind = docs.schema[key].dataType.simpleString()
+    # one string per text crosses to Python, not one per token
+    listed = docs.select(key, F.array_join(tokens, " ").alias("tokens"))
+    return listed.mapInPandas(count, f"{key} {kind}, phrase string, n long, total long, place int")
 
 
 def keyword_share(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) -> DataFrame:
     """Most frequent phrases of each text with their share; ties by phrase."""
-    counts = _phrase_counts(docs, key, search_tokens(F.col("text")))
-    place = Window.partitionBy(key).orderBy(F.desc("n"), "phrase")
-    return (
-        counts.withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= top)
-        .select(key, "phrase", round_even(F.col("n") / F.col("total"), 3).alias("score"), "place")
-    )
+    counts = phrase_counts(docs, key, search_tokens(F.col("text")), top)
+    return counts.select(key, "phrase", round_even(F.col("n") / F.col("total"), 3).alias("score"), "place")
 
 
 def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) -> DataFrame:
@@ -53,7 +73,7 @@ def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) ->
     kept = StopWordsRemover(
         inputCol="all_tokens", outputCol="tokens", stopWords=StopWordsRemover.loadDefaultStopWords("english")
     ).transform(plain)
-    tf = _phrase_counts(kept, key, F.col("tokens"))
+    tf = phrase_counts(kept, key, F.col("tokens")).drop("place")
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     size = docs.agg(F.count(F.lit(1)).alias("size")).scalar()
     score = F.col("n") / F.col("total") * F.log((size + 1) / (F.col("df") + 1))

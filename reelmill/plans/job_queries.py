@@ -188,12 +188,12 @@ def reuse_stage_output(spark, sf_dir):
          (PARTITION BY doc_id ORDER BY n DESC, phrase) AS place FROM c) WHERE place <= 20""",
 )
 def keyword_share(spark, sf_dir):
-    return tx.keyword_share(lib.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tx.keyword_share(lib.texts(spark, sf_dir).select("doc_id", "text"))
 
 
 @query("keyphrases")
 def keyphrases(spark, sf_dir):
-    return tx.keyphrases(lib.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tx.keyphrases(lib.texts(spark, sf_dir).select("doc_id", "text"))
 
 
 @query(
@@ -204,7 +204,7 @@ def keyphrases(spark, sf_dir):
 )
 def entity_rollup(spark, sf_dir):
     found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))
-    mentions = lib.table(spark, sf_dir, "documents").select(
+    mentions = lib.texts(spark, sf_dir).select(
         "doc_id", F.explode(found).alias("mention"), F.col("lang").alias("label")
     )
     return tx.entity_rollup(mentions)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.columns import epoch_micros, search_tokens, stable_uuid
 from reelmill.functions.ordered import Ordered, ordered_scan
+from reelmill.sources.files import spread
 
 # Scene labels given to the five event types.
 SCENE_OF_EVENT = {
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores when the scan has fewer partitions than there are cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One item per document; even numbers play the stored catalogue, odd ones the incoming batch."""
     n = F.col("doc_id")
@@ -64,7 +70,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-stamped lines of every document; 16 characters take one second."""
-    lines = table(spark, sf_dir, "documents").select(
+    lines = texts(spark, sf_dir).select(
         F.col("doc_id").alias("video_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     timed = ordered_scan(
@@ -241,7 +247,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searchable segments: one per document, with a vector and the tokens of its text."""
     emb = table(spark, sf_dir, "embeddings")
     size = emb.count()  # answered from the parquet footers
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         F.col("doc_id").alias("video_no"), F.lit(0).alias("seg_index"), "text", "source", "lang", (F.col("doc_id") % F.lit(size)).alias("vec_id")
     )
     return docs.join(emb, "vec_id").select(
