@@ -94,7 +94,7 @@ def segment_timeline(segments: DataFrame, videos: DataFrame, key: str = "video_n
     length = videos.select(key, "duration_sec")
     total = F.when(F.col("duration_sec") > 0, F.col("duration_sec")).otherwise(F.col("last_end"))
     scale = ends.join(length, key, "left").select(key, total.alias("total"))
-    shown = F.coalesce(F.greatest(F.lit(0.15), F.least(F.lit(1.0), F.col("confidence"))), F.lit(0.5))
+    shown = F.greatest(F.lit(0.15), F.least(F.lit(1.0), F.col("confidence")))
     return segments.join(scale, key).select(
         key,
         "seg_index",

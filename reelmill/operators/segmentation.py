@@ -114,11 +114,10 @@ def knee_threshold(drops: DataFrame, heavy: Heavy = AUTO) -> DataFrame:
         heavy,
     )
     accepted = F.col("knee").isNotNull() & (after < F.col("level"))
-    return walked.groupBy(KEY).agg(
-        F.coalesce(
-            F.greatest(F.min_by("knee", F.when(accepted, F.col("i"))), F.lit(DROP_FLOOR)), F.lit(DROP_FALLBACK)
-        ).alias("threshold")
-    )
+    found = walked.groupBy(KEY).agg(F.min_by("knee", F.when(accepted, F.col("i"))).alias("knee"))
+    # greatest() skips NULLs, so a missing knee has to be tested for
+    threshold = F.when(F.col("knee").isNull(), DROP_FALLBACK).otherwise(F.greatest("knee", F.lit(DROP_FLOOR)))
+    return found.select(KEY, threshold.alias("threshold"))
 
 
 def cut_segments(drops: DataFrame, thresholds: DataFrame, videos: DataFrame, heavy: Heavy = AUTO) -> DataFrame:

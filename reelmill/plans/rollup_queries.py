@@ -259,7 +259,7 @@ def in_flight_board(spark, sf_dir):
     with_views(
         """SELECT video_no, seg_index, round_even(start_sec/total*100, 6)::DOUBLE AS left_pct,
              round_even(greatest((end_sec-start_sec)/total*100, 1.2::DOUBLE), 6)::DOUBLE AS width_pct,
-             coalesce(greatest(0.15::DOUBLE, least(1.0::DOUBLE, confidence)), 0.5::DOUBLE) AS shown_confidence
+             CASE WHEN confidence IS NULL THEN 0.5::DOUBLE ELSE greatest(0.15::DOUBLE, least(1.0::DOUBLE, confidence)) END AS shown_confidence
            FROM (SELECT *, CASE WHEN video_no % 2 = 0 THEN 512.0::DOUBLE ELSE greatest(max(end_sec) OVER (PARTITION BY video_no), 1.0::DOUBLE) END
                  AS total FROM segments)""",
         "segments",

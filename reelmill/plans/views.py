@@ -174,15 +174,15 @@ _view(
 _view(
     "thresholds",
     ["ranked_drops"],
-    """SELECT video_no, coalesce(greatest(arg_min(knee, i) FILTER (knee IS NOT NULL AND a < lev), 0.15::DOUBLE), 0.25::DOUBLE) AS threshold
-       FROM (SELECT *, last_value(CASE WHEN is_min THEN 0.0::DOUBLE WHEN is_max THEN d - 1.0::DOUBLE/(n-1) END IGNORE NULLS) OVER r AS lev,
+    """SELECT video_no, CASE WHEN k IS NULL THEN 0.25::DOUBLE ELSE greatest(k, 0.15::DOUBLE) END AS threshold
+       FROM (SELECT video_no, arg_min(knee, i) FILTER (knee IS NOT NULL AND a < lev) AS k FROM (SELECT *, last_value(CASE WHEN is_min THEN 0.0::DOUBLE WHEN is_max THEN d - 1.0::DOUBLE/(n-1) END IGNORE NULLS) OVER r AS lev,
                last_value(CASE WHEN is_max THEN drop END IGNORE NULLS) OVER r AS knee
              FROM (SELECT *, d IS NOT NULL AND coalesce(d >= b, true) AND coalesce(d >= a, true) AS is_max,
                      d IS NOT NULL AND coalesce(d <= b, true) AND coalesce(d <= a, true) AS is_min
                    FROM (SELECT *, lag(d) OVER (PARTITION BY video_no ORDER BY i) AS b, lead(d) OVER (PARTITION BY video_no ORDER BY i) AS a
                          FROM ranked_drops))
              WINDOW r AS (PARTITION BY video_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-       GROUP BY video_no""",
+       GROUP BY video_no)""",
 )
 _view(
     "cuts",

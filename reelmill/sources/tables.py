@@ -1,0 +1,47 @@
+"""Stored tables as numbered Parquet snapshots, for upserts without a table format that has MERGE."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+LOG = "version long, data string"
+
+
+class SnapshotTable:
+    """A table under one folder: ``data/v<N>`` holds snapshot N, and a row appended to ``log`` makes it current.
+
+    A reader sees the last committed snapshot; a job lost half way leaves an unlisted folder behind and nothing else. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+
+    def _current(self) -> tuple[int, str | None]:
+        try:
+            log = self.spark.read.schema(LOG).json(f"{self.folder}/log")
+            row = log.agg(F.max(F.struct("version", "data")).alias("last")).first()["last"]
+        except AnalysisException:  # no log yet
+            row = None
+        return (row["version"], row["data"]) if row else (0, None)
+
+    def read(self) -> DataFrame:
+        _, data = self._current()
+        if data is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(data)
+
+    def replace(self, rows: DataFrame, partition_by: list[str] | None = None) -> None:
+        version = self._current()[0] + 1
+        data = f"{self.folder}/data/v{version}"
+        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(data)
+        self.spark.createDataFrame([(version, data)], LOG).coalesce(1).write.mode("append").json(f"{self.folder}/log")
+
+    def update(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write ``change(current rows)`` as the next snapshot; the snapshot being read is never overwritten."""
+        self.replace(change(self.read()))
