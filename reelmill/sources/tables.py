@@ -18,8 +18,9 @@ class SnapshotTable:
     A reader sees the last committed snapshot; a job lost half way leaves an unlisted folder behind and nothing else. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType | str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
 
     def _current(self) -> tuple[int, str | None]:
         try:

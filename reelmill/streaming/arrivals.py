@@ -12,7 +12,7 @@ from reelmill.sources.tables import SnapshotTable
 
 
 def read_manifests(
-    spark: SparkSession, folder: str, schema: StructType, max_files: int = 1000, fmt: str = "json"
+    spark: SparkSession, folder: str, schema: StructType | str, max_files: int = 1000, fmt: str = "json"
 ) -> DataFrame:
     """Manifest rows of files that land in an inbox folder."""
     reader: DataStreamReader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
