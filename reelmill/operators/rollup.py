@@ -13,54 +13,53 @@ from reelmill.schemas import DIFFICULTIES
 PART_SEGMENTS = 500
 
 
-def _facet(name: str, value: Column, pos: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(name).alias("facet"), value.alias("value"), (F.lit(0) if pos is None else pos).cast("int").alias("pos")
-    )
+def _if(name: str, value: Column) -> Column:
+    return F.when(F.col("facet") == name, value)
+
 
+# Position of a value: segment number and place inside the segment in one sortable number.
+PLACES = 1 << 20
 
-def facet_values(segments: DataFrame, facets: list[Column], key: str = "video_no") -> DataFrame:
-    """Distinct (video, facet, value) with count, first position, best confidence and longest span.
 
-    Everything a video-level summary needs is in this table, and it combines map-side: a video with
-    very many segments reaches the shuffle only as its distinct values.
+def _placed_values(segments: DataFrame, facets: Column, key: str) -> DataFrame:
+    """Distinct (video, facet, value, span) with count and first position.
+
+    Keys and buffers are plain values, so this is a hash aggregate that combines map-side: a video with very many
+    segments reaches the shuffle only as its distinct values. ``span`` is set for facets that rank by length.
     """
     return (
-        segments.select(
-            key,
-            "seg_index",
-            F.inline(F.array_compact(F.array(*facets)) if len(facets) > 1 else F.array(*facets)),
-            "confidence",
-            (F.col("end_sec") - F.col("start_sec")).alias("span"),
-        )
-        .groupBy(key, "facet", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("seg_index", "pos")).alias("first"),
-            F.max(F.struct("confidence", (-F.col("seg_index")).alias("at"))).alias("best"),
-            F.max(F.struct("span", (-F.col("seg_index")).alias("at"))).alias("longest"),
-        )
+        segments.select(key, "seg_index", F.inline(facets))
+        .groupBy(key, "facet", "value", "span")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("seg_index").cast("long") * PLACES + F.col("pos")).alias("first"))
     )
 
 
-def _if(name: str, value: Column) -> Column:
-    return F.when(F.col("facet") == name, value)
+def _placed(name: str, value: Column, pos: Column | None = None, span: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(name).alias("facet"),
+        value.alias("value"),
+        (F.lit(0) if pos is None else pos).cast("int").alias("pos"),
+        (F.lit(None) if span is None else span).cast("double").alias("span"),
+    )
 
 
-def _present(name: str, col: str) -> Column:
-    """Facet struct of a text column, NULL when the text is missing or empty."""
-    return F.when(truthy(F.col(col)).isNotNull(), _facet(name, F.col(col)))
+def _if_truthy(name: str, col: str) -> Column:
+    return F.when(truthy(F.col(col)).isNotNull(), _placed(name, F.col(col)))
 
 
 def majority(name: str) -> Column:
     """Aggregate: most common value of a facet, first encountered on a tie."""
-    rank = F.struct(F.col("n"), -F.col("first.seg_index"), -F.col("first.pos"))
-    return F.max_by("value", _if(name, rank))
+    return F.max_by("value", _if(name, F.struct(F.col("n"), -F.col("first"))))
 
 
 def rollup_majority(segments: DataFrame, key: str = "video_no") -> DataFrame:
-    facets = [_present("subject", "subject"), _present("grade", "grade_level"), _facet("segment", F.lit(None).cast("string"))]
-    return facet_values(segments, facets, key).groupBy(key).agg(majority("subject").alias("subject"), majority("grade").alias("grade"))
+    nothing = F.lit(None).cast("string")
+    facets = F.array_compact(
+        F.array(_if_truthy("subject", "subject"), _if_truthy("grade", "grade_level"), _placed("segment", nothing))
+    )
+    return _placed_values(segments, facets, key).groupBy(key).agg(
+        majority("subject").alias("subject"), majority("grade").alias("grade")
+    )
 
 
 def video_rollup(segments: DataFrame, key: str = "video_no", export_times: bool = True) -> DataFrame:
@@ -68,46 +67,33 @@ def video_rollup(segments: DataFrame, key: str = "video_no", export_times: bool
 
     ``export_times`` measures segment length on one-decimal times as the document does; otherwise on raw times.
     """
+    start, end = F.col("start_sec"), F.col("end_sec")
     if export_times:
-        segments = segments.withColumns(
-            {"start_sec": round_even(F.col("start_sec"), 1), "end_sec": round_even(F.col("end_sec"), 1)}
-        )
-    small = F.array_compact(
+        start, end = round_even(start, 1), round_even(end, 1)
+    single = F.array_compact(
         F.array(
-            _present("subject", "subject"),
-            _present("grade", "grade_level"),
-            _present("difficulty", "difficulty"),
-            _present("topic", "topic"),
-            _facet("longest", F.col("topic")),
-        )
-    )
-    tags = F.filter(F.transform("tags", lambda t, i: _facet("tag", t, i)), lambda f: truthy(f["value"]).isNotNull())
-    rows = (
-        segments.select(
-            key,
-            "seg_index",
-            (F.col("end_sec") - F.col("start_sec")).alias("span"),
-            F.inline(F.concat(small, F.coalesce(tags, F.array().cast("array<struct<facet:string,value:string,pos:int>>")))),
-        )
-        .groupBy(key, "facet", "value")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("seg_index", "pos")).alias("first"),
-            F.max(_if("longest", F.struct("span", (-F.col("seg_index")).alias("at")))).alias("longest"),
+            _if_truthy("subject", "subject"),
+            _if_truthy("grade", "grade_level"),
+            _if_truthy("difficulty", "difficulty"),
+            _if_truthy("topic", "topic"),
+            _placed("longest", F.col("topic"), span=end - start),
         )
     )
+    tags = F.filter(F.transform("tags", lambda t, i: _placed("tag", t, i)), lambda f: truthy(f["value"]).isNotNull())
+    none = F.array().cast("array<struct<facet:string,value:string,pos:int,span:double>>")
+    rows = _placed_values(segments, F.concat(single, F.coalesce(tags, none)), key)
 
     def in_order(name: str) -> Column:
         found = F.sort_array(F.collect_list(_if(name, F.struct("first", "value"))))
         return F.transform(found, lambda x: x["value"])
 
-    hardness = F.struct(difficulty_rank(F.col("value"), DIFFICULTIES), -F.col("first.seg_index"))
+    hardness = F.struct(difficulty_rank(F.col("value"), DIFFICULTIES), -F.col("first"))
     return rows.groupBy(key).agg(
         F.sum(_if("longest", F.col("n"))).alias("segment_count"),
         majority("subject").alias("subject"),
         majority("grade").alias("grade"),
         F.max_by("value", _if("difficulty", hardness)).alias("difficulty"),
-        F.max_by("value", _if("longest", F.col("longest"))).alias("primary_topic"),
+        F.max_by("value", _if("longest", F.struct("span", -F.col("first")))).alias("primary_topic"),
         in_order("topic").alias("topics"),
         in_order("tag").alias("all_tags"),
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reelmill.functions.columns import first_truthy, once, round_even, truthy
-from reelmill.operators.rollup import _present, facet_values
 from reelmill.schemas import CORE_TAG_FIELDS, DEFAULT_TOPIC, TAG_STRING_FIELDS
 
 KEY = "video_no"
@@ -41,7 +40,8 @@ def strict_fields(body: Column) -> Column:
     A failed parse is costly, so ways that cannot be valid are left out first: an object ends in a brace, and its
     unescaped quotes come in pairs.
     """
-    open_quote = F.length(F.regexp_replace(body, r'\\.|[^"]', "")) % 2 == 1
+    unescaped = F.replace(F.replace(body, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    open_quote = (F.length(unescaped) - F.length(F.replace(unescaped, F.lit('"'), F.lit("")))) % 2 == 1
     closed = F.regexp_like(body, F.lit(r"\}\s*$"))
     cut = F.regexp_extract(body, r"(?s)^(.*\})", 1)
     return F.coalesce(
@@ -199,19 +199,24 @@ def dominant_value(segments: DataFrame, fields: dict[str, str] | None = None) ->
     """Per video and field: the most common value; when the top count is shared, the value of the most confident segment.
 
     On a shared count the most confident segment is taken among all valued segments, earliest first. Result: one
-    column per field. Every step combines map-side.
+    column per field. Every step combines map-side, so a video arrives at the shuffle as its distinct values.
     """
     fields = fields or {"subject": "subject", "grade": "grade_level"}
-    valued = segments.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    values = facet_values(valued, [_present(name, col) for name, col in fields.items()], KEY)
-    by_count = values.groupBy(KEY, "facet", "n").agg(
-        F.count(F.lit(1)).alias("sharing"),
-        F.min(F.struct("first", "value")).alias("first"),
-        F.max(F.struct("best", "value")).alias("best"),
+    facets = [
+        F.when(truthy(F.col(col)).isNotNull(), F.struct(F.lit(name).alias("facet"), F.col(col).alias("value")))
+        for name, col in fields.items()
+    ]
+    confidence, seg = F.coalesce("confidence", F.lit(0.0)), F.col("seg_index")
+    values = (
+        segments.select(KEY, seg, confidence.alias("confidence"), F.inline(F.array_compact(F.array(*facets))))
+        .groupBy(KEY, "facet", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("confidence", (-seg).alias("at"))).alias("best"))
     )
-    tops = by_count.groupBy(KEY, "facet").agg(
-        F.max(F.struct("n", "sharing", F.col("first.value").alias("value"))).alias("top"), F.max("best").alias("best")
+    by_count = values.groupBy(KEY, "facet", "n").agg(
+        F.count(F.lit(1)).alias("sharing"), F.max("value").alias("value"), F.max(F.struct("best", "value")).alias("best")
     )
+    # with an unshared top count, "value" is the only value of that count
+    tops = by_count.groupBy(KEY, "facet").agg(F.max(F.struct("n", "sharing", "value")).alias("top"), F.max("best").alias("best"))
     value = F.when(F.col("top.sharing") > 1, F.col("best.value")).otherwise(F.col("top.value"))
     return tops.groupBy(KEY).agg(
         *[F.max(F.when(F.col("facet") == name, value)).alias(f"dominant_{name}") for name in fields]
