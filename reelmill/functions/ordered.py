@@ -32,7 +32,9 @@ def find_heavy(
     limit = max(floor, (total or 0) * share)
     if (most or 0) <= limit:
         return None
-    return materialize(counts.where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_heavy")))
+    # enough salts for parts of about ``floor`` rows
+    salts = F.ceil(F.col("_n") / max(floor, 1)).alias("_salts")
+    return materialize(counts.where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_heavy"), salts))
 
 
 def resolve_heavy(heavy: DataFrame | None | str, df: DataFrame, keys: list[str]) -> DataFrame | None:
@@ -70,7 +72,7 @@ def ordered_scan(
     inputs = {o.name: f"_in_{i}" for i, o in enumerate(outputs) if o.value is not None}
     marked = (
         materialize(df)  # read by the rows and by the border summary
-        .join(F.broadcast(heavy), keys, "left")
+        .join(F.broadcast(heavy.select(*keys, "_heavy")), keys, "left")
         .withColumns(
             {"_slice": F.when(F.col("_heavy"), slice_by)}
             | {inputs[o.name]: o.value for o in outputs if o.value is not None}

@@ -285,19 +285,43 @@ def shrink_to_fold(
         spans = materialize(_merge_round(spans.join(big.select(KEY), KEY, "left_semi"), heavy))
 
 
+def cover(
+    spans: DataFrame,
+    videos: DataFrame,
+    max_sec: float = MAX_SEGMENT_SEC,
+    min_sec: float = MIN_SEGMENT_SEC,
+    heavy: Heavy = AUTO,
+) -> DataFrame:
+    """Stretch the last span of each video to its duration; numbered rows. Only last spans are looked at, none is collected."""
+    ends = spans.groupBy(KEY).agg(F.max(F.struct("start_sec", "end_sec")).alias("last"))
+    tails = ends.join(videos.select(KEY, "duration_sec"), KEY, "left").select(
+        KEY, F.inline(ensure_coverage(F.array("last"), F.col("duration_sec"), max_sec, min_sec))
+    )
+    heads = spans.select(KEY, "start_sec", "end_sec").join(ends, KEY)
+    heads = heads.where(F.struct("start_sec", "end_sec") < F.col("last")).drop("last")
+    numbered = ordered_scan(
+        heads.unionByName(tails),
+        [KEY],
+        [F.col("start_sec"), F.col("end_sec")],
+        F.floor(F.col("start_sec") / HOUR),
+        [Ordered("place", "row_number")],
+        heavy,
+    )
+    return numbered.select(KEY, (F.col("place") - 1).cast("int").alias("seg_index"), "start_sec", "end_sec")
+
+
 def cap_and_cover(
     spans: DataFrame,
     videos: DataFrame,
-    max_segments: int | None = MAX_SEGMENTS,
+    max_segments: int = MAX_SEGMENTS,
     max_sec: float = MAX_SEGMENT_SEC,
     min_sec: float = MIN_SEGMENT_SEC,
-    cover: bool = True,
+    stretch: bool = True,
 ) -> DataFrame:
-    """Cap the number of spans and stretch to the duration; numbered rows. Input within the fold limit."""
+    """Cap the number of spans and stretch to the duration; numbered rows. Takes the output of :func:`shrink_to_fold`."""
     folded = spans.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("start_sec", "end_sec"))).alias("spans"))
-    out = F.col("spans") if max_segments is None else cap_spans(F.col("spans"), max_segments)
-    folded = folded.withColumn("spans", out)
-    if cover:
+    folded = folded.withColumn("spans", cap_spans(F.col("spans"), max_segments))
+    if stretch:
         folded = folded.join(videos.select(KEY, "duration_sec"), KEY, "left").withColumn(
             "spans", ensure_coverage(F.col("spans"), F.col("duration_sec"), max_sec, min_sec)
         )
@@ -341,37 +365,45 @@ def segment_silent(frames: DataFrame, videos: DataFrame, fold_limit: int = FOLD_
     )
 
 
-def attach_transcript(segments: DataFrame, lines: DataFrame) -> DataFrame:
+def attach_transcript(segments: DataFrame, lines: DataFrame, heavy: Heavy = AUTO) -> DataFrame:
     """``text`` of each segment: its lines by start time, joined in line order; '' when there is none.
 
     Lines are gathered per time bucket first (no further shuffle after the join) and the buckets then per segment.
+    ``heavy`` names overfull (video, bucket) pairs.
     """
     found = match_in_time(
         segments.select(KEY, "seg_index", "start_sec", "end_sec"),
         lines.select(KEY, "line_no", F.col("start_sec").alias("line_start"), "text"),
         "line_start",
+        heavy=heavy,
     )
     per_bucket = found.groupBy(KEY, "seg_index", "bucket").agg(F.collect_list(F.struct("line_no", "text")).alias("items"))
     texts = per_bucket.groupBy(KEY, "seg_index").agg(ordered_join(F.flatten(F.collect_list("items")), "text").alias("text"))
     return segments.join(texts, [KEY, "seg_index"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def attach_frame_signals(segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """Scenes, objects, on-screen text and first captions of the frames inside each segment."""
+def attach_frame_signals(segments: DataFrame, frames: DataFrame, heavy: Heavy = AUTO) -> DataFrame:
+    """Scenes, objects, on-screen text and first captions of the frames inside each segment.
+
+    Every part of a bucket passes on distinct labels, and no more text and captions than a segment can show.
+    """
     found = match_in_time(
         segments.select(KEY, "seg_index", "start_sec", "end_sec"),
         frames.select(KEY, "frame_no", "time_sec", "scene", "objects", "ocr", "caption"),
         "time_sec",
+        heavy=heavy,
     )
 
-    def listed(col: str) -> Column:
-        return F.collect_list(F.when(truthy(F.col(col)).isNotNull(), F.struct("frame_no", F.col(col).alias("v"))))
+    def listed(col: str, most: int) -> Column:
+        items = F.collect_list(F.when(truthy(F.col(col)).isNotNull(), F.struct("frame_no", F.col(col).alias("v"))))
+        return F.slice(F.sort_array(items), 1, most)
 
     per_bucket = found.groupBy(KEY, "seg_index", "bucket").agg(
         F.collect_set(truthy(F.col("scene"))).alias("scenes"),
-        F.array_distinct(F.flatten(F.collect_list("objects"))).alias("objects"),
-        listed("ocr").alias("ocr"),
-        F.slice(F.sort_array(listed("caption")), 1, CAPTIONS_PER_SEGMENT).alias("captions"),
+        F.array_distinct(F.flatten(F.collect_set("objects"))).alias("objects"),
+        # each text takes at least one character and a blank, so later ones cannot show
+        listed("ocr", OCR_SEGMENT_CHARS).alias("ocr"),
+        listed("caption", CAPTIONS_PER_SEGMENT).alias("captions"),
     )
 
     def gathered(col: str) -> Column:

@@ -89,7 +89,7 @@ def split_max_duration(spark, sf_dir):
 )
 def cap_segments(spark, sf_dir):
     spans = op.shrink_to_fold(_spans(spark, sf_dir), max_segments=3)
-    return op.cap_and_cover(spans, spans, max_segments=3, cover=False)
+    return op.cap_and_cover(spans, spans, max_segments=3, stretch=False)
 
 
 LENGTHS = "SELECT video_no, max(end_sec) + (video_no % 7)*40 AS duration_sec FROM segments GROUP BY video_no"
@@ -106,7 +106,7 @@ LENGTHS = "SELECT video_no, max(end_sec) + (video_no % 7)*40 AS duration_sec FRO
 def ensure_coverage(spark, sf_dir):
     spans = _spans(spark, sf_dir)
     lengths = spans.groupBy("video_no").agg((F.max("end_sec") + (F.col("video_no") % 7) * 40).alias("duration_sec"))
-    return op.cap_and_cover(spans, lengths, max_segments=None)
+    return op.cover(spans, lengths)
 
 
 @query(

@@ -88,18 +88,18 @@ def test_split_into_three_and_half_even(spark):
 def test_cap_equals_one_at_a_time(spark, library):
     df = spans(spark, library)
     want = {v: model_cap(s, 5) for v, s in library.items()}
-    assert by_video(op.cap_and_cover(df, df, max_segments=5, cover=False)) == want
+    assert by_video(op.cap_and_cover(df, df, max_segments=5, stretch=False)) == want
     # the same through parallel rounds, with light and with sliced scans
     small = op.shrink_to_fold(df, max_segments=5, fold_limit=20, heavy=None)
     assert small.groupBy("video_no").count().agg(F.max("count")).first()[0] <= 20
-    assert by_video(op.cap_and_cover(small, small, max_segments=5, cover=False)) == want
+    assert by_video(op.cap_and_cover(small, small, max_segments=5, stretch=False)) == want
 
 
 def test_cap_rounds_over_sliced_videos(spark):
     given = {v: random_cuts(random.Random(v), 45) for v in range(2)}
     df = spans(spark, given)
     small = op.shrink_to_fold(df, max_segments=5, fold_limit=40, heavy=find_heavy(df, ["video_no"], 10, 0))
-    got = by_video(op.cap_and_cover(small, small, max_segments=5, cover=False))
+    got = by_video(op.cap_and_cover(small, small, max_segments=5, stretch=False))
     assert got == {v: model_cap(s, 5) for v, s in given.items()}
 
 
@@ -109,19 +109,21 @@ def test_cap_rounds_on_equal_and_rising_lengths(spark):
     given = {1: rising, 2: equal, 3: random_cuts(random.Random(1), 60, 1, 3)}
     df = spans(spark, given)
     small = op.shrink_to_fold(df, max_segments=12, fold_limit=48)
-    got = by_video(op.cap_and_cover(small, small, max_segments=12, cover=False))
+    got = by_video(op.cap_and_cover(small, small, max_segments=12, stretch=False))
     assert got == {v: model_cap(s, 12) for v, s in given.items()}
 
 
 def test_twenty_spans_capped_to_five(spark):
     df = spans(spark, {1: [(i * 10, i * 10 + 10) for i in range(20)]})
-    assert len(by_video(op.cap_and_cover(df, df, max_segments=5, cover=False))[1]) <= 5
+    assert len(by_video(op.cap_and_cover(df, df, max_segments=5, stretch=False))[1]) <= 5
 
 
 def test_coverage(spark):
     df = spans(spark, {1: [(0, 40)], 2: [(0, 119.5)], 3: [(0, 40)], 4: [(0, 40)]})
-    got = by_video(op.cap_and_cover(df, lengths(spark, {1: 120, 2: 120, 3: 300, 4: 0})))
-    assert got == {1: [(0, 120)], 2: [(0, 119.5)], 3: [(0, 150), (150, 300)], 4: [(0, 40)]}
+    ends = lengths(spark, {1: 120, 2: 120, 3: 300, 4: 0})
+    want = {1: [(0, 120)], 2: [(0, 119.5)], 3: [(0, 150), (150, 300)], 4: [(0, 40)]}
+    assert by_video(op.cap_and_cover(df, ends)) == want
+    assert by_video(op.cover(df, ends)) == want
 
 
 def test_finished_segments_are_ordered_and_cover(spark, library):
@@ -217,3 +219,12 @@ def test_attach(spark):
     )
     r = op.attach_frame_signals(segs, frames).where("video_no = 1 AND seg_index = 0").first()
     assert (r.scenes, r.objects, r.ocr, r.captions) == (["a", "b"], ["a", "x"], "hi there", ["c1", "c2"])
+
+    # overfull buckets, dealt over parts, give the same
+    def full(df, at):
+        return find_heavy(df.withColumn("bucket", F.floor(F.col(at) / 120)), ["video_no", "bucket"], 1, 0)
+
+    salted = op.attach_frame_signals(segs, frames, full(frames, "time_sec"))
+    assert set(map(str, salted.collect())) == set(map(str, op.attach_frame_signals(segs, frames, None).collect()))
+    texts = op.attach_transcript(segs, lines, full(lines, "start_sec"))
+    assert {(r.video_no, r.seg_index): r.text for r in texts.collect()} == got
