@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import epoch_micros, search_tokens, stable_uuid
+from reelmill.functions.columns import epoch_micros, once, search_tokens, stable_uuid
 from reelmill.functions.ordered import Ordered, ordered_scan
 from reelmill.sources.files import spread
 
@@ -250,7 +250,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select(
         F.col("doc_id").alias("video_no"), F.lit(0).alias("seg_index"), "text", "source", "lang", (F.col("doc_id") % F.lit(size)).alias("vec_id")
     )
-    return docs.join(emb, "vec_id").select(
+    return once(docs, "tokens", search_tokens(F.col("text"))).join(emb, "vec_id").select(
         "video_no",
         "seg_index",
         F.when(F.col("video_no") % 20 == 1, "soft_deleted").otherwise("done").alias("status"),
@@ -258,7 +258,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("grade_level"),
         (F.col("video_no") % 3 != 0).alias("has_speech"),
         "text",
-        search_tokens(F.col("text")).alias("tokens"),
+        "tokens",
         "embedding",
     )
 

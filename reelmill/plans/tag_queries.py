@@ -69,11 +69,12 @@ MERGED = {
 }
 
 
-def flat(df):
+def flat(df, *more):
     """Lists and leftovers as text."""
     return df.select(
         "video_no",
         "seg_index",
+        *more,
         *[c for c in TYPED if c not in ("tags", "mood")],
         F.array_join("tags", "|").alias("tags"),
         F.col("extra")["mood"].alias("mood"),
@@ -114,8 +115,7 @@ def finalize_tags(spark, sf_dir):
 
 @query("retry_merge", with_views("SELECT * FROM merged", "raw_answers", extra=P1 | P2 | MERGED))
 def retry_merge(spark, sf_dir):
-    tagged = op.tag_answers(lib.raw_answers(spark, sf_dir))
-    return flat(tagged).join(tagged.select("video_no", "seg_index", "retried"), ["video_no", "seg_index"])
+    return flat(op.tag_answers(lib.raw_answers(spark, sf_dir)), "retried")
 
 
 @query(
