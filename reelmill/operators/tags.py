@@ -109,7 +109,8 @@ def with_parsed(answers: DataFrame, raw: str, out: str) -> DataFrame:
     df = once(df, strict, strict_fields(F.col(body)))
     # the fallback runs only where the strict parse failed
     rec = f"_rec_{out}"
-    df = once(df, rec, F.when(F.col(strict).isNull(), recovered_fields(F.col(body))))
+    failed = F.col(body).isNotNull() & F.col(strict).isNull()
+    df = once(df, rec, F.when(failed, recovered_fields(F.col(body))))
     return once(df, out, parse_model_json(F.col(raw), F.col(body), F.col(strict), F.col(rec))).drop(body, strict, rec)
 
 
@@ -145,7 +146,10 @@ def retry_merge(first: Column, second: Column) -> Column:
 
 def tag_answers(answers: DataFrame) -> DataFrame:
     """Raw answers (``raw_1``, ``raw_2``, ``is_silent``) to typed rows, one per segment."""
-    parsed = with_parsed(with_parsed(answers, "raw_1", "p1"), "raw_2", "p2")
+    parsed = with_parsed(answers, "raw_1", "p1")
+    # only a failed first attempt can be replaced, so only its second answer is parsed
+    parsed = parsed.withColumn("raw_2", F.when(F.col("p1.status") == "error", F.col("raw_2")))
+    parsed = with_parsed(parsed, "raw_2", "p2")
     second = F.when(F.col("raw_2").isNotNull(), F.col("p2"))
     merged = once(parsed, "m", retry_merge(F.col("p1"), second))
     typed = once(merged, "t", finalize_tags(F.col("m.tags"), F.col("is_silent")))
