@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.operators.rollup import nested_segments, video_rollup
-from reelmill.schemas import PAGE_SIZE, PAGE_SIZE_MAX
-
-BOARD_SIZE = 12
+from reelmill.schemas import BOARD_SIZE, PAGE_SIZE, PAGE_SIZE_MAX
 
 
 def list_videos(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import basename, extension, safe_stem
-from reelmill.schemas import ERROR_CHARS, VIDEO_EXTENSIONS
+from reelmill.schemas import ERROR_CHARS, REASON_DUPLICATE, REASON_EXISTS, REASON_NEW, VIDEO_EXTENSIONS
 
 
 def with_known_extension(paths: DataFrame, exts: Sequence[str] = VIDEO_EXTENSIONS) -> DataFrame:
@@ -166,9 +166,9 @@ def register_verdict(incoming: DataFrame, stored: DataFrame, force: bool = False
         )
         .withColumn(
             "reason",
-            F.when(F.col("verdict") == "exists", "already processed (use force=true to reprocess)")
-            .when(F.col("verdict") == "duplicate", "byte-identical to an existing video")
-            .otherwise("new content"),
+            F.when(F.col("verdict") == "exists", REASON_EXISTS)
+            .when(F.col("verdict") == "duplicate", REASON_DUPLICATE)
+            .otherwise(REASON_NEW),
         )
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.columns import round_even
 from reelmill.functions.ordered import AUTO, Ordered, ordered_scan, resolve_heavy
-from reelmill.schemas import ERROR_CHARS, HEARTBEAT_MAX_AGE_SEC, MAX_RETRIES, STAGES, TRANSIENT_ERRORS
+from reelmill.schemas import ERROR_CHARS, HEARTBEAT_MAX_AGE_SEC, MAX_RETRIES, RECENT_JOBS, STAGES, TRANSIENT_ERRORS
 
 JOB = "job_no"
 SOFT_TIME_LIMIT = "SoftTimeLimitExceeded"
@@ -135,7 +135,7 @@ def queue_depth(state: DataFrame) -> DataFrame:
     return state.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def recent_jobs(events: DataFrame, size: int = 20) -> DataFrame:
+def recent_jobs(events: DataFrame, size: int = RECENT_JOBS) -> DataFrame:
     """Most recently seen distinct jobs, newest first."""
     seen = events.groupBy(JOB).agg(F.max("us").alias("seen_us"))
     return seen.orderBy(F.desc("seen_us"), JOB).limit(size)

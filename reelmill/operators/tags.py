@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reelmill.functions.columns import first_truthy, once, round_even, truthy
-from reelmill.schemas import CORE_TAG_FIELDS, DEFAULT_TOPIC, TAG_STRING_FIELDS
+from reelmill.schemas import (
+    CORE_TAG_FIELDS,
+    DEFAULT_TOPIC,
+    PARSE_ERROR_CHARS,
+    PROMPT_OCR_SILENT_CHARS,
+    PROMPT_OCR_VOICE_CHARS,
+    PROMPT_TEXT_CHARS,
+    RULE_GRADE,
+    RULE_SUBJECT,
+    RULE_SUMMARY,
+    RULE_WORD,
+    TAG_STRING_FIELDS,
+)
 
 KEY = "video_no"
 TEXTS = "array<string>"
-ERROR_TEXT_CHARS = 300
 # A JSON number, text in quotes or a JSON literal counts as a value; single quotes are not JSON.
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
@@ -98,7 +109,7 @@ def parse_model_json(raw: Column, body: Column, strict: Column, rec: Column) ->
             body.isNotNull() & usable,
             row("recovered", none, rec, _grab_list(body, "tags"), _grab_list(body, "subtopics")),
         )
-        .otherwise(row("error", F.substring(raw, 1, ERROR_TEXT_CHARS), none, none, none))
+        .otherwise(row("error", F.substring(raw, 1, PARSE_ERROR_CHARS), none, none, none))
     )
 
 
@@ -254,11 +265,11 @@ def prompt_inputs(segments: DataFrame) -> DataFrame:
         F.lit("scenes: "), F.array_join("scenes", ", "), F.lit("; objects: "), F.array_join("objects", ", ")
     )
     voice = F.concat(
-        F.lit("transcript: "), F.substring("text", 1, 3000), F.lit("\nscreen text: "), F.substring("ocr", 1, 300),
+        F.lit("transcript: "), F.substring("text", 1, PROMPT_TEXT_CHARS), F.lit("\nscreen text: "), F.substring("ocr", 1, PROMPT_OCR_VOICE_CHARS),
         F.lit("\nweak hints: "), hints,
     )
     silent = F.concat(
-        F.lit("screen text: "), F.substring("ocr", 1, 400), F.lit("\ncaptions: "), F.array_join("captions", ", "),
+        F.lit("screen text: "), F.substring("ocr", 1, PROMPT_OCR_SILENT_CHARS), F.lit("\ncaptions: "), F.array_join("captions", ", "),
         F.lit("\n"), hints,
     )
     return segments.select(KEY, "seg_index", F.when(F.col("is_silent"), silent).otherwise(voice).alias("evidence"))
@@ -272,9 +283,9 @@ def _title(word: Column) -> Column:
 
 def rule_tagger(segments: DataFrame) -> DataFrame:
     """Deterministic tags from the first words of the transcript (or the first line of screen text when silent)."""
-    line = F.regexp_extract(F.substring("ocr", 1, 400), r"^\s*([^\n]*)", 1)
-    source = F.when(F.col("is_silent"), line).otherwise(F.substring("text", 1, 3000))
-    found = F.slice(F.regexp_extract_all(source, F.lit("[A-Za-z][A-Za-z'-]+"), F.lit(0)), 1, 6)
+    line = F.regexp_extract(F.substring("ocr", 1, PROMPT_OCR_SILENT_CHARS), r"^\s*([^\n]*)", 1)
+    source = F.when(F.col("is_silent"), line).otherwise(F.substring("text", 1, PROMPT_TEXT_CHARS))
+    found = F.slice(F.regexp_extract_all(source, F.lit(RULE_WORD), F.lit(0)), 1, 6)
     tagged = segments.select(KEY, "seg_index", "is_silent", found.alias("w"))
     topic = first_truthy(F.array_join(F.transform(F.slice("w", 1, 4), _title), " "), F.lit(DEFAULT_TOPIC))
     lower = F.transform("w", F.lower)
@@ -286,9 +297,9 @@ def rule_tagger(segments: DataFrame) -> DataFrame:
         F.slice(lower, 1, 3).alias("subtopics"),
         F.when(silent, "animation").otherwise("lecture").alias("content_type"),
         F.lit("beginner").alias("difficulty"),
-        F.lit("Grade 1-2").alias("grade_level"),
-        F.lit("General Knowledge").alias("subject"),
-        F.concat(F.lit("Auto stub summary for: "), topic, F.lit(".")).alias("summary"),
+        F.lit(RULE_GRADE).alias("grade_level"),
+        F.lit(RULE_SUBJECT).alias("subject"),
+        F.concat(F.lit(RULE_SUMMARY), topic, F.lit(".")).alias("summary"),
         F.slice(lower, 1, 5).alias("tags"),
         F.when(silent, "narrator").otherwise("teacher").alias("speaker_role"),
         F.lit("en").alias("language"),

@@ -13,17 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import round_even, search_tokens
-
-TOP_KEYWORDS = 20
-TOP_ENTITIES = 40
-MIN_CHARS, MAX_CHARS = 2, 40
+from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, TOP_ENTITIES, TOP_KEYWORDS
 
 
 def _counts(tokens: list[str]) -> dict[str, int]:
     """Occurrences of tokens and neighbouring pairs of 2 to 40 characters in one text."""
     seen = Counter(tokens)
     seen.update(map(" ".join, pairwise(tokens)))
-    return {p: n for p, n in seen.items() if MIN_CHARS <= len(p) <= MAX_CHARS}
+    return {p: n for p, n in seen.items() if PHRASE_MIN_CHARS <= len(p) <= PHRASE_MAX_CHARS}
 
 
 def phrase_counts(docs: DataFrame, key: str, tokens: Column, top: int | None = None) -> DataFrame:

@@ -112,6 +112,23 @@ PAGE_SIZE_MAX = 200
 SEARCH_LIMIT_MAX = 100
 DEFAULT_TOPIC = "Sample Lesson"
 UNTITLED = "untitled segment"
+REASON_EXISTS = "already processed (use force=true to reprocess)"
+REASON_DUPLICATE = "byte-identical to an existing video"
+REASON_NEW = "new content"
+RULE_SUBJECT = "General Knowledge"
+RULE_GRADE = "Grade 1-2"
+RULE_SUMMARY = "Auto stub summary for: "
+RULE_WORD = "[A-Za-z][A-Za-z'-]+"
+PARSE_ERROR_CHARS = 300
+PROMPT_TEXT_CHARS = 3000
+PROMPT_OCR_VOICE_CHARS = 300
+PROMPT_OCR_SILENT_CHARS = 400
+TOP_KEYWORDS = 20
+TOP_ENTITIES = 40
+PHRASE_MIN_CHARS = 2
+PHRASE_MAX_CHARS = 40
+BOARD_SIZE = 12
+RECENT_JOBS = 20
 # --- end of fixed values ----------------------------------------------------
 
 VIDEOS = T.StructType(

@@ -335,6 +335,28 @@ def test_phrase_counts_equal_brute_force(spark):
     assert top[1] in ("lion", "lion lion") and not any(r.phrase == "the" for r in ranked.collect())
 
 
+def test_keyphrases_equal_brute_force(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    words = {1: "lion tiger lion bear", 2: "tiger the tiger and bear", 3: "wolf bear lion wolf wolf", 4: "bear"}
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    counts = {}
+    for d, t in words.items():
+        kept = [w for w in t.split() if w not in stop]
+        counts[d] = Counter(kept + [f"{a} {b}" for a, b in zip(kept, kept[1:], strict=False)])
+    df = Counter(p for c in counts.values() for p in c)
+    want = {}
+    for d, c in counts.items():
+        for p, n in c.items():
+            want[(d, p)] = round(n / sum(c.values()) * float(np.log((len(words) + 1) / (df[p] + 1))), 6)
+    docs = spark.createDataFrame(list(words.items()), "doc_id long, text string")
+    got = text.keyphrases(docs).collect()
+    assert {(r.doc_id, r.phrase): r.score for r in got} == pytest.approx(want)
+    for d in words:
+        mine = sorted((r for r in got if r.doc_id == d), key=lambda r: r.place)
+        assert [(-r.score, r.phrase) for r in mine] == sorted((-r.score, r.phrase) for r in mine)
+
+
 def test_hashing_embedder_and_reembedding(spark):
     cols = "video_no long, summary string, transcript_text string, topic string, embedding array<float>"
     s = spark.createDataFrame([(1, "", "", "", None), (2, "one two", "", "", None), (3, "x", "", "", [1.0] + [0.0] * 15)], cols)
