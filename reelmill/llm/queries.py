@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe
+from reelmill.llm import bpe, html_text, quality
 from reelmill.plans.registry import query
 
 
@@ -33,3 +33,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         hex_sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query("op4_quality_gam")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_documents(docs.select("doc_id", "text"), labels)
+
+
+@query("op5_html_text_density")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
