@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, decontaminate, html_text, minhash, quality
+from reelmill.llm import bpe, decontaminate, html_text, line_dedup, minhash, quality, secrets, sql
 from reelmill.plans.registry import query
 
 
@@ -55,3 +55,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_circulant")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query("op7_line_runs", sql.LINE_RUNS)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", hex_sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
+@query("op10_secret_ownership")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["start"], s["end"])), ",")
+
+    def of_kind(number: int) -> F.Column:
+        return F.filter("spans", lambda s: s["kind"] == number)
+
+    base = F.filter("spans", lambda s: s["kind"] < secrets.OPAQUE)
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(no)).cast("long").alias(f"n_{kind}") for no, kind in enumerate(secrets.KINDS[: secrets.OPAQUE])],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
