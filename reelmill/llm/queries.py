@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, lm, minhash, quality, secrets, sql
+from reelmill.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, lm, minhash, quality, quotes, secrets, sql
 from reelmill.plans.registry import query
 
 
@@ -91,3 +91,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_deleted_interpolation")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quotation_links")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
