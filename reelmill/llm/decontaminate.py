@@ -220,9 +220,6 @@ def leaked_passages(
 ) -> DataFrame:
     """One row for each document and benchmark item that occurs in it within the edit budget: ``doc_id``, ``item_id``, ``edits``
     and ``budget`` (of the best occurrence, the first of equal ones), ``start_char``, ``end_char`` (code points of the document)."""
-    spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    n_blocks = -(-size // BLOCK_BYTES) or 1
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
@@ -231,17 +228,24 @@ def leaked_passages(
         ]
     )
     found = None
-    for b in range(n_blocks):
-        items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
-        if n_blocks > 1:
-            items = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(n_blocks)) == b)
-        got = items.orderBy("i", "t").toArrow()
-        shared = spark.sparkContext.broadcast((got.column("i").to_pylist(), got.column("t").to_pylist()))
+    for shared in item_blocks(benchmark, item_id, item_text):
         part = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(finder(shared, share, schema), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """The benchmark as broadcasts of about ``BLOCK_BYTES`` at most, of which there is one even if it is empty."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n_blocks = -(-size // BLOCK_BYTES) or 1
+    for b in range(n_blocks):
+        own = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(n_blocks)) == b) if n_blocks > 1 else items
+        got = own.orderBy("i", "t").toArrow()
+        yield spark.sparkContext.broadcast((got.column("i").to_pylist(), got.column("t").to_pylist()))
+
+
 def finder(shared, share: float, schema: T.StructType):
     names = schema.names
 
@@ -272,7 +276,23 @@ def arrow_type(ids: list) -> pa.DataType:
     return pa.array(ids).type if any(x is not None for x in ids) else pa.int64()
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without those that hold a benchmark item."""
-    leaks = leaked_passages(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(leaks, doc_id, "left_anti")
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item. Rows are judged where they lie, so no text is shuffled."""
+
+    def judge(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, items = shared.value
+            block = Block.of(ids, pa.array(items, pa.string()), share)
+            for batch in batches:
+                for part, texts in slices(batch, text):
+                    good = np.ones(len(texts), bool)
+                    good[[r[0] for r in find(block, texts)]] = False
+                    yield part.filter(pa.array(good))
+
+        return run
+
+    for shared in item_blocks(benchmark, item_id, item_text):
+        docs = docs.mapInArrow(judge(shared), docs.schema)
+    return docs

@@ -226,4 +226,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.join(ends, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = all_docs.select("id", "n", "digest").join(named, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates; rows without an id stay."""
+    kept = near_duplicates(docs, doc_id, text, words, percent).where("kept").select(F.col("doc_id").alias(doc_id))
+    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    return named.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))

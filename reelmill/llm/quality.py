@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.arrow import append_columns, lists, text_bytes
+from reelmill.llm.arrow import append_columns, lists, slices, text_bytes
 from reelmill.llm.store import stored
 from reelmill.llm.words import WHITE, hash_words, word_spans
 
@@ -249,6 +249,25 @@ def learn(features: DataFrame, labels: DataFrame, doc_id: str, label: str) -> Mo
     return fit(x[order], y[order])
 
 
+def learned_model(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[DataFrame, Model]:
+    """The features of all documents, written once to the shared folder, and the model learned from the labelled ones."""
+    features = stored(add_features(docs.select(doc_id, text), text).select(doc_id, "features"), "features")
+    return features, learn(features, labels, doc_id, label)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``cut``. Rows are judged where they lie, so no text is shuffled."""
+    _, model = learned_model(docs, labels, doc_id, text, label)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        for batch in batches:
+            for part, texts in slices(batch, text):
+                yield part.filter(pa.array(shared.value.score(text_features(texts)) >= cut))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def score_documents(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", cut: float = 0.3
 ) -> DataFrame:
@@ -257,8 +276,7 @@ def score_documents(
     Features are computed once and kept in the shared checkpoint folder; the sample and the model (a few thousand numbers) are all
     that the driver sees.
     """
-    features = stored(add_features(docs.select(doc_id, text), text).select(doc_id, "features"), "features")
-    model = learn(features, labels, doc_id, label)
+    features, model = learned_model(docs, labels, doc_id, text, label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
