@@ -178,8 +178,8 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
     n = 4 * max(1, docs.rdd.getNumPartitions())
-    limits = base.where("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)
-    cuts = np.unique(np.array(limits, np.float64))
+    limits = base.where("id is not null").approxQuantile("id", [i / n for i in range(n + 1)], 0.25 / n)
+    cuts = np.unique(np.array(limits[1:-1], np.float64))
 
     def numbered(ids):
         return pd.Series(np.searchsorted(cuts, ids.astype("float64").fillna(-np.inf), "left").astype("int32"))

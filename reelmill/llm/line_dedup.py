@@ -109,6 +109,11 @@ def long_lines(docs: DataFrame, id: Column, text: Column, least_chars: int) -> D
     return flat.select("id", "row", "x.h1", "x.h2", "x.line_no", first.alias("first"))
 
 
+def cuts_between(docs: DataFrame, doc_id: str, parts: int, error: float) -> list[float]:
+    """Ids between about equal ranges of documents; none for an empty table."""
+    return docs.select(doc_id).where(F.col(doc_id).isNotNull()).approxQuantile(doc_id, [i / parts for i in range(parts + 1)], error)[1:-1]
+
+
 def dedup_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 40, least_documents: int = 5, batches: int = BATCHES
 ) -> DataFrame:
@@ -116,7 +121,7 @@ def dedup_lines(
     (before) and ``n_dropped``, which replace input columns of those names."""
     kept = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
     lines = long_lines(kept, F.col(doc_id), F.col(text), least_chars)
-    cuts = kept.select(doc_id).where(F.col(doc_id).isNotNull()).approxQuantile(doc_id, [i / batches for i in range(1, batches)], 0.01)
+    cuts = cuts_between(kept, doc_id, batches, 0.01)
     batch = reduce(lambda x, cut: x - F.when(F.col("id") > cut, 1).otherwise(0), cuts, F.lit(len(cuts)))
     lines = stored(lines.withColumn("batch", batch), "lines", "batch")
 
