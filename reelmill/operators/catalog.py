@@ -173,6 +173,29 @@ def register_verdict(incoming: DataFrame, stored: DataFrame, force: bool = False
     )
 
 
+def register_arrivals(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Catalogue rows to write for a batch of arrivals, as if they had come one at a time.
+
+    Items that are stored as done originals are left alone, before copies are looked for. A content that has a stored original keeps
+    it: the original itself is queued again, all others are its copies. Of a content new to the store the earliest arrival is the
+    original. No item ever refers to itself.
+    """
+    latest = batch.groupBy("video_id").agg(F.min_by(F.struct(*batch.columns), "created_s").alias("r")).select("r.*")
+    settled = stored.where((F.col("status") == "done") & ~F.coalesce("is_duplicate", F.lit(False))).select("video_id")
+    roots = canonical_candidates(stored).select("content_hash", "first_id")
+    rows = latest.join(settled, "video_id", "left_anti").join(roots, "content_hash", "left").withColumn("status", F.lit("queued"))
+    is_copy = F.col("first_id") != F.col("video_id")
+    known = rows.where("first_id is not null").select(
+        "video_id", "source_path", "content_hash", "file_size_bytes",
+        F.when(is_copy, "done").otherwise("queued").alias("status"),
+        is_copy.alias("is_duplicate"),
+        F.when(is_copy, F.col("first_id")).alias("canonical_video_id"),
+        "created_s",
+    )
+    new = exact_dedup(rows.where("first_id is null").drop("first_id"))
+    return known.unionByName(new.select(*known.columns))
+
+
 def register_batch(incoming: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """Bulk form: done items are skipped (duplicates included), the rest queued; contents are not compared."""
     known = stored.select("video_id", F.col("status").alias("old_status"), F.col("is_duplicate").alias("old_dup"))

@@ -7,6 +7,7 @@ from reelmill.operators import catalog as op
 from reelmill.plans import library as lib
 from reelmill.plans.registry import query
 from reelmill.plans.views import with_views
+from reelmill.sources import documents
 
 KNOWN = "('mp4','webm','mov','mkv','avi','m4v')"
 
@@ -224,3 +225,42 @@ def safe_stem(spark, sf_dir):
         stable_uuid(F.col("url")).alias("video_id"), F.col("url").alias("source_path")
     )
     return op.document_names(pages)
+
+
+@query(
+    "register_arrivals",
+    with_views(
+        """SELECT video_id, source_path, content_hash, file_size_bytes, CASE WHEN canon IS NULL THEN 'queued' ELSE 'done' END AS status,
+             canon IS NOT NULL AS is_duplicate, canon AS canonical_video_id, created_s
+           FROM (SELECT *, nullif(coalesce(root, first_value(video_id) OVER (PARTITION BY content_hash, root IS NULL ORDER BY created_s, video_id)),
+                   video_id) AS canon FROM open_items)""",
+        "videos",
+        extra={
+            "old": "SELECT * FROM videos WHERE video_no % 2 = 0",
+            "roots": """SELECT content_hash, arg_min(video_id, (created_s, video_id)) AS root FROM old
+                WHERE NOT is_duplicate AND status <> 'soft_deleted' GROUP BY content_hash""",
+            "open_items": """SELECT v.*, r.root FROM videos v LEFT JOIN roots r USING (content_hash)
+                WHERE v.video_id NOT IN (SELECT video_id FROM old WHERE status = 'done' AND NOT is_duplicate)""",
+        },
+    ),
+)
+def register_arrivals(spark, sf_dir):
+    v = lib.videos(spark, sf_dir)
+    arriving = v.select("video_id", "source_path", "content_hash", "file_size_bytes", "created_s")
+    return op.register_arrivals(arriving, v.where("video_no % 2 = 0"))
+
+
+@query(
+    "export_incremental",
+    with_views(
+        """SELECT stem, arg_max(video_id, (batch, video_id)) AS video_id, arg_max(file_size_bytes, (batch, video_id)) AS file_size_bytes
+           FROM (SELECT (video_no // 3)::VARCHAR AS stem, video_no % 2 AS batch, * FROM videos) GROUP BY stem""",
+        "videos",
+    ),
+)
+def export_incremental(spark, sf_dir):
+    """Two batches (even and odd items) whose names overlap: the second replaces documents of the first that share a stem."""
+    name = F.concat(F.lit("/out/"), F.floor(F.col("video_no") / 3).cast("string"), F.lit(".mp4"))
+    v = lib.videos(spark, sf_dir).withColumn("source_path", name)
+    stored = documents.latest_by_stem(v.where("video_no % 2 = 0")).select("stem", "video_id", "file_size_bytes")
+    return documents.export_incremental(stored, v.where("video_no % 2 = 1"))

@@ -9,25 +9,34 @@ from pyspark.sql.types import StructType
 from reelmill.functions.columns import safe_stem
 
 COMBINED = "all_results.json"
-BUCKETS = 64
 
 
-def write_documents(docs: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """One JSON line per document below ``folder/bucket=<n>``, named by its safe stem.
-
-    Documents sharing a stem overwrite one another: the one with the largest video id is kept.
-    """
+def latest_by_stem(docs: DataFrame) -> DataFrame:
+    """``docs`` with their safe stem; of documents that share one, the one with the largest video id."""
     named = docs.withColumn("stem", safe_stem(F.col("source_path"), F.col("video_id")))
-    if "part_no" not in named.columns:
-        named = named.withColumn("part_no", F.lit(0).cast("long"))
     # the aggregate carries ids only; the documents follow by an equality join
     winners = named.groupBy("stem").agg(F.max("video_id").alias("video_id"))
-    kept = named.join(winners, ["stem", "video_id"], "left_semi")
+    return named.join(winners, ["stem", "video_id"], "left_semi")
+
+
+def export_incremental(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Documents (with ``stem``) after an export: fresh ones replace those of the same stem, all others stay."""
+    latest = latest_by_stem(fresh)
+    return stored.join(latest.select("stem").distinct(), "stem", "left_anti").unionByName(latest.select(*stored.columns))
+
+
+def write_documents(docs: DataFrame, folder: str) -> None:
+    """One JSON file per document in ``folder/stem=<safe stem>``.
+
+    Only the folders of the written stems are replaced; documents of other stems stay. Documents of one batch that share a stem
+    overwrite one another: the one with the largest video id is kept.
+    """
     (
-        kept.withColumn("bucket", F.pmod(F.xxhash64("stem"), F.lit(buckets)))
-        .repartition("bucket", "stem")
+        latest_by_stem(docs)
+        .repartition("stem")
         .write.mode("overwrite")
-        .partitionBy("bucket")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("stem")
         .json(folder)
     )
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.types import StructType
 
-from reelmill.operators.catalog import exact_dedup, register_verdict, upsert_latest
+from reelmill.operators.catalog import register_arrivals, upsert_latest
 from reelmill.sources.tables import SnapshotTable
 
 
@@ -22,39 +21,11 @@ def read_manifests(
 def register_into(table: SnapshotTable):
     """Batch function: judge one micro-batch against the stored catalogue and upsert the result.
 
-    Copies inside the batch are settled first, in arrival order, as one-at-a-time processing would. Re-running
-    a batch changes nothing: the same ids get the same rows.
+    Re-running a batch changes nothing: the same ids get the same rows.
     """
 
     def run(batch: DataFrame, _batch_id: int) -> None:
-        latest = batch.groupBy("video_id").agg(F.min_by(F.struct(*batch.columns), "created_s").alias("r")).select("r.*")
-
-        def change(stored: DataFrame) -> DataFrame:
-            marked = exact_dedup(latest.withColumn("status", F.lit("queued")))
-            first = marked.where(~F.col("is_duplicate")).drop("status", "is_duplicate", "canonical_video_id")
-            judged = register_verdict(first, stored).where("verdict <> 'exists'")
-            is_copy = F.col("verdict") == "duplicate"
-            fresh = first.select("video_id", "created_s").join(judged, "video_id").select(
-                "video_id",
-                "source_path",
-                "content_hash",
-                "file_size_bytes",
-                F.when(is_copy, "done").otherwise("queued").alias("status"),
-                is_copy.alias("is_duplicate"),
-                "canonical_video_id",
-                "created_s",
-            )
-            copies = marked.where("is_duplicate").select(*fresh.columns)
-            # a copy of something that is itself a copy refers to the stored original
-            roots = fresh.select(F.col("video_id").alias("canonical_video_id"), F.col("canonical_video_id").alias("_root"))
-            copies = (
-                copies.join(roots, "canonical_video_id", "left")
-                .withColumn("canonical_video_id", F.coalesce("_root", "canonical_video_id"))
-                .select(*fresh.columns)
-            )
-            return upsert_latest(stored, fresh.unionByName(copies))
-
-        table.update(change)
+        table.update(lambda stored: upsert_latest(stored, register_arrivals(batch, stored)))
 
     return run
 
