@@ -1,6 +1,6 @@
 """Job progress as a fold over an append-only event table.
 
-Events: ``job_no``, ``video_no``, ``event_id``, ``us`` (microseconds), ``stage`` (``start`` opens an attempt; ``done`` and
+Events: ``job_no``, ``video_no``, ``event_id``, ``us`` (microseconds), ``stage`` (``enqueue`` makes the job wait, ``start`` opens an attempt; ``done`` and
 ``failed`` end it; anything else is progress), ``seconds``, ``error_chain``.
 """
 
@@ -20,19 +20,19 @@ SOFT_TIME_LIMIT = "SoftTimeLimitExceeded"
 
 
 def _state(stage: Column) -> Column:
-    return F.when(stage.isin("done", "failed"), stage).otherwise("processing")
+    return F.when(stage.isin("done", "failed"), stage).when(stage == "enqueue", "queued").otherwise("processing")
 
 
 def job_fold() -> list[Column]:
     """Aggregates of one job's events; each keeps one value per job, so partial results combine before the shuffle."""
     stage, at = F.col("stage"), F.struct("us", "event_id")
-    failed, done = stage == "failed", stage == "done"
+    failed, done, waits = stage == "failed", stage == "done", stage == "enqueue"
     error = F.substring(F.array_join("error_chain", " <- "), 1, ERROR_CHARS)
     return [
         F.max_by(_state(stage), at).alias("state"),
-        F.max_by("stage", F.when(~failed, at)).alias("current_stage"),
+        F.max_by("stage", F.when(~failed & ~waits, at)).alias("current_stage"),
         F.count_if(stage == "start").alias("attempts"),
-        F.max_by("seconds", F.when(~failed & ~done, at)).alias("last_stage_seconds"),
+        F.max_by("seconds", F.when(~failed & ~done & ~waits, at)).alias("last_stage_seconds"),
         F.max(F.when(stage == "start", F.col("us"))).alias("started_us"),
         F.max(F.when(failed | done, F.col("us"))).alias("finished_us"),
         F.max_by(F.when(failed, error), F.when(failed | done, at)).alias("error"),
@@ -69,7 +69,7 @@ def state_transitions(events: DataFrame, heavy: DataFrame | None | str = AUTO) -
         [JOB],
         order,
         hour,
-        [Ordered("current_stage", "last", F.when(F.col("stage") != "failed", F.col("stage")))],
+        [Ordered("current_stage", "last", F.when(~F.col("stage").isin("failed", "enqueue"), F.col("stage")))],
         heavy,
     ).withColumn("state", _state(F.col("stage")))
     now = F.struct("state", "current_stage")

@@ -13,9 +13,9 @@ from reelmill.plans.views import with_views
 NOW_US = 1_706_745_600_000_000
 
 STATE = {
-    "state": """SELECT job_no, arg_max(CASE WHEN stage IN ('done','failed') THEN stage ELSE 'processing' END, (us, event_id)) AS state,
-        arg_max(stage, (us, event_id)) FILTER (stage <> 'failed') AS current_stage, count(*) FILTER (stage = 'start') AS attempts,
-        arg_max(seconds, (us, event_id)) FILTER (stage NOT IN ('done','failed')) AS last_stage_seconds,
+    "state": """SELECT job_no, arg_max(CASE WHEN stage IN ('done','failed') THEN stage WHEN stage = 'enqueue' THEN 'queued' ELSE 'processing' END,
+          (us, event_id)) AS state, arg_max(stage, (us, event_id)) FILTER (stage NOT IN ('failed','enqueue')) AS current_stage, count(*) FILTER (stage = 'start') AS attempts,
+        arg_max(seconds, (us, event_id)) FILTER (stage NOT IN ('done','failed','enqueue')) AS last_stage_seconds,
         max(us) FILTER (stage = 'start') AS started_us, max(us) FILTER (stage IN ('done','failed')) AS finished_us,
         nullif(arg_max(coalesce(CASE WHEN stage = 'failed' THEN array_to_string(error_chain, ' <- ') END, ''), (us, event_id))
           FILTER (stage IN ('done','failed')), '') AS error, max(us) AS updated_us FROM job_events GROUP BY job_no"""
@@ -53,8 +53,8 @@ def job_elapsed(spark, sf_dir):
 
 TRANSITIONS = """SELECT job_no, event_id, us, state, current_stage FROM (
     SELECT *, lag(state) OVER w AS s0, lag(current_stage) OVER w AS c0, row_number() OVER w AS rn FROM (
-      SELECT *, CASE WHEN stage IN ('done','failed') THEN stage ELSE 'processing' END AS state,
-        last_value(CASE WHEN stage <> 'failed' THEN stage END IGNORE NULLS) OVER (PARTITION BY job_no ORDER BY us, event_id
+      SELECT *, CASE WHEN stage IN ('done','failed') THEN stage WHEN stage = 'enqueue' THEN 'queued' ELSE 'processing' END AS state,
+        last_value(CASE WHEN stage NOT IN ('failed','enqueue') THEN stage END IGNORE NULLS) OVER (PARTITION BY job_no ORDER BY us, event_id
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_stage FROM job_events)
     WINDOW w AS (PARTITION BY job_no ORDER BY us, event_id))
     WHERE rn = 1 OR state IS DISTINCT FROM s0 OR current_stage IS DISTINCT FROM c0"""

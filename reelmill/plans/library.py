@@ -230,7 +230,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 50).alias("video_no"),
         "event_id",
         epoch_micros(F.col("ts")).alias("us"),
-        stages[F.col("event_type")].alias("stage"),
+        F.when((F.col("event_type") == "click") & (n % 4 == 0), "enqueue").otherwise(stages[F.col("event_type")]).alias("stage"),
         F.col("value").alias("seconds"),
         F.when(
             F.col("event_type") == "error",

@@ -115,7 +115,7 @@ _view(
     "job_events",
     [],
     """SELECT user_id AS job_no, user_id % 50 AS video_no, event_id, epoch_us(ts) AS us,
-         CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'route' WHEN 'error' THEN 'failed'
+         CASE event_type WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'enqueue' ELSE 'start' END WHEN 'view' THEN 'route' WHEN 'error' THEN 'failed'
            WHEN 'signup' THEN 'segmentation' WHEN 'purchase' THEN 'done' END AS stage, value AS seconds,
          CASE WHEN event_type = 'error' THEN CASE event_id % 13 WHEN 0 THEN ['RuntimeError','ConnectionResetError']
            WHEN 1 THEN ['ReadTimeout'] WHEN 2 THEN ['SoftTimeLimitExceeded'] ELSE ['ValueError'] END END AS error_chain,

@@ -31,8 +31,8 @@ def stream_transitions(events: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         out = []
         for r in rows.itertuples(index=False):
-            now = r.stage if r.stage in ("done", "failed") else "processing"
-            at = stage if r.stage == "failed" else r.stage
+            now = {"done": "done", "failed": "failed", "enqueue": "queued"}.get(r.stage, "processing")
+            at = stage if r.stage in ("failed", "enqueue") else r.stage
             if not seen or (now, at) != (last_state, stage):
                 out.append((key[0], r.event_id, r.us, now, at))
             seen, last_state, stage = True, now, at
