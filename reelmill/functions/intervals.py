@@ -9,8 +9,6 @@ from reelmill.functions.ordered import AUTO, resolve_heavy
 
 # Seconds of media per join bucket: the usual maximum length of a segment.
 BUCKET_SEC = 120.0
-# Room for salts inside a bucket number.
-SALT_ROOM = 1 << 20
 
 
 def in_buckets(segments: DataFrame, width: float = BUCKET_SEC) -> DataFrame:
@@ -33,7 +31,7 @@ def match_in_time(
 
     Video and time bucket are equality keys and the span is a residual test, so one long video is spread over as many
     tasks as it has buckets, and nothing degrades to a nested loop. A bucket that is itself heavy is salted: its points are dealt
-    over parts and its few segments copied to each. ``bucket`` in the result is unique per bucket and part, so grouping by it
+    over parts and its few segments copied to each. ``bucket`` in the result is the bucket with its part, so grouping by it
     pre-aggregates where the join ran.
     """
     right = points.withColumn("bucket", F.floor(F.col(at) / width))
@@ -43,10 +41,10 @@ def match_in_time(
         salts = F.broadcast(heavy.select(key, "bucket", "_salts"))
         n = F.coalesce("_salts", F.lit(1).cast("long"))
         dealt = F.pmod(F.xxhash64(*points.columns), n)
-        right = right.join(salts, [key, "bucket"], "left").withColumn("bucket", F.col("bucket") * SALT_ROOM + dealt)
+        right = right.join(salts, [key, "bucket"], "left").withColumn("bucket", F.struct("bucket", dealt.alias("part")))
         copies = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         left = left.join(salts, [key, "bucket"], "left").withColumn("_part", copies)
-        left = left.withColumn("bucket", F.col("bucket") * SALT_ROOM + F.col("_part")).drop("_part", "_salts")
+        left = left.withColumn("bucket", F.struct("bucket", F.col("_part").alias("part"))).drop("_part", "_salts")
     left, right = left.alias("s"), right.alias("p")
     cond = (
         (F.col(f"s.{key}") == F.col(f"p.{key}"))

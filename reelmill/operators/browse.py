@@ -51,13 +51,14 @@ def list_total(videos: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 def list_page(videos: DataFrame, segments: DataFrame, page: int = 1, size: int = PAGE_SIZE, key: str = "video_no") -> DataFrame:
     """One page, newest first, each row with its segment count.
 
-    The page (at most ``PAGE_SIZE_MAX`` rows) is cut first; segments are then counted for those rows only.
+    The page is cut first; segments are then counted for those rows only. A page of at most ``PAGE_SIZE_MAX`` rows is
+    broadcast for that, a larger one is joined like any other table.
     """
-    size = max(1, min(size, PAGE_SIZE_MAX))
+    size = max(1, size)
     rows = videos.orderBy(F.desc("created_s"), key).offset((max(page, 1) - 1) * size).limit(size)
     counts = (
         segments.select(key)
-        .join(F.broadcast(rows.select(key)), key, "left_semi")
+        .join(F.broadcast(rows.select(key)) if size <= PAGE_SIZE_MAX else rows.select(key), key, "left_semi")
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("segment_count"))
     )
@@ -65,7 +66,7 @@ def list_page(videos: DataFrame, segments: DataFrame, page: int = 1, size: int =
 
 
 def video_detail(videos: DataFrame, segments: DataFrame, key: str = "video_no") -> DataFrame:
-    """Video, ordered segments and summary in one row (in numbered parts for very long videos)."""
+    """Video, ordered segments and summary in one row."""
     fields: list[Column] = [F.col(c) for c in ("seg_index", *[c for c in segments.columns if c not in (key, "seg_index")])]
     return videos.join(video_rollup(segments, key, export_times=False), key, "left").join(
         nested_segments(segments, fields, key), key, "left"

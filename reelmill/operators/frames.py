@@ -15,7 +15,8 @@ from reelmill.functions.ordered import AUTO, Ordered, ordered_scan
 from reelmill.schemas import CAPTION_FRAMES, OCR_FRAME_CHARS, REALWORLD_SCENES, SCENE_CUT_SCORE, TEXTY_SCENES
 
 KEY = "video_no"
-MAX_LABELS = 256
+# Labels scored together.
+LABEL_BLOCK = 256
 
 
 def plan_frame_times(
@@ -69,24 +70,27 @@ def plan_frame_times(
 def zero_shot_label(frames: DataFrame, labels: DataFrame, scale: float = 1.0) -> DataFrame:
     """Label each ``embedding`` by softmax over its similarity to the label vectors; the first label wins ties.
 
-    ``labels`` (``label_no``, ``label``, ``vector``) is a vocabulary of at most ``MAX_LABELS`` rows, checked before it
-    goes to the tasks; scoring is one matrix product per Arrow batch, so no frame-label pair becomes a row.
+    ``labels`` (``label_no``, ``label``, ``vector``) is a vocabulary. Each Arrow batch is scored against ``LABEL_BLOCK`` labels at a
+    time, carrying the best one and the sum of the softmax, so no frame-label pair becomes a row.
     """
-    vocabulary = labels.orderBy("label_no").limit(MAX_LABELS + 1).collect()
-    if len(vocabulary) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    vocabulary = labels.orderBy("label_no").collect()
     names = np.array([r["label"] for r in vocabulary], dtype=object)
     matrix = np.array([r["vector"] for r in vocabulary], dtype=np.float64).T
 
     @F.pandas_udf("label string, confidence double")
     def score(vectors: pd.Series) -> pd.DataFrame:
-        if vectors.empty:
-            return pd.DataFrame({"label": pd.Series(dtype=object), "confidence": pd.Series(dtype=float)})
-        sims = np.stack(vectors.to_numpy()).astype(np.float64) @ matrix * scale
-        p = np.exp(sims - sims.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        best = sims.argmax(axis=1)
-        return pd.DataFrame({"label": names[best], "confidence": p[np.arange(len(p)), best]})
+        if vectors.empty or not len(names):
+            return pd.DataFrame({"label": pd.Series([None] * len(vectors), dtype=object), "confidence": pd.Series([None] * len(vectors), dtype=float)})
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        top, best, total = np.full(len(x), -np.inf), np.zeros(len(x), np.int64), np.zeros(len(x))
+        for low in range(0, len(names), LABEL_BLOCK):
+            sims = x @ matrix[:, low : low + LABEL_BLOCK] * scale
+            most = sims.max(axis=1)
+            best = np.where(most > top, low + sims.argmax(axis=1), best)
+            new = np.maximum(top, most)
+            total = total * np.exp(top - new) + np.exp(sims - new[:, None]).sum(axis=1)
+            top = new
+        return pd.DataFrame({"label": names[best], "confidence": 1 / total})
 
     return (
         frames.withColumn("scored", score("embedding"))

@@ -9,10 +9,6 @@ from reelmill.functions.columns import difficulty_rank, round_even, truthy
 from reelmill.functions.intervals import match_in_time
 from reelmill.schemas import DIFFICULTIES
 
-# Segments per nested row of a document: longer videos come as several numbered parts.
-PART_SEGMENTS = 500
-
-
 def _if(name: str, value: Column) -> Column:
     return F.when(F.col("facet") == name, value)
 
@@ -128,19 +124,26 @@ def dominant_scene(segments: DataFrame, frames: DataFrame, key: str = "video_no"
     )
 
 
-def nested_segments(segments: DataFrame, fields: list[Column], key: str = "video_no") -> DataFrame:
-    """Segments of a video in order, nested; videos beyond ``PART_SEGMENTS`` segments continue in further parts."""
-    return (
-        segments.select(key, F.floor(F.col("seg_index") / PART_SEGMENTS).alias("part_no"), F.struct(*fields).alias("s"))
-        .groupBy(key, "part_no")
-        .agg(F.sort_array(F.collect_list("s")).alias("segments"))
-    )
+def nested_segments(
+    segments: DataFrame, fields: list[Column], key: str = "video_no", part_segments: int | None = None
+) -> DataFrame:
+    """Segments of a video in order, nested in one row.
+
+    With ``part_segments`` a longer video continues in further rows, numbered by ``part_no``.
+    """
+    nested, parts = segments.select(key, F.struct(*fields).alias("s")), []
+    if part_segments:
+        part = F.floor(F.col("seg_index") / part_segments).alias("part_no")
+        nested, parts = segments.select(key, part, F.struct(*fields).alias("s")), ["part_no"]
+    return nested.groupBy(key, *parts).agg(F.sort_array(F.collect_list("s")).alias("segments"))
 
 
-def export_documents(videos: DataFrame, segments: DataFrame, timings: DataFrame, key: str = "video_no") -> DataFrame:
-    """Result documents: provenance, rounded lengths, ordered segments and the video summary.
+def export_documents(
+    videos: DataFrame, segments: DataFrame, timings: DataFrame, key: str = "video_no", part_segments: int | None = None
+) -> DataFrame:
+    """Result documents, one row per video: provenance, rounded lengths, ordered segments and the video summary.
 
-    ``timings`` has (video, stage, seconds); its sum is reported to one decimal.
+    ``timings`` has (video, stage, seconds); its sum is reported to one decimal. ``part_segments`` as in :func:`nested_segments`.
     """
     fields = [
         (F.col("seg_index") + 1).alias("segment"),
@@ -159,16 +162,12 @@ def export_documents(videos: DataFrame, segments: DataFrame, timings: DataFrame,
         fields.append(
             F.when(F.col("is_silent"), F.col("objects")).otherwise(F.array().cast("array<string>")).alias("objects_detected")
         )
-    nested = nested_segments(segments, fields, key)
+    nested = nested_segments(segments, fields, key, part_segments)
     summary = video_rollup(segments, key)
     spent = timings.groupBy(key).agg(round_even(F.sum("seconds"), 1).alias("pipeline_time_sec"))
-    return (
-        videos.join(summary, key, "left")
-        .join(spent, key, "left")
-        .join(nested, key, "left")
-        .withColumn("segment_count", F.coalesce("segment_count", F.lit(0).cast("long")))
-        .withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("long")))
-    )
+    docs = videos.join(summary, key, "left").join(spent, key, "left").join(nested, key, "left")
+    docs = docs.withColumn("segment_count", F.coalesce("segment_count", F.lit(0).cast("long")))
+    return docs.withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("long"))) if part_segments else docs
 
 
 def batch_summary(processed: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ Segments carry ``video_no``, ``seg_index``, ``status`` of their video, ``embeddi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import clock_label, round_even, search_tokens
@@ -20,8 +22,8 @@ from reelmill.schemas import GATE_ABS_FLOOR, GATE_REL_RATIO, RRF_K, SEARCH_LIMIT
 
 KEYS = ["video_no", "seg_index"]
 SCORE_DIGITS = 6
-# Queries scored by one batch search; larger query tables are refused rather than collected.
-MAX_BATCH_QUERIES = 4096
+# Queries scored in one pass over the segments; more queries take more passes.
+BATCH_QUERIES = 4096
 BM25_K1, BM25_B = 1.2, 0.75
 
 
@@ -39,8 +41,11 @@ def attribute_filter(
     return segments
 
 
-def clamp_limit(limit: int) -> int:
-    return max(1, min(limit, SEARCH_LIMIT_MAX))
+def checked_limit(limit: int) -> int:
+    """``limit`` itself, refused outside 1 to ``SEARCH_LIMIT_MAX``."""
+    if not 1 <= limit <= SEARCH_LIMIT_MAX:
+        raise ValueError(f"limit must be from 1 to {SEARCH_LIMIT_MAX}")
+    return limit
 
 
 def semantic_scores(segments: DataFrame, query: Sequence[float]) -> DataFrame:
@@ -57,22 +62,39 @@ def semantic_topk(segments: DataFrame, query: Sequence[float], k: int) -> DataFr
 
 
 def semantic_topk_batch(segments: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k for a batch of queries (``query_no``, ``vector``).
+    """Exact top-k for any number of queries (``query_no``, ``vector``).
 
-    The checked, bounded query matrix goes to the tasks. Each partition scores its vectors batch by batch and keeps k rows per query, so
-    only k rows per query and partition are shuffled and no segment-query pair table exists.
+    Queries go to the tasks in blocks of ``BATCH_QUERIES``. Each partition scores its vectors batch by batch and keeps k rows per query,
+    so only k rows per query and partition are shuffled and no segment-query pair table exists.
     """
-    wanted = queries.orderBy("query_no").limit(MAX_BATCH_QUERIES + 1).collect()
-    if len(wanted) > MAX_BATCH_QUERIES:
-        raise ValueError(f"more than {MAX_BATCH_QUERIES} queries in one batch")
-    ids = np.array([r["query_no"] for r in wanted])
-    matrix = np.array([r["vector"] for r in wanted], dtype=np.float64)
+    vectors = _visible(segments).where(F.col("embedding").isNotNull()).select(*KEYS, "embedding")
+    partial = None
+    for block in _query_blocks(queries):
+        best = vectors.mapInPandas(_best_of_partition(block, k), "video_no long, seg_index int, score double, query_no long")
+        partial = best if partial is None else partial.unionByName(best)
+    place = Window.partitionBy("query_no").orderBy(F.desc("score"), *KEYS)
+    return partial.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[list[Row]]:
+    """Queries in order, in blocks; one empty block if there is none."""
+    rows = queries.orderBy("query_no").toLocalIterator()
+    block = list(islice(rows, BATCH_QUERIES))
+    yield block
+    while block := list(islice(rows, BATCH_QUERIES)):
+        yield block
+
+
+def _best_of_partition(block: list[Row], k: int):
+    ids = np.array([r["query_no"] for r in block])
+    matrix = np.array([r["vector"] for r in block], dtype=np.float64)
     if len(matrix):
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = (matrix / np.where(lengths == 0, 1, lengths)).T
 
     def best_of_partition(batches):
-        kept: list[pd.DataFrame] = [pd.DataFrame() for _ in ids]
+        none = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        kept = [none] * len(ids)
         for pdf in batches:
             if pdf.empty or not len(ids):
                 continue
@@ -80,22 +102,21 @@ def semantic_topk_batch(segments: DataFrame, queries: DataFrame, k: int) -> Data
             n = np.linalg.norm(m, axis=1)
             usable = n > 0
             scores = np.round((m[usable] / n[usable, None]) @ matrix, SCORE_DIGITS)
-            rows = pdf.loc[usable, KEYS].reset_index(drop=True)
-            for q in range(len(ids)):
-                mine = rows.assign(score=scores[:, q])
-                if len(mine) > k:  # everything that can still be among the k, ties included
-                    edge = np.partition(scores[:, q], -k)[-k]
-                    mine = mine[mine["score"] >= edge]
-                both = pd.concat([kept[q], mine]).sort_values(["score", *KEYS], ascending=[False, True, True])
-                kept[q] = both.head(k)
-        for q, rows in enumerate(kept):
-            if len(rows):
-                yield rows.assign(query_no=ids[q])
-
-    vectors = _visible(segments).where(F.col("embedding").isNotNull()).select(*KEYS, "embedding")
-    partial = vectors.mapInPandas(best_of_partition, "video_no long, seg_index int, score double, query_no long")
-    place = Window.partitionBy("query_no").orderBy(F.desc("score"), *KEYS)
-    return partial.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+            video, seg = (pdf.loc[usable, c].to_numpy(np.int64) for c in KEYS)
+            if len(scores) > k:  # everything that can still be among the k, ties included
+                edges = np.partition(scores, -k, axis=0)[-k]
+            else:
+                edges = np.full(len(ids), -np.inf)
+            for q, old in enumerate(kept):
+                i = np.flatnonzero(scores[:, q] >= edges[q])
+                s, v, g = (np.concatenate(both) for both in zip(old, (scores[i, q], video[i], seg[i])))
+                first = np.lexsort((g, v, -s))[:k]
+                kept[q] = (s[first], v[first], g[first])
+        for q, (s, v, g) in enumerate(kept):
+            if len(s):
+                yield pd.DataFrame({"video_no": v, "seg_index": g.astype(np.int32), "score": s, "query_no": ids[q]})
+
+    return best_of_partition
 
 
 def inverted_lists(segments: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
@@ -121,9 +142,8 @@ def recall_at_k(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 
 def query_terms(query: str) -> list[str]:
     """Distinct search tokens of a query, in order: the driver-side twin of :func:`search_tokens`."""
-    import regex
-
-    return list(dict.fromkeys(t for t in regex.split(r"[^\p{L}\p{N}]+", query.lower()) if t))
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in query.lower())
+    return list(dict.fromkeys(kept.split()))
 
 
 def keyword_match(segments: DataFrame, query: str) -> DataFrame:
@@ -189,7 +209,7 @@ def search(
     segments: DataFrame, query: str, mode: str = "semantic", k: int = 10, vector: Sequence[float] | None = None
 ) -> DataFrame:
     """Dispatch by mode; unknown modes are semantic, and without a query vector the answer is (and says) keyword."""
-    k = clamp_limit(k)
+    k = checked_limit(k)
     if mode == "keyword" or vector is None:
         hits, used = keyword_topk(segments, query, k), "keyword"
     elif mode == "hybrid":

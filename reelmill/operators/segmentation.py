@@ -228,15 +228,17 @@ def _merge_round(spans: DataFrame, heavy: Heavy) -> DataFrame:
     """One parallel round of shortest-span merges, with the outcome the one-at-a-time rule would have.
 
     A span that is shortest within two places on either side is merged before anything near it can change, so such merges
-    commute. Only spans under twice the video's minimum are taken: those are all reached by the one-at-a-time rule before
-    it stops, since merging all of them leaves at least a quarter of the spans.
+    commute. Only spans under twice the video's minimum (or of the minimum itself, which may be zero) are taken: those are all
+    reached by the one-at-a-time rule before it stops, since merging all of them leaves at least a quarter of the spans. Spans
+    of one length are told apart by their place, so that of equal neighbours one always goes.
     """
     heavy = resolve_heavy(heavy, spans, [KEY])
     order = [F.col("start_sec"), F.col("end_sec")]
     hour = F.floor(F.col("start_sec") / HOUR)
-    here = F.struct((F.col("end_sec") - F.col("start_sec")).alias("dur"), "start_sec", "end_sec")
+    here = F.struct((F.col("end_sec") - F.col("start_sec")).alias("dur"), "place", "start_sec", "end_sec")
+    placed = ordered_scan(spans.select(KEY, "start_sec", "end_sec"), [KEY], order, hour, [Ordered("place", "row_number")], heavy)
     near = ordered_scan(
-        spans.withColumn("me", here),
+        placed.withColumn("me", here),
         [KEY],
         order,
         hour,
@@ -254,7 +256,8 @@ def _merge_round(spans: DataFrame, heavy: Heavy) -> DataFrame:
     def below(other: str) -> Column:
         return F.col(other).isNull() | (F.col("me") < F.col(other))
 
-    ready = (F.col("me.dur") < F.col("shortest") * 2) & below("l1") & below("l2") & below("r1") & below("r2")
+    short = (F.col("me.dur") < F.col("shortest") * 2) | (F.col("me.dur") == F.col("shortest"))
+    ready = short & below("l1") & below("l2") & below("r1") & below("r2")
     to_left = F.col("l1").isNotNull() & (F.col("r1").isNull() | (F.col("l1.dur") <= F.col("r1.dur")))
     decided = wide.withColumn("move", F.when(ready, F.when(to_left, -1).otherwise(1)).otherwise(0))
     told = ordered_scan(
@@ -275,10 +278,15 @@ def shrink_to_fold(
         raise ValueError("fold_limit must be at least four times max_segments")
     spans = materialize(spans)
     small: DataFrame | None = None
+    left = None
     while True:
         counts = spans.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
         big = counts.where(F.col("n") > fold_limit)
-        if big.isEmpty():
+        rows = big.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if left is not None and rows >= left:
+            raise RuntimeError("a round of merges removed no span")
+        left = rows or None
+        if not rows:
             return spans if small is None else small.unionByName(spans)
         settled = spans.join(big, KEY, "left_anti")
         small = settled if small is None else small.unionByName(settled)

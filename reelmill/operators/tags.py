@@ -42,7 +42,15 @@ def _strict(candidate: Column) -> Column:
     Wrapped in brackets, trailing text or a second object is a syntax error or a second element.
     """
     rows = F.from_json(F.concat(F.lit("["), candidate, F.lit("]")), "array<map<string,string>>", STRICT_JSON)
-    return F.when(F.size(rows) == 1, F.get(rows, F.lit(0)))
+    return F.when(F.size(rows) == 1, _last_of_each(F.get(rows, F.lit(0))))
+
+
+def _last_of_each(fields: Column) -> Column:
+    """The map with the last value of a repeated key."""
+    keys, values = F.map_keys(fields), F.map_values(fields)
+    last = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: ~F.array_contains(F.slice(keys, i + 1, F.size(keys)), F.get(keys, i - 1)))
+    pairs = F.transform(last, lambda i: F.struct(F.get(keys, i - 1), F.get(values, i - 1)))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(pairs)).otherwise(fields)
 
 
 def strict_fields(body: Column) -> Column:
@@ -128,7 +136,9 @@ def with_parsed(answers: DataFrame, raw: str, out: str) -> DataFrame:
 def finalize_tags(parsed: Column, is_silent: Column) -> Column:
     """Typed tag fields with defaults; an error keeps only its text."""
     ok = parsed["status"] != "error"
-    given = parsed["fields"]["confidence"].try_cast("double")
+    text_given = parsed["fields"]["confidence"]
+    # a bare true or false is a number too
+    given = F.when(text_given == "true", 1.0).when(text_given == "false", 0.0).otherwise(text_given.try_cast("double"))
     default = F.when(is_silent, 0.5).otherwise(0.7)
     conf = F.coalesce(round_even(given, 2), default)
     fields = parsed["fields"]

@@ -118,7 +118,7 @@ def dominant_scene(spark, sf_dir):
     "export_documents",
     with_views(
         """SELECT v.video_no, v.status, v.language, coalesce(r.segment_count, 0) AS segment_count, r.subject, r.grade, r.difficulty,
-             r.primary_topic, r.topics, r.all_tags, t.pipeline_time_sec, coalesce(d.part_no, 0)::BIGINT AS part_no, d.segments
+             r.primary_topic, r.topics, r.all_tags, t.pipeline_time_sec, d.segments
            FROM segment_videos v LEFT JOIN roll r USING (video_no) LEFT JOIN tim t USING (video_no) LEFT JOIN docs d USING (video_no)""",
         "segments",
         "segment_videos",
@@ -126,7 +126,7 @@ def dominant_scene(spark, sf_dir):
         | {
             "tim": """SELECT l_orderkey AS video_no, round_even(sum(l_quantity)::DOUBLE, 1)::DOUBLE AS pipeline_time_sec
                 FROM lineitem GROUP BY l_orderkey""",
-            "docs": """SELECT video_no, (seg_index//500)::BIGINT AS part_no, string_agg((seg_index+1)||':'||start_sec::BIGINT||'-'||end_sec::BIGINT||' '||topic,
+            "docs": """SELECT video_no, string_agg((seg_index+1)||':'||start_sec::BIGINT||'-'||end_sec::BIGINT||' '||topic,
                 ';' ORDER BY seg_index) AS segments FROM segments GROUP BY ALL""",
         },
     ),
@@ -150,15 +150,14 @@ def export_documents(spark, sf_dir):
 @query(
     "video_detail",
     with_views(
-        """SELECT v.video_no, v.status, r.segment_count, r.subject, r.grade, r.difficulty, p.primary_topic, r.topics, r.all_tags, d.part_no,
-             d.segments
+        """SELECT v.video_no, v.status, r.segment_count, r.subject, r.grade, r.difficulty, p.primary_topic, r.topics, r.all_tags, d.segments
            FROM segment_videos v LEFT JOIN roll r USING (video_no) LEFT JOIN raw_prim p USING (video_no) LEFT JOIN docs d USING (video_no)""",
         "segments",
         "segment_videos",
         extra=ROLLUP_VIEWS
         | {
             "raw_prim": "SELECT video_no, arg_max(topic, (end_sec - start_sec, -seg_index)) AS primary_topic FROM segments GROUP BY 1",
-            "docs": """SELECT video_no, (seg_index//500)::BIGINT AS part_no, string_agg(seg_index||':'||topic||'/'||difficulty,
+            "docs": """SELECT video_no, string_agg(seg_index||':'||topic||'/'||difficulty,
                 ';' ORDER BY seg_index) AS segments FROM segments GROUP BY ALL""",
         },
     ),

@@ -109,7 +109,8 @@ def test_documents_round_trip(spark, tmp):
     docs = spark.createDataFrame(
         [("id1", "/a/x.mp4", 1.5), ("id2", "/b/x.mp4", 2.5), ("id3", "/c/y.mp4", 3.5)], "video_id string, source_path string, duration_sec double"
     )
-    documents.write_documents(docs, f"{tmp}/out")
+    documents.write_documents(docs.where("video_id <> 'id3'"), f"{tmp}/out")
+    documents.write_documents(docs.where("video_id = 'id3'"), f"{tmp}/out")  # a later batch keeps the earlier documents
     back = documents.read_documents(spark, f"{tmp}/out", docs.schema)
     assert rows(back, "video_id") == [("id2",), ("id3",)]  # x.mp4 twice: one stem, one file
     with open(f"{tmp}/out/all_results.json", "w") as f:
@@ -216,9 +217,10 @@ def test_rule_tagger_titles_and_default(spark):
 
 
 def test_long_videos_come_in_parts(spark):
-    n = rollup.PART_SEGMENTS + 3
+    n = 503
     s = spark.range(n).select(F.lit(1).alias("video_no"), F.col("id").cast("int").alias("seg_index"))
-    got = rollup.nested_segments(s, [F.col("seg_index")]).orderBy("part_no").collect()
+    assert len(rollup.nested_segments(s, [F.col("seg_index")]).first().segments) == n
+    got = rollup.nested_segments(s, [F.col("seg_index")], part_segments=500).orderBy("part_no").collect()
     assert [len(r.segments) for r in got] == [n - 3, 3]
     assert [x.seg_index for r in got for x in r.segments] == list(range(n))
 
@@ -376,3 +378,52 @@ def test_hashing_embedder_and_reembedding(spark):
 def test_stable_id_is_path_scoped(spark):
     df = spark.createDataFrame([("/a",), ("/b",)], "p string").select(stable_uuid(F.col("p")).alias("u"))
     assert {r.u for r in df.collect()} == {str(uuid.uuid5(uuid.NAMESPACE_URL, p)) for p in ("/a", "/b")}
+
+
+# --- nothing is cut short -----------------------------------------------------------
+
+
+def test_page_of_any_size(spark):
+    videos = spark.range(1000).select(F.col("id").alias("video_no"), F.col("id").alias("created_s"))
+    segments = spark.range(3000).select((F.col("id") % 1000).alias("video_no"))
+    page = browse.list_page(videos, segments, 1, 1000).collect()
+    assert len(page) == 1000 and {r.segment_count for r in page} == {3}
+
+
+def test_search_refuses_limits_out_of_range(spark):
+    with pytest.raises(ValueError, match="limit"):
+        search.search(spark.range(1), "x", k=101)
+
+
+def test_blocks_of_queries_and_labels(spark, monkeypatch):
+    rng = random.Random(1)
+    vec = lambda: [rng.random() for _ in range(4)]
+    segs = spark.createDataFrame([(i, 0, "done", vec()) for i in range(40)], "video_no long, seg_index int, status string, embedding array<double>")
+    queries = spark.createDataFrame([(i, vec()) for i in range(7)], "query_no long, vector array<double>")
+    labels = spark.createDataFrame([(i, f"l{i}", vec()) for i in range(11)], "label_no int, label string, vector array<double>")
+    whole = sorted(map(tuple, search.semantic_topk_batch(segs, queries, 3).collect()))
+    scenes = sorted(map(tuple, frames.zero_shot_label(segs, labels).collect()))
+    monkeypatch.setattr(search, "BATCH_QUERIES", 2)
+    monkeypatch.setattr(frames, "LABEL_BLOCK", 3)
+    assert len(whole) == 21 and sorted(map(tuple, search.semantic_topk_batch(segs, queries, 3).collect())) == whole
+    assert sorted(map(tuple, frames.zero_shot_label(segs, labels).collect())) == scenes
+
+
+def test_repeated_keys_and_truth_values(spark):
+    raw = [(1, 0, False, '{"topic":"first","topic":"second","confidence":true}', None), (1, 1, True, '{"topic":"x","confidence":false}', None)]
+    got = tags.tag_answers(spark.createDataFrame(raw, "video_no long, seg_index int, is_silent boolean, raw_1 string, raw_2 string"))
+    found = got.orderBy("seg_index").collect()
+    assert [(r.topic, r.confidence, r.confidence_defaulted) for r in found] == [("second", 1.0, False), ("x", 0.0, False)]
+
+
+def test_arrivals_never_refer_to_themselves(spark):
+    cols = "video_id string, source_path string, content_hash string, file_size_bytes long, created_s long"
+    stored = spark.createDataFrame([("a", "/a", "h1", 1, 1, "done", False), ("q", "/q", "h2", 1, 2, "queued", False)], cols + ", status string, is_duplicate boolean")
+    batch = spark.createDataFrame(
+        [("x", "/x", "h1", 1, 20), ("a", "/a", "h1", 1, 30), ("y", "/y", "h2", 1, 5), ("q", "/q", "h2", 1, 40), ("m", "/m", "h3", 1, 9), ("n", "/n", "h3", 1, 8), ("e", "/e", None, 0, 1)], cols
+    )
+    got = {r.video_id: (r.status, r.is_duplicate, r.canonical_video_id) for r in catalog.register_arrivals(batch, stored).collect()}
+    assert got == {
+        "x": ("done", True, "a"), "y": ("done", True, "q"), "q": ("queued", False, None), "m": ("done", True, "n"),
+        "n": ("queued", False, None), "e": ("queued", False, None),
+    }

@@ -228,3 +228,12 @@ def test_attach(spark):
     assert set(map(str, salted.collect())) == set(map(str, op.attach_frame_signals(segs, frames, None).collect()))
     texts = op.attach_transcript(segs, lines, full(lines, "start_sec"))
     assert {(r.video_no, r.seg_index): r.text for r in texts.collect()} == got
+
+
+def test_cap_with_spans_of_no_length(spark):
+    spans = [(1, 10.0 * i, 10.0 * (i + 1)) for i in range(60)] + [(1, 300.0, 300.0)] + [(2, 5.0, 5.0)] * 30 + [(2, 5.0, 9.0)] * 3
+    df = spark.createDataFrame(spans, "video_no long, start_sec double, end_sec double")
+    got = op.shrink_to_fold(df, max_segments=5, fold_limit=20)
+    counts = {r.video_no: r["count"] for r in got.groupBy("video_no").count().collect()}
+    assert 5 <= counts[1] <= 20 and 5 <= counts[2] <= 20
+    assert got.where("video_no = 1").agg(F.min("start_sec"), F.max("end_sec")).first()[:] == (0.0, 600.0)
