@@ -44,6 +44,23 @@ def hashing_embedder(df: DataFrame, text_col: str, out_col: str = "embedding", d
     return unit.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_unit")
 
 
+def digest_embedder(df: DataFrame, keys: list[str], text_col: str, out_col: str = "embedding", dim: int = 64) -> DataFrame:
+    """An embedder that other engines can repeat: counts of tokens in the slot that their MD5 names, unit length; zeros for blank text.
+
+    ``keys`` name a text. Counts of a text combine before they are shuffled.
+    """
+    slot = F.pmod(F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int"), F.lit(dim))
+    tokens = df.select(*keys, F.explode(search_tokens(F.coalesce(text_col, F.lit("")))).alias("token"))
+    counts = tokens.groupBy(*keys, slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    found = counts.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("n"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length")
+    )
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("n", i) / F.col("length"), F.lit(0.0))
+    )
+    return df.join(found, keys, "left").withColumn(out_col, each).drop("n", "length")
+
+
 def vector_quality(df: DataFrame, dim: int) -> DataFrame:
     """Counts of missing, wrongly sized, zero and non-unit vectors."""
     e = F.col("embedding")

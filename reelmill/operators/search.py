@@ -129,6 +129,20 @@ def inverted_lists(segments: DataFrame, n_lists: int, seed: int = 7) -> tuple[Da
     return model.transform(rows).drop("_v"), np.array(model.clusterCenters())
 
 
+def nearest_lists(segments: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Add ``list_no``, the place of the nearest of given ``centroids`` (the first of equally near ones)."""
+    c = np.asarray(centroids, dtype=np.float64)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return pd.Series(dtype="int32")
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        return pd.Series(((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1).astype("int32"))
+
+    return segments.where(F.col("embedding").isNotNull()).withColumn("list_no", nearest("embedding"))
+
+
 def ann_topk(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], k: int, probes: int) -> DataFrame:
     """Approximate top-k: exact scores inside the ``probes`` lists nearest to the query; all lists give the exact answer."""
     nearest = np.argsort(((centroids - np.asarray(query)) ** 2).sum(axis=1), kind="stable")[:probes]

@@ -8,12 +8,11 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import round_even, search_tokens
-from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, TOP_ENTITIES, TOP_KEYWORDS
+from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, STOP_WORDS, TOP_ENTITIES, TOP_KEYWORDS
 
 
 def _counts(tokens: list[str]) -> dict[str, int]:
@@ -61,23 +60,20 @@ def keyword_share(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS)
 
 
 def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) -> DataFrame:
-    """Phrases without English stop words, ranked by TF-IDF within each text.
+    """Phrases without English stop words, ranked by TF-IDF (to six decimals) within each text, ties by phrase.
 
     The document frequencies are one row per phrase; a very common phrase is skewed on the other side of that
     join only, which adaptive execution splits.
     """
-    plain = docs.select(key, search_tokens(F.col("text")).alias("all_tokens"))
-    kept = StopWordsRemover(
-        inputCol="all_tokens", outputCol="tokens", stopWords=StopWordsRemover.loadDefaultStopWords("english")
-    ).transform(plain)
-    tf = phrase_counts(kept, key, F.col("tokens")).drop("place")
+    tokens = F.filter(search_tokens(F.col("text")), lambda t: ~t.isin(STOP_WORDS))
+    tf = phrase_counts(docs, key, tokens).drop("place")
     df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     size = docs.agg(F.count(F.lit(1)).alias("size")).scalar()
-    score = F.col("n") / F.col("total") * F.log((size + 1) / (F.col("df") + 1))
+    score = round_even(F.col("n") / F.col("total") * F.log((size + 1) / (F.col("df") + 1)), 6)
     place = Window.partitionBy(key).orderBy(F.desc("score"), "phrase")
     return (
         tf.join(df, "phrase")
-        .select(key, "phrase", round_even(score, 6).alias("score"))
+        .select(key, "phrase", score.alias("score"))
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") <= top)
     )

@@ -8,6 +8,7 @@ from reelmill.operators import text as tx
 from reelmill.plans import library as lib
 from reelmill.plans.registry import query
 from reelmill.plans.views import with_views
+from reelmill.schemas import STOP_WORDS
 
 # 2024-02-01 00:00:00 UTC
 NOW_US = 1_706_745_600_000_000
@@ -191,7 +192,18 @@ def keyword_share(spark, sf_dir):
     return tx.keyword_share(lib.texts(spark, sf_dir).select("doc_id", "text"))
 
 
-@query("keyphrases")
+@query(
+    "keyphrases",
+    f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+             lambda x: x <> '' AND x NOT IN ({", ".join(repr(w) for w in STOP_WORDS)})) AS k FROM documents),
+         p AS (SELECT doc_id, list_filter(k || list_transform(range(1, len(k)), lambda i: k[i]||' '||k[i+1]),
+                 lambda x: length(x) BETWEEN 2 AND 40) AS l FROM t),
+         c AS (SELECT doc_id, phrase, total, count(*) AS n FROM (SELECT doc_id, len(l) AS total, unnest(l) AS phrase FROM p) GROUP BY ALL),
+         s AS (SELECT doc_id, phrase, round_even(n/total::DOUBLE * ln(((SELECT count(*) FROM documents) + 1)/(df + 1)::DOUBLE), 6)::DOUBLE AS score
+               FROM c JOIN (SELECT phrase, count(*) AS df FROM c GROUP BY phrase) USING (phrase))
+       SELECT doc_id, phrase, score, place::INTEGER AS place FROM (SELECT *, row_number() OVER
+         (PARTITION BY doc_id ORDER BY score DESC, phrase) AS place FROM s) WHERE place <= 20""",
+)
 def keyphrases(spark, sf_dir):
     return tx.keyphrases(lib.texts(spark, sf_dir).select("doc_id", "text"))
 

@@ -1,10 +1,13 @@
 """Search queries over the derived corpus and vectors."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from reelmill.functions import vectors as vec
+from reelmill.functions.columns import round_even
 from reelmill.operators import maintenance as mt
 from reelmill.operators import search as op
+from reelmill.operators.segmentation import transcript_windows
 from reelmill.plans import library as lib
 from reelmill.plans.registry import query
 from reelmill.plans.views import with_views
@@ -72,11 +75,31 @@ def semantic_topk_batch(spark, sf_dir):
     return op.semantic_topk_batch(lib.vectors(spark, sf_dir), queries, 10)
 
 
-@query("ann_topk")
+@query(
+    "ann_topk",
+    with_views(
+        """SELECT video_no, seg_index, score, (SELECT count(*) FROM found f SEMI JOIN exact e USING (video_no, seg_index))/10.0::DOUBLE AS recall
+           FROM found""",
+        "vectors",
+        extra=MEAN
+        | {
+            "cents": """SELECT label AS list_no, list(round_even(m, 6)::DOUBLE ORDER BY i) AS vec FROM (SELECT label, i, avg(v) AS m FROM
+                (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY ALL) GROUP BY label""",
+            "lists": """SELECT video_no, seg_index, status, embedding, arg_min(list_no, (list_distance(embedding::DOUBLE[], vec), list_no)) AS list_no
+                FROM vectors, cents GROUP BY ALL""",
+            "near": "SELECT list_no FROM cents, mean_vec ORDER BY list_distance(vec, qv), list_no LIMIT 4",
+            "found": f"""SELECT * FROM ({scored_sql("lists", "list_no IN (SELECT list_no FROM near)")})
+                ORDER BY score DESC, video_no, seg_index LIMIT 10""",
+            "exact": f"SELECT * FROM ({scored_sql('vectors')}) ORDER BY score DESC, video_no, seg_index LIMIT 10",
+        },
+    ),
+)
 def ann_topk(spark, sf_dir):
+    """Lists around the label centroids, of which the four nearest are searched."""
     segs, q = lib.vectors(spark, sf_dir), mean_vector(spark, sf_dir)
-    lists, centroids = op.inverted_lists(segs, n_lists=10)
-    found = op.ann_topk(lists, centroids, q, 10, probes=4)
+    centroids = [r["vector"] for r in lib.label_centroids(spark, sf_dir).orderBy("label_no").collect()]
+    lists = op.nearest_lists(segs, centroids)
+    found = op.ann_topk(lists, np.array(centroids), q, 10, probes=4)
     recall = op.recall_at_k(found, op.semantic_topk(segs, q, 10), 10)
     return found.select(*op.KEYS, "score").withColumn("recall", recall.scalar())
 
@@ -213,7 +236,23 @@ def vector_quality(spark, sf_dir):
     return vec.vector_quality(lib.table(spark, sf_dir, "embeddings"), 64)
 
 
-@query("window_embedding")
+@query(
+    "window_embedding",
+    with_views(
+        """SELECT video_no, window_no, slot::INTEGER AS slot, round_even(n/sqrt(sum(n*n) OVER (PARTITION BY video_no, window_no))::DOUBLE, 6)::DOUBLE
+             AS weight FROM slot_counts""",
+        "windows",
+        extra={
+            "hashes": """SELECT video_no, window_no, md5(unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'),
+                lambda x: x <> ''))) AS h FROM windows""",
+            "slot_counts": """SELECT video_no, window_no, ((instr(d, h[1])-1)*4096 + (instr(d, h[2])-1)*256 + (instr(d, h[3])-1)*16
+                + instr(d, h[4])-1) % 64 AS slot, count(*) AS n FROM hashes, (SELECT '0123456789abcdef' AS d) GROUP BY ALL""",
+        },
+    ),
+)
 def window_embedding(spark, sf_dir):
-    docs = lib.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return vec.hashing_embedder(docs, "text").select("doc_id", "embedding")
+    """The slots of each transcript window's vector that aren't zero."""
+    windows = transcript_windows(lib.transcript(spark, sf_dir)).select("video_no", "window_no", "text")
+    vectors = vec.digest_embedder(windows, ["video_no", "window_no"], "text")
+    slots = vectors.select("video_no", "window_no", F.posexplode("embedding").alias("slot", "weight")).where("weight > 0")
+    return slots.withColumn("weight", round_even(F.col("weight"), 6))
