@@ -21,6 +21,7 @@ from reelmill.functions.vectors import cosine_to
 from reelmill.schemas import GATE_ABS_FLOOR, GATE_REL_RATIO, RRF_K, SEARCH_LIMIT_MAX
 
 KEYS = ["video_no", "seg_index"]
+HIT_FIELDS = ["start_sec", "end_sec", "topic", "subject", "grade_level", "summary", "source_name"]
 SCORE_DIGITS = 6
 # Queries scored in one pass over the segments; more queries take more passes.
 BATCH_QUERIES = 4096
@@ -32,10 +33,14 @@ def _visible(segments: DataFrame) -> DataFrame:
 
 
 def attribute_filter(
-    segments: DataFrame, subject: str | None = None, grade: str | None = None, has_speech: bool | None = None
+    segments: DataFrame,
+    subject: str | None = None,
+    grade: str | None = None,
+    has_speech: bool | None = None,
+    content_type: str | None = None,
 ) -> DataFrame:
     """Exact-match filters applied before any ranking."""
-    for col, value in (("subject", subject), ("grade_level", grade), ("has_speech", has_speech)):
+    for col, value in (("subject", subject), ("grade_level", grade), ("has_speech", has_speech), ("content_type", content_type)):
         if value is not None:
             segments = segments.where(F.col(col) == value)
     return segments
@@ -230,7 +235,17 @@ def search(
         hits, used = hybrid_rrf(segments, query, vector, k), "hybrid"
     else:
         hits, used = semantic_topk(segments, vector, k), "semantic"
-    return hits.select(*KEYS, F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(used).alias("mode"))
+    found = hits.select(*KEYS, F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(used).alias("mode"))
+    return with_hit_fields(found, segments)
+
+
+def with_hit_fields(hits: DataFrame, segments: DataFrame) -> DataFrame:
+    """What a hit shows besides its score: times, topic, subject, grade, summary and source, as far as the segments have them.
+
+    ``hits`` are at most ``SEARCH_LIMIT_MAX`` rows, so they are broadcast to the segments.
+    """
+    shown = segments.select(*KEYS, *[c for c in HIT_FIELDS if c in segments.columns])
+    return shown.join(F.broadcast(hits), KEYS)
 
 
 def relevance_gate(hits: DataFrame, min_score: float | None = None, semantic: bool = True) -> DataFrame:

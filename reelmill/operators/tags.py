@@ -26,6 +26,7 @@ from reelmill.schemas import (
 
 KEY = "video_no"
 TEXTS = "array<string>"
+STORED_FLAGS = ("_parse_error", "_recovered", "_retried", "confidence_defaulted", "scenes", "objects", "captions")
 # A JSON number, text in quotes or a JSON literal counts as a value; single quotes are not JSON.
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
@@ -204,8 +205,33 @@ def recover_failed_rows(stored: DataFrame) -> DataFrame:
     )
 
 
+def stored_extra(tagged: DataFrame) -> Column:
+    """What isn't a core column, as one map: other fields of the answer, how it was read, and the visual evidence as JSON."""
+
+    def flag(name: str, holds: Column, text: Column | None = None) -> Column:
+        return F.struct(F.lit(name).alias("key"), F.when(holds, F.lit("true") if text is None else text).alias("value"))
+
+    have = set(tagged.columns)
+    kept = F.coalesce(F.map_filter("extra", lambda k, _: ~k.isin(*STORED_FLAGS)), F.create_map().cast("map<string,string>"))
+    evidence = [
+        flag(c, F.lit(True), F.to_json(F.coalesce(F.col(c), F.array().cast(TEXTS))) if c in have else F.lit("[]"))
+        for c in ("scenes", "objects", "captions")
+    ]
+    flags = F.array(
+        flag("_parse_error", F.col("status") == "error", F.coalesce("error", F.lit(""))),
+        flag("_recovered", F.col("status") == "recovered"),
+        flag("_retried", F.col("retried") if "retried" in have else F.lit(False)),
+        flag("confidence_defaulted", F.col("confidence_defaulted")),
+        *evidence,
+    )
+    return F.map_concat(kept, F.map_from_entries(F.filter(flags, lambda x: x["value"].isNotNull())))
+
+
 def project_typed_columns(tagged: DataFrame, dim: int) -> DataFrame:
-    """Stored segment row: nine core columns, everything else in ``llm_extra``; a missing vector becomes zeros."""
+    """Stored segment row: nine core columns, everything else in ``llm_extra``; a missing vector becomes zeros.
+
+    Failed answers are stored too, with empty fields and their text in ``llm_extra``, where :func:`recover_failed_rows` finds it.
+    """
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     vector = F.coalesce(F.col("embedding"), zero) if "embedding" in tagged.columns else zero
     empty = F.array().cast(TEXTS)
@@ -215,7 +241,7 @@ def project_typed_columns(tagged: DataFrame, dim: int) -> DataFrame:
         *[c for c in CORE_TAG_FIELDS if c not in ("tags", "subtopics")],
         F.coalesce("tags", empty).alias("tags"),
         F.coalesce("subtopics", empty).alias("subtopics"),
-        F.col("extra").alias("llm_extra"),
+        stored_extra(tagged).alias("llm_extra"),
         vector.alias("embedding"),
     )
 

@@ -257,6 +257,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("subject"),
         F.col("lang").alias("grade_level"),
         (F.col("video_no") % 3 != 0).alias("has_speech"),
+        F.lit(0.0).alias("start_sec"),
+        (F.char_length("text") / 16).alias("end_sec"),
+        F.substring("text", 1, 20).alias("topic"),
+        F.substring("text", 1, 60).alias("summary"),
+        F.concat(F.col("video_no").cast("string"), F.lit(".mp4")).alias("source_name"),
         "text",
         "tokens",
         "embedding",

@@ -155,9 +155,10 @@ def hybrid_rrf(spark, sf_dir):
 @query(
     "search_dispatch",
     with_views(
-        f"""SELECT video_no, seg_index, score, 'keyword' AS mode FROM ({bm25_sql("LIMIT 10")})
+        f"""SELECT video_no, seg_index, start_sec, end_sec, topic, subject, grade_level, summary, source_name, score, mode FROM corpus JOIN (
+            SELECT video_no, seg_index, score, 'keyword' AS mode FROM ({bm25_sql("LIMIT 10")})
             UNION ALL SELECT video_no, seg_index, score, 'hybrid' FROM fused
-            UNION ALL SELECT video_no, seg_index, score, 'semantic' FROM sem WHERE r <= 10""",
+            UNION ALL SELECT video_no, seg_index, score, 'semantic' FROM sem WHERE r <= 10) USING (video_no, seg_index)""",
         "corpus",
         extra=RRF,
     ),

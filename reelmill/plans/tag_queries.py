@@ -161,15 +161,17 @@ def recover_failed_rows(spark, sf_dir):
 @query(
     "project_typed_columns",
     with_views(
-        """SELECT video_no, seg_index, topic, subject, grade_level, difficulty, confidence, tags, CASE WHEN mood IS NULL THEN '' ELSE 'mood=calm' END
-           AS llm_extra, 64 AS dim, 0.0::DOUBLE AS vector_sum FROM merged WHERE status <> 'error'""",
+        """SELECT video_no, seg_index, topic, subject, grade_level, difficulty, confidence, coalesce(tags, '') AS tags, concat_ws(',',
+             CASE WHEN mood IS NOT NULL THEN 'mood='||mood END, CASE WHEN status = 'error' THEN '_parse_error='||coalesce(error, '') END,
+             CASE WHEN status = 'recovered' THEN '_recovered=true' END, CASE WHEN retried THEN '_retried=true' END,
+             CASE WHEN confidence_defaulted THEN 'confidence_defaulted=true' END, 'scenes=[],objects=[],captions=[]') AS llm_extra,
+             64 AS dim, 0.0::DOUBLE AS vector_sum FROM merged""",
         "raw_answers",
         extra=P1 | P2 | MERGED,
     ),
 )
 def project_typed_columns(spark, sf_dir):
-    tagged = op.tag_answers(lib.raw_answers(spark, sf_dir)).where("status <> 'error'")
-    rows = op.project_typed_columns(tagged, dim=64)
+    rows = op.project_typed_columns(op.tag_answers(lib.raw_answers(spark, sf_dir)), dim=64)
     extra = F.transform(F.map_entries("llm_extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select(
         "video_no",
