@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import round_even
@@ -110,7 +110,7 @@ def readiness(checks: DataFrame, flag: str = "alive") -> DataFrame:
 def stage_timings(events: DataFrame) -> DataFrame:
     """Count, total, mean and share of time per stage."""
     per = events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("spent"))
-    total = per.agg(F.sum("spent").alias("t")).scalar()
+    total = F.sum("spent").over(Window.partitionBy(F.lit(0)))  # over one row per stage
     return per.select(
         "stage",
         "n",

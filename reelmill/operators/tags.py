@@ -63,12 +63,14 @@ def strict_fields(body: Column) -> Column:
     unescaped = F.replace(F.replace(body, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
     open_quote = (F.length(unescaped) - F.length(F.replace(unescaped, F.lit('"'), F.lit("")))) % 2 == 1
     closed = F.regexp_like(body, F.lit(r"\}\s*$"))
+    # a text that is cut inside a string can only be closed where the string is the value of a key
+    in_value = open_quote & F.regexp_like(body, F.lit(r':\s*"(?:[^"\\]++|\\.)*+$'))
     cut = F.regexp_extract(body, r"(?s)^(.*\})", 1)
     return F.coalesce(
         F.when(closed & ~open_quote, _strict(body)),
         F.when(~open_quote, _strict(F.concat(body, F.lit("}")))),
-        F.when(open_quote, _strict(F.concat(body, F.lit('"}')))),
-        F.when(open_quote, _strict(F.concat(body, F.lit('"}}')))),
+        F.when(in_value, _strict(F.concat(body, F.lit('"}')))),
+        F.when(in_value, _strict(F.concat(body, F.lit('"}}')))),
         F.when(~closed & (cut != ""), _strict(cut)),
     )
 
@@ -173,9 +175,9 @@ def tag_answers(answers: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("raw_2", F.when(F.col("p1.status") == "error", F.col("raw_2")))
     parsed = with_parsed(parsed, "raw_2", "p2")
     second = F.when(F.col("raw_2").isNotNull(), F.col("p2"))
-    merged = once(parsed, "m", retry_merge(F.col("p1"), second))
-    typed = once(merged, "t", finalize_tags(F.col("m.tags"), F.col("is_silent")))
-    return typed.select(KEY, "seg_index", "is_silent", "t.*", "m.retried")
+    merged = retry_merge(F.col("p1"), second)
+    typed = once(parsed.withColumn("retried", merged["retried"]), "t", finalize_tags(merged["tags"], F.col("is_silent")))
+    return typed.select(KEY, "seg_index", "is_silent", "t.*", "retried")
 
 
 def parse_status_report(tagged: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ searchable corpus) is computed by Spark from whole input tables, so the work of
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,9 +317,10 @@ def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector per label (6 decimals), numbered by label."""
-    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.bround(F.avg(F.col("x").cast("double")), 6).alias("m"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    return means.groupBy("label").agg(ordered.alias("vector")).select(
-        F.col("label").alias("label_no"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("label"), "vector"
+    vectors = table(spark, sf_dir, "embeddings").select("label", array_to_vector("embedding").alias("v"))
+    means = vectors.groupBy("label").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    return means.select(
+        F.col("label").alias("label_no"),
+        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("label"),
+        F.transform("m", lambda x: F.bround(x, 6)).alias("vector"),
     )

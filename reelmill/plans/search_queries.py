@@ -1,6 +1,8 @@
 """Search queries over the derived corpus and vectors."""
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from reelmill.functions import vectors as vec
@@ -17,9 +19,9 @@ TEXT = "the and"
 
 def mean_vector(spark, sf_dir):
     """Query vector: the mean of all vectors, to 6 decimals (one small row)."""
-    parts = lib.table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("i", "x"))
-    rows = parts.groupBy("i").agg(F.bround(F.avg(F.col("x").cast("double")), 6).alias("m")).orderBy("i").collect()
-    return [r["m"] for r in rows]
+    vectors = lib.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("v"))
+    mean = vectors.select(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    return mean.select(F.transform("m", lambda x: F.bround(x, 6))).first()[0]
 
 
 MEAN = {
