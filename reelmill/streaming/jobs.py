@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from reelmill.operators.jobs import JOB, job_fold
 
 TRANSITION = "job_no long, event_id long, us long, state string, current_stage string"
+# How long the state of a finished job is kept after its last event.
+FINISHED_KEPT_MS = 7 * 24 * 3600 * 1000
 LIVENESS = "worker long, last_us long, alive boolean"
 
 
@@ -20,27 +22,35 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return events.groupBy(JOB).agg(*job_fold())
 
 
-def stream_transitions(events: DataFrame) -> DataFrame:
+def stream_transitions(events: DataFrame, keep_ms: int = FINISHED_KEPT_MS) -> DataFrame:
     """Changes of (state, stage) per job, keeping the last pair of each job as state.
 
-    Events of a job must not arrive out of order across micro-batches; inside one they are sorted.
+    Events of a job must not arrive out of order across micro-batches; inside one they are sorted. The state of a job that is done or
+    has failed is dropped when nothing has been heard of it for ``keep_ms``; a later event then counts as its first.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last_state, stage = state.get if state.exists else (False, None, None)
+        columns = ["job_no", "event_id", "us", "state", "current_stage"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        seen, last_state, last_stage = state.get if state.exists else (False, None, None)
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            now = {"done": "done", "failed": "failed", "enqueue": "queued"}.get(r.stage, "processing")
-            at = stage if r.stage in ("failed", "enqueue") else r.stage
-            if not seen or (now, at) != (last_state, stage):
-                out.append((key[0], r.event_id, r.us, now, at))
-            seen, last_state, stage = True, now, at
-        state.update((seen, last_state, stage))
-        yield pd.DataFrame(out, columns=["job_no", "event_id", "us", "state", "current_stage"])
+        now = rows["stage"].map({"done": "done", "failed": "failed", "enqueue": "queued"}).fillna("processing")
+        at = rows["stage"].where(~rows["stage"].isin(["failed", "enqueue"])).ffill().fillna(last_stage or "")
+        before = pd.DataFrame({"state": now.shift(fill_value=last_state or ""), "stage": at.shift(fill_value=last_stage or "")})
+        changed = (now != before["state"]) | (at != before["stage"])
+        if not seen:
+            changed.iloc[0] = True
+        out = rows[changed].assign(job_no=key[0], state=now[changed], current_stage=at[changed].replace("", None))
+        state.update((True, now.iloc[-1], at.iloc[-1] or None))
+        if now.iloc[-1] in ("done", "failed"):
+            state.setTimeoutDuration(keep_ms)
+        yield out[columns]
 
     return events.groupBy(JOB).applyInPandasWithState(
-        advance, TRANSITION, "seen boolean, state string, stage string", "append", GroupStateTimeout.NoTimeout
+        advance, TRANSITION, "seen boolean, state string, stage string", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

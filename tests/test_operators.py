@@ -427,3 +427,13 @@ def test_arrivals_never_refer_to_themselves(spark):
         "x": ("done", True, "a"), "y": ("done", True, "q"), "q": ("queued", False, None), "m": ("done", True, "n"),
         "n": ("queued", False, None), "e": ("queued", False, None),
     }
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE_BYTES", 10)
+    for name, body in (("a.MP4", b"x" * 100), ("b.mkv", b"small"), ("c.txt", b"not a video")):
+        with open(f"{tmp}/{name}", "wb") as f:
+            f.write(body)
+    found = files.identify(spark, files.discover_folder(spark, tmp), tmp)
+    got = {os.path.basename(r.source_path): (r.content_hash, r.file_size_bytes) for r in found.collect()}
+    assert got == {"a.MP4": (hashlib.sha256(b"x" * 100).hexdigest(), 100), "b.mkv": (hashlib.sha256(b"small").hexdigest(), 5)}
