@@ -1,6 +1,4 @@
-"""Table schemas and the fixed values every operator shares."""
-
-from pyspark.sql import types as T
+"""The fixed values every operator shares."""
 
 # --- fixed values -----------------------------------------------------------
 # Labels, thresholds and word lists that results must agree on.
@@ -129,55 +127,8 @@ PHRASE_MIN_CHARS = 2
 PHRASE_MAX_CHARS = 40
 BOARD_SIZE = 12
 RECENT_JOBS = 20
-# --- end of fixed values ----------------------------------------------------
-
-VIDEOS = T.StructType(
-    [
-        T.StructField("video_id", T.StringType(), False),
-        T.StructField("source_path", T.StringType(), False),
-        T.StructField("content_hash", T.StringType()),
-        T.StructField("file_size_bytes", T.LongType()),
-        T.StructField("duration_sec", T.DoubleType()),
-        T.StructField("language", T.StringType()),
-        T.StructField("has_speech", T.BooleanType()),
-        T.StructField("tagging_path", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("is_duplicate", T.BooleanType()),
-        T.StructField("canonical_video_id", T.StringType()),
-        T.StructField("error_message", T.StringType()),
-        T.StructField("runtime", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("stage_timings", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("updated_at", T.TimestampType()),
-    ]
-)
 
-SEGMENTS = T.StructType(
-    [
-        T.StructField("video_id", T.StringType(), False),
-        T.StructField("seg_index", T.IntegerType(), False),
-        T.StructField("start_sec", T.DoubleType()),
-        T.StructField("end_sec", T.DoubleType()),
-        T.StructField("topic", T.StringType()),
-        T.StructField("subject", T.StringType()),
-        T.StructField("grade_level", T.StringType()),
-        T.StructField("difficulty", T.StringType()),
-        T.StructField("content_type", T.StringType()),
-        T.StructField("tags", T.ArrayType(T.StringType())),
-        T.StructField("subtopics", T.ArrayType(T.StringType())),
-        T.StructField("summary", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("transcript_text", T.StringType()),
-        T.StructField("ocr", T.StringType()),
-        T.StructField("scenes", T.ArrayType(T.StringType())),
-        T.StructField("objects", T.ArrayType(T.StringType())),
-        T.StructField("captions", T.ArrayType(T.StringType())),
-        T.StructField("llm_extra", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-    ]
-)
-
-# English words that never begin, end or fill a keyphrase (Spark's default list, words of letters only).
+# English words that never begin, end or fill a keyphrase (Spark's default list, words of letters only).
 STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
 itself they them their theirs themselves what which who whom this that these those am is are was were be been being
@@ -186,3 +137,4 @@ between into through during before after above below to from up down in out on o
 here there when where why how all any both each few more most other some such no nor not only own same so than too
 very s t can will just don should now cannot could ought would
 """.split()
+# --- end of fixed values ----------------------------------------------------
