@@ -53,16 +53,14 @@ def pieces(text: Column, kind: str) -> Column:
 def candidate_spans(docs: DataFrame) -> DataFrame:
     """A row (``id``, ``row``, ``owner``, ``repository``, ``kind``, ``start``, ``end``, ``digest``) for each match of ``docs``
     (``id``, ``text``, ``owner``, ``repository``) that is long enough."""
+    kinds = F.array(*[F.struct(F.lit(no).alias("kind"), pieces(F.col("text"), k).alias("found")) for no, k in enumerate(KINDS)])
     found = docs.select(
-        "id", F.xxhash64("text").alias("row"), "owner", "repository",
-        *[pieces(F.col("text"), k).alias(k) for k in KINDS],
-    ).where(F.coalesce(*KINDS).isNotNull())
+        "id", F.xxhash64("text").alias("row"), "owner", "repository", F.filter(kinds, lambda x: F.size(x["found"]) > 0).alias("kinds")
+    ).where(F.size("kinds") > 0)
     # repeated rows are looked at once, with an owner of each
-    found = found.groupBy(*ROW, "owner", "repository").agg(*[F.first(k).alias(k) for k in KINDS])
-    each = None
-    for no, kind in enumerate(KINDS):
-        rows = found.where(F.col(kind).isNotNull()).select(*ROW, "owner", "repository", F.lit(no).alias("kind"), F.posexplode(kind).alias("no", "x"))
-        each = rows if each is None else each.unionByName(rows)
+    found = found.groupBy(*ROW, "owner", "repository").agg(F.first("kinds").alias("kinds"))
+    each = found.select(*ROW, "owner", "repository", F.explode("kinds").alias("k"))
+    each = each.select(*ROW, "owner", "repository", "k.kind", F.posexplode("k.found").alias("no", "x"))
     order = Window.partitionBy(*ROW, "owner", "repository", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("x.gap").cast("long") + F.col("x.size")).over(order)
     spans = each.select("*", end.alias("end"))
