@@ -29,3 +29,18 @@ def components(links: DataFrame) -> DataFrame:
         if not changed:
             forget(both)
             return labels.select("id", F.col("l").alias("component"))
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """Rows (``id``, ``component``): where the way from each id of ``parents`` (``a``, each once, to a smaller ``b``) ends.
+
+    Each round an id looks twice as far.
+    """
+    now = stored(parents.select(F.col("a").alias("id"), F.col("b").alias("to")), "parents")
+    while True:
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        step = stored(now.join(far, "to", "left").select("id", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "parents")
+        forget(now)
+        now = step
+        if not step.where("moved").limit(1).count():
+            return now.select("id", F.col("to").alias("component"))

@@ -157,6 +157,16 @@ def test_components_by_brute_force(spark):
     assert got == {i: root[i] for i in {x for p in links if p[0] != p[1] for x in p}}
 
 
+def test_roots_of_a_forest(spark):
+    up = {i: (i - 1 if i % 7 else i - 7) for i in range(1, 60) if i % 20}
+    got = {r.id: r.component for r in components.roots(spark.createDataFrame([*up.items()], "a long, b long")).collect()}
+
+    def end(i):
+        return end(up[i]) if i in up else i
+
+    assert got == {i: end(i) for i in up}
+
+
 # --- language model
 
 
