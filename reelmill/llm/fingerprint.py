@@ -1,10 +1,14 @@
 """Digests of documents from their improbable features.
 
-Every window of 64 bytes (16 in texts of under 512 code points, which have few others) gets the rank of its entropy's rarity: the farther the entropy lies from that of usual text, the rarer. In each
-run of as many neighbouring windows the rarest (of equal ones the leftmost) gains a vote, and windows with enough votes are the document's
-features. Their hashes go into Bloom filters of 2048 bits, five bits each; a filter that has taken its 160 features is closed and
-the next one of the chain begun. The likeness of two digests is the mean, over the filters of the shorter chain, of the best overlap of
-set bits with a filter of the other chain, less what chance gives, from 0 to 1.
+Every window of 16 bytes, and in texts of 512 code points or more also every window of 64 bytes, gets the rank of its entropy's rarity:
+the farther the entropy lies from that of usual text, the rarer. In each run of as many neighbouring windows the rarest (of equal ones
+the leftmost) gains a vote, and windows with enough votes are the document's features. Their hashes go into Bloom filters of 2048 bits,
+five bits each; a filter that has taken its 160 features is closed and the next one of the chain begun. A digest is the chain of the
+16-byte windows, followed by that of the 64-byte windows if there is one; the first byte of each filter's row says which it belongs to.
+
+Two digests are compared by the widest windows that both have, so that texts on either side of 512 code points can be alike. Their
+likeness is the mean, over the filters of the shorter chain, of the best overlap of set bits with a filter of the other chain, less what
+chance gives, from 0 to 1.
 
 A text without such a window (shorter than one, or all of near-constant bytes) has itself as its only feature. A null or empty
 text has no feature and the empty digest, which is like another empty one (1) and unlike all else (0).
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 from reelmill.llm.arrow import append_columns, slices, text_array, text_bytes
 from reelmill.llm.words import ODD, mix
 
-#: Code points from which a text is long.
+#: Code points from which a text has a chain of long windows too.
 LONG = 512
 
 
@@ -111,8 +115,8 @@ def features(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[n
     return x[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
 
 
-def digests(texts: pa.Array, windows: Windows) -> list[np.ndarray]:
-    """The chain of filters (rows of 256 bytes) of each text."""
+def chains(texts: pa.Array, windows: Windows) -> list[np.ndarray]:
+    """The chain of filters of each text: rows of the window's width and 256 bytes."""
     x, at = features(*text_bytes(texts), windows)
     count = np.diff(at)
     chain = -(-count // FEATURES_IN_FILTER)
@@ -123,14 +127,21 @@ def digests(texts: pa.Array, windows: Windows) -> list[np.ndarray]:
     for k in range(BITS_OF_FEATURE):
         bit = ((x >> np.uint64(11 * k)) & np.uint64(2047)).astype(np.int64)
         np.bitwise_or.at(filters, number * FILTER_BYTES + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    filters = filters.reshape(-1, FILTER_BYTES)
+    filters = np.insert(filters.reshape(-1, FILTER_BYTES), 0, windows.width, axis=1)
     return [filters[i:j] for i, j in zip(start[:-1], start[1:])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """How like two chains of filters are, 0 to 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
+    """How like two digests are, 0 to 1, by the widest windows that both have."""
+    for width in (OF_LONG.width, OF_SHORT.width):
+        x, y = a[a[:, 0] == width, 1:], b[b[:, 0] == width, 1:]
+        if len(x) and len(y):
+            return chain_likeness(x, y)
+    return float(len(a) == len(b))
+
+
+def chain_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """How like two chains of filters of one window width are, 0 to 1."""
     if len(a) > len(b):
         a, b = b, a
     x, y = np.unpackbits(a, axis=1), np.unpackbits(b, axis=1)
@@ -146,18 +157,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((score * m).sum() / m.sum())
 
 
-def fingerprint_text(chain: np.ndarray) -> str:
-    return chain.tobytes().hex()
+def fingerprint_text(digest: np.ndarray) -> str:
+    return digest.tobytes().hex()
 
 
 def fingerprints(texts: pa.Array) -> list[np.ndarray]:
-    """The chain of filters (rows of 256 bytes) of each text."""
-    long = np.asarray(pc.utf8_length(texts)) >= LONG
-    out: list[np.ndarray] = [np.zeros((0, FILTER_BYTES), np.uint8)] * len(texts)
-    for windows, chosen in ((OF_LONG, long), (OF_SHORT, ~long)):
-        rows = np.flatnonzero(chosen)
-        for i, chain in zip(rows, digests(texts.take(pa.array(rows)), windows)):
-            out[i] = chain
+    """The digest of each text: rows of 257 bytes, a window width and a filter."""
+    out = chains(texts, OF_SHORT)
+    rows = np.flatnonzero(np.asarray(pc.utf8_length(texts)) >= LONG)
+    for i, chain in zip(rows, chains(texts.take(pa.array(rows)), OF_LONG)):
+        out[i] = np.concatenate([out[i], chain])
     return out
 
 
@@ -225,17 +234,17 @@ def compare_with_edit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def described(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_array(part.column("t"))
         own = texts.to_pylist()
-        chains = fingerprints(texts)
+        digests = fingerprints(texts)
         changed = [edited(a, b) for a, b in zip(own, own[1:])]
         other = fingerprints(pa.array(changed, pa.string()))
         rows = np.flatnonzero(~np.asarray(part.column("extra"))[:-1])
         columns = [
             pa.array([len(own[i]) for i in rows], pa.int64()),
             pa.array([hashlib.sha256(changed[i].encode()).hexdigest() for i in rows], pa.string()),
-            pa.array([fingerprint_text(chains[i]) for i in rows], pa.string()),
+            pa.array([fingerprint_text(digests[i]) for i in rows], pa.string()),
             pa.array([fingerprint_text(other[i]) for i in rows], pa.string()),
-            pa.array([likeness(chains[i], other[i]) for i in rows], pa.float64()),
-            pa.array([likeness(chains[i], chains[i + 1]) for i in rows], pa.float64()),
+            pa.array([likeness(digests[i], other[i]) for i in rows], pa.float64()),
+            pa.array([likeness(digests[i], digests[i + 1]) for i in rows], pa.float64()),
         ]
         return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), *columns], names=schema.names)
 

@@ -98,6 +98,16 @@ def test_fingerprint_depends_on_the_text_alone(spark):
     assert fingerprint.likeness(together[8], together[9]) < 0.1
 
 
+def test_texts_on_both_sides_of_the_long_limit_are_alike(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnop .,") for _ in range(520))
+    long, cut, other = fingerprint.fingerprints(pa.array([text, text[:505], text[::-1][:505]]))
+    assert fingerprint.likeness(long, cut) == fingerprint.likeness(cut, long) > 0.8
+    assert fingerprint.likeness(long, other) < 0.1
+    first, _ = fingerprint.compare_with_edit(docs(spark, text, "short")).orderBy("doc_id").collect()
+    assert first.near_edited > 0.5
+
+
 def test_compare_with_edit_in_order(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
