@@ -72,10 +72,14 @@ def semantic_topk_batch(segments: DataFrame, queries: DataFrame, k: int) -> Data
     Queries go to the tasks in blocks of ``BATCH_QUERIES``. Each partition scores its vectors batch by batch and keeps k rows per query,
     so only k rows per query and partition are shuffled and no segment-query pair table exists.
     """
-    vectors = _visible(segments).where(F.col("embedding").isNotNull()).select(*KEYS, "embedding")
+    return _topk_batch(segments, queries, k, [])
+
+
+def _topk_batch(segments: DataFrame, queries: DataFrame, k: int, lists: list[str], near=None) -> DataFrame:
+    vectors = _visible(segments).where(F.col("embedding").isNotNull()).select(*KEYS, "embedding", *lists)
     partial = None
     for block in _query_blocks(queries):
-        best = vectors.mapInPandas(_best_of_partition(block, k), "video_no long, seg_index int, score double, query_no long")
+        best = vectors.mapInPandas(_best_of_partition(block, k, near), "video_no long, seg_index int, score double, query_no long")
         partial = best if partial is None else partial.unionByName(best)
     place = Window.partitionBy("query_no").orderBy(F.desc("score"), *KEYS)
     return partial.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
@@ -90,9 +94,11 @@ def _query_blocks(queries: DataFrame) -> Iterator[list[Row]]:
         yield block
 
 
-def _best_of_partition(block: list[Row], k: int):
+def _best_of_partition(block: list[Row], k: int, near=None):
+    """``near`` gives for a matrix of queries and each list number whether the query looks into the list; without it each sees all."""
     ids = np.array([r["query_no"] for r in block])
     matrix = np.array([r["vector"] for r in block], dtype=np.float64)
+    looks = near(matrix) if near and len(matrix) else None
     if len(matrix):
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = (matrix / np.where(lengths == 0, 1, lengths)).T
@@ -106,17 +112,25 @@ def _best_of_partition(block: list[Row], k: int):
             m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             n = np.linalg.norm(m, axis=1)
             usable = n > 0
-            scores = np.round((m[usable] / n[usable, None]) @ matrix, SCORE_DIGITS)
-            video, seg = (pdf.loc[usable, c].to_numpy(np.int64) for c in KEYS)
-            if len(scores) > k:  # everything that can still be among the k, ties included
-                edges = np.partition(scores, -k, axis=0)[-k]
+            m, video, seg = m[usable] / n[usable, None], *(pdf.loc[usable, c].to_numpy(np.int64) for c in KEYS)
+            if looks is None:
+                parts = [(np.arange(len(m)), np.arange(len(ids)))]
             else:
-                edges = np.full(len(ids), -np.inf)
-            for q, old in enumerate(kept):
-                i = np.flatnonzero(scores[:, q] >= edges[q])
-                s, v, g = (np.concatenate(both) for both in zip(old, (scores[i, q], video[i], seg[i])))
-                first = np.lexsort((g, v, -s))[:k]
-                kept[q] = (s[first], v[first], g[first])
+                number = pdf.loc[usable, "list_no"].to_numpy()
+                parts = [(np.flatnonzero(number == x), np.flatnonzero(looks[:, x])) for x in np.unique(number)]
+            for rows, asked in parts:
+                if not len(rows) or not len(asked):
+                    continue
+                scores = np.round(m[rows] @ matrix[:, asked], SCORE_DIGITS)
+                if len(scores) > k:  # everything that can still be among the k, ties included
+                    edges = np.partition(scores, -k, axis=0)[-k]
+                else:
+                    edges = np.full(len(asked), -np.inf)
+                for c, q in enumerate(asked):
+                    i = np.flatnonzero(scores[:, c] >= edges[c])
+                    s, v, g = (np.concatenate(both) for both in zip(kept[q], (scores[i, c], video[rows[i]], seg[rows[i]])))
+                    first = np.lexsort((g, v, -s))[:k]
+                    kept[q] = (s[first], v[first], g[first])
         for q, (s, v, g) in enumerate(kept):
             if len(s):
                 yield pd.DataFrame({"video_no": v, "seg_index": g.astype(np.int32), "score": s, "query_no": ids[q]})
@@ -154,6 +168,50 @@ def ann_topk(lists: DataFrame, centroids: np.ndarray, query: Sequence[float], k:
     return semantic_topk(lists.where(F.col("list_no").isin([int(i) for i in nearest])), query, k)
 
 
+def _list_places(centroids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each vector the place of each list, from 0 on, by the distance of its centroid (the first of equally near ones first)."""
+    far = np.stack([((centroids - v) ** 2).sum(axis=1) for v in vectors])
+    return far.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+
+
+def ann_topk_batch(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """Approximate top-k for any number of queries (``query_no``, ``vector``), as :func:`semantic_topk_batch`: each query is scored
+    against the rows of its ``probes`` nearest lists only. All lists give the exact answer."""
+    c = np.asarray(centroids, dtype=np.float64)
+    return _topk_batch(lists, queries, k, ["list_no"], lambda vectors: _list_places(c, vectors) < probes)
+
+
+def probes_for_recall(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, exact: DataFrame, least: float) -> int:
+    """The fewest lists that a query must look into so that the mean recall over ``queries`` against their ``exact`` hits is ``least``.
+
+    Counted at once for every number of lists: a hit is found as soon as its list is among those looked into.
+    """
+    c = np.asarray(centroids, dtype=np.float64)
+
+    @F.pandas_udf("int")
+    def place(number: pd.Series, vectors: pd.Series) -> pd.Series:
+        if number.empty:
+            return pd.Series(dtype="int32")
+        places = _list_places(c, np.stack(vectors.to_numpy()).astype(np.float64))
+        return pd.Series(places[np.arange(len(number)), number.to_numpy()].astype("int32"))
+
+    hits = exact.select("query_no", *KEYS).join(lists.select(*KEYS, "list_no"), KEYS).join(queries, "query_no")
+    counts = {r["p"]: r["n"] for r in hits.groupBy(place("list_no", "vector").alias("p")).agg(F.count("*").alias("n")).collect()}
+    found, total = 0, sum(counts.values())
+    for p in range(len(c)):
+        found += counts.get(p, 0)
+        if found >= least * total:
+            return p + 1
+    return len(c)
+
+
+def recall_of_batch(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the ``exact`` hits of all queries that were ``found`` (one row)."""
+    both = ["query_no", *KEYS]
+    marked = exact.select(*both).join(found.select(*both, F.lit(1).alias("hit")), both, "left")
+    return marked.agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def recall_at_k(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     hits = exact.select(*KEYS).join(found.select(*KEYS), KEYS, "left_semi")
     return hits.agg((F.count(F.lit(1)) / k).alias("recall"))

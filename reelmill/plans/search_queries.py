@@ -106,6 +106,47 @@ def ann_topk(spark, sf_dir):
     return found.select(*op.KEYS, "score").withColumn("recall", recall.scalar())
 
 
+LEAST_RECALL = 0.9
+TOP = "row_number() OVER (PARTITION BY query_no ORDER BY score DESC, video_no, seg_index)::INTEGER AS place"
+
+
+@query(
+    "ann_topk_batch",
+    with_views(
+        """SELECT query_no, video_no, seg_index, score, place, (SELECT count(*) FROM found SEMI JOIN exact USING (query_no, video_no, seg_index))
+             / (SELECT count(*) FROM exact)::DOUBLE AS recall FROM found""",
+        "vectors",
+        extra={
+            "asked": "SELECT vec_id AS query_no, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0",
+            "cents": """SELECT label AS list_no, list(round_even(m, 6)::DOUBLE ORDER BY i) AS vec FROM (SELECT label, i, avg(v) AS m FROM
+                (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY ALL) GROUP BY label""",
+            "lists": """SELECT video_no, seg_index, status, embedding, arg_min(list_no, (list_distance(embedding::DOUBLE[], vec), list_no)) AS list_no
+                FROM vectors, cents GROUP BY ALL""",
+            "near": """SELECT query_no, qv, list_no, row_number() OVER (PARTITION BY query_no ORDER BY list_distance(vec, qv), list_no) AS p
+                FROM cents, asked""",
+            "scored": """SELECT query_no, video_no, seg_index, p, round_even(list_cosine_similarity(embedding::DOUBLE[], qv), 6)::DOUBLE AS score
+                FROM lists JOIN near USING (list_no) WHERE status <> 'soft_deleted'""",
+            "exact": f"SELECT * FROM (SELECT *, {TOP} FROM scored) WHERE place <= 10",
+            "probes": f"""SELECT min(p) AS enough FROM (SELECT p, sum(count(*)) OVER (ORDER BY p) AS n FROM exact GROUP BY p)
+                WHERE n >= {LEAST_RECALL} * (SELECT count(*) FROM exact)""",
+            "found": f"SELECT * FROM (SELECT *, {TOP} FROM scored WHERE p <= (SELECT enough FROM probes)) WHERE place <= 10",
+        },
+    ),
+)
+def ann_topk_batch(spark, sf_dir):
+    """Every fiftieth vector as a query, over lists around the label centroids; as many of them are searched as it takes to find nine in
+    ten of the exact hits."""
+    segs = lib.vectors(spark, sf_dir)
+    centroids = np.array([r["vector"] for r in lib.label_centroids(spark, sf_dir).orderBy("label_no").collect()])
+    vectors = lib.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    queries = vectors.select(F.col("vec_id").alias("query_no"), F.col("embedding").cast("array<double>").alias("vector"))
+    lists = op.nearest_lists(segs, centroids)
+    exact = op.semantic_topk_batch(segs, queries, 10)
+    probes = op.probes_for_recall(lists, centroids, queries, exact, LEAST_RECALL)
+    found = op.ann_topk_batch(lists, centroids, queries, 10, probes)
+    return found.withColumn("recall", op.recall_of_batch(found, exact).scalar())
+
+
 @query(
     "keyword_match",
     with_views(

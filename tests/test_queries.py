@@ -50,5 +50,12 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_list_search_finds_nine_in_ten(spark):
+    rows = QUERIES["ann_topk_batch"](spark, SF_DIR).collect()
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    assert {r.query_no for r in rows} == {r.vec_id for r in vectors.where("vec_id % 50 = 0").collect()}
+    assert min(Counter(r.query_no for r in rows).values()) == 10 and rows[0].recall >= 0.9
+
+
 def test_entry(spark):
     assert project.entry(spark).limit(1).count() == 1
