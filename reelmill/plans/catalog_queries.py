@@ -6,7 +6,7 @@ from reelmill.functions.columns import stable_uuid
 from reelmill.operators import catalog as op
 from reelmill.plans import library as lib
 from reelmill.plans.registry import query
-from reelmill.plans.views import with_views
+from reelmill.plans.views import UUID_SQL, with_views
 from reelmill.sources import documents
 
 KNOWN = "('mp4','webm','mov','mkv','avi','m4v')"
@@ -163,6 +163,36 @@ def upsert_latest(spark, sf_dir):
     return op.upsert_latest(v.where("video_no % 2 = 0").drop("video_no"), processed)
 
 
+@query(
+    "upsert_latest_whole",
+    with_views(
+        """SELECT o.video_id, CASE WHEN video_no % 3 = 0 THEN 'done' ELSE status END AS status,
+             CASE WHEN video_no % 3 = 0 THEN false ELSE is_duplicate END AS is_duplicate,
+             CASE WHEN video_no % 3 = 0 THEN file_size_bytes + 1 ELSE file_size_bytes END AS file_size_bytes, created_s FROM videos o
+           UNION ALL SELECT video_id, 'done', false, file_size_bytes + 1, created_s + 1000000 FROM fresh""",
+        "videos",
+        extra={
+            "hashed": """SELECT file_size_bytes, created_s, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source_path||'.new')) AS h
+                FROM videos WHERE video_no % 5 = 0""",
+            "fresh": f"SELECT {UUID_SQL.format(h='h')} AS video_id, file_size_bytes, created_s FROM hashed",
+        },
+    ),
+)
+def upsert_latest_whole(spark, sf_dir):
+    """All videos are stored; every third has been processed again, and every fifth has a new neighbour that isn't stored yet."""
+    v = lib.videos(spark, sf_dir)
+    new_id = stable_uuid(F.concat("source_path", F.lit(".new")))
+    incoming = v.where("video_no % 3 = 0").unionByName(v.where("video_no % 5 = 0").withColumn("video_id", new_id))
+    processed = incoming.select(
+        "video_id",
+        F.lit("done").alias("status"),
+        F.lit(False).alias("is_duplicate"),
+        (F.col("file_size_bytes") + 1).alias("file_size_bytes"),
+        (F.col("created_s") + 1_000_000).alias("created_s"),
+    )
+    return op.upsert_latest(v.select(processed.columns), processed)
+
+
 @query(
     "replace_children",
     with_views(

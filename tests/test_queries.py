@@ -57,5 +57,12 @@ def test_list_search_finds_nine_in_ten(spark):
     assert min(Counter(r.query_no for r in rows).values()) == 10 and rows[0].recall >= 0.9
 
 
+def test_upsert_reaches_every_video(spark):
+    stored = QUERIES["stable_video_id"](spark, SF_DIR)
+    after = QUERIES["upsert_latest_whole"](spark, SF_DIR)
+    assert stored.join(after, "video_id", "left_anti").count() == 0
+    assert after.count() == after.select("video_id").distinct().count() > stored.count()
+
+
 def test_entry(spark):
     assert project.entry(spark).limit(1).count() == 1
