@@ -4,7 +4,9 @@ Each block node of the page gets a density: its characters per tag, lowered by t
 links. The node whose children have the largest sum of densities is the centre of the article; the least density on the way
 from ``body`` to it is the threshold, and below every node at or over the threshold the subtree of the largest sum is content.
 Before that, what is never article text is taken out: scripts, styles, forms, navigation, asides, footers, page headers, and
-elements whose class, id or role names adverts, notices, menus, sidebars or reader comments.
+containers one of whose whole names (class, id or role) means adverts, notices, menus, sidebars or reader comments. Names that only
+hold such a word (``has-sidebar``, ``related-work``) mean nothing, and neither headings, paragraphs nor inline elements go by class or id. A
+named container or form that holds the bulk of the page's text stays.
 
 A null or empty page has the empty text. Broken markup never fails: open elements end with the page, stray end tags and a tag
 cut off at the end are ignored. Character references are decoded, white space (of any kind) inside a block becomes one space,
@@ -40,15 +42,22 @@ BLOCK = frozenset(
 )
 NO_TEXT = frozenset(
     "head title script style noscript template nav footer aside form button input select option textarea iframe object embed "
-    "svg canvas audio video dialog menu map math noembed noframes xmp applet".split()
+    "svg canvas audio video dialog menu annotation annotation-xml noembed noframes xmp applet".split()
 )
-#: Parts of class and id names, and roles, that mark what isn't the article.
+#: Elements that class and id names can take out.
+CONTAINERS = frozenset("address aside center details dir div dl fieldset figure footer form header menu nav ol section table ul".split())
+#: Words of class and id names, and roles, that mark what isn't the article.
 NO_TEXT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promos promotion cookie "
     "cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login sidebar sidebars "
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies respond related recommended "
     "share sharing social widget widgets pagination pager toolbar topbar masthead copyright disclaimer skip".split()
 )
+#: Words that may stand beside them in a name of the same meaning.
+NAME_REST = frozenset(
+    "area article articles bar block box button buttons container form global item items link links list main page panel post posts "
+    "primary secondary section site slot thread unit wrapper".split()
+)
 NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: An element around one of these is never taken out by its name.
 CENTRAL = frozenset(["article", "main", "h1"])
@@ -110,16 +119,24 @@ def parse(page: str) -> Node:
             at = node
 
 
+def means_no_text(name: str) -> bool:
+    """Whether a class or id as a whole means something that isn't part of an article."""
+    words = [w.lower() for w in NAME_PART.findall(name)]
+    return any(w in NO_TEXT_NAMES for w in words) and all(w in NO_TEXT_NAMES or w in NAME_REST or w.isdigit() or len(w) == 1 for w in words)
+
+
 def named_out(node: Node) -> bool:
     """Whether the names of an element say that it isn't part of an article."""
     if not node.attrs or node.tag in ("html", "body"):
         return False
     for name, *values in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), html.unescape("".join(values))
-        if name in ("class", "id") and any(w.lower() in NO_TEXT_NAMES for w in NAME_PART.findall(value)):
-            return True
-        if name in ("class", "id") and not node.inside and value.strip().lower() in ("header", "site-header", "page-header"):
-            return True
+        # the id of a section inside an article is made from its heading
+        if name == "class" or name == "id" and not (node.inside and node.tag == "section"):
+            if node.tag in CONTAINERS and any(map(means_no_text, value.split())):
+                return True
+            if not node.inside and node.tag in CONTAINERS and value.strip().lower() in ("header", "site-header", "page-header"):
+                return True
         if name == "role" and value.strip().lower() in NO_TEXT_ROLES:
             return True
         if name == "hidden":
@@ -137,6 +154,25 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
+def bulk(nodes: list[Node], gone: set[int], named: list[Node]) -> set[int]:
+    """Those of the ``named`` that hold half of the page's text outside links or more, unless an article stands beside them."""
+    names = {id(n) for n in named}
+    text, central = {}, {}  # characters outside links; those in article or main and in nothing named
+    for node in reversed(nodes):
+        c = m = 0
+        if id(node) not in gone and node.tag != "a":
+            for p in node.parts:
+                if type(p) is str:
+                    n = sum(map(len, p.split()))
+                    c += n
+                    m += n * (node.inside or node.tag in ("article", "main"))
+                else:
+                    c, m = c + text[id(p)], m + central[id(p)]
+        text[id(node)], central[id(node)] = c, 0 if id(node) in names else m
+    every, article = text[id(nodes[0])], central[id(nodes[0])]
+    return {k for k in names if 2 * text[k] >= every and 10 * article < text[k]}
+
+
 def prune(root: Node) -> None:
     """Take out the elements that hold no article text."""
     nodes = walk(root)
@@ -144,11 +180,18 @@ def prune(root: Node) -> None:
     for node in reversed(nodes):
         if id(node) in around or node.tag in CENTRAL:
             around.add(id(node.parent))
-    gone = set()
+    gone, named = set(), []
     for node in nodes:
-        if node.tag in NO_TEXT or node.tag == "header" and not node.inside or named_out(node):
-            if node.tag in ("script", "style", "head") or node.tag not in CENTRAL and id(node) not in around:
-                gone.add(id(node))
+        if node.tag in ("script", "style", "head"):
+            gone.add(id(node))
+        elif node.tag in CENTRAL or id(node) in around:
+            continue
+        elif node.tag == "form" or node.tag not in NO_TEXT and named_out(node):
+            named.append(node)
+        elif node.tag in NO_TEXT and not (node.tag == "dialog" and node.inside) or node.tag == "header" and not node.inside:
+            gone.add(id(node))
+    if named:
+        gone.update({id(n) for n in named} - bulk(nodes, gone, named))
     if gone:
         for node in nodes:
             node.parts = [p for p in node.parts if type(p) is str or id(p) not in gone]

@@ -242,6 +242,26 @@ def test_page_densest_subtree_without_names():
     assert html_text.main_text(page) == "\n".join(f"Paragraph {i} has a good many words that tell the story of this page." for i in range(5))
 
 
+def test_names_that_only_hold_a_word_cost_no_text():
+    text = [f"Paragraph {i} has a good many words that tell the story of this page." for i in range(4)]
+    side = "<div class='sidebar'><p>Some other text at the side.</p></div>"
+    body = "".join(f"<p>{x}</p>" for x in text)
+    for names in ("class='content has-sidebar'", "id=main class=no-sidebar", "class='sidebar'", "class=related-work"):
+        page = f"<body><h1>The title</h1><div {names}>{body}</div>{side}</body>"
+        assert html_text.main_text(page).split("\n")[-4:] == text
+    form = f"<body><form id=aspnetForm><div>{body}</div></form></body>"
+    assert html_text.main_text(form).split("\n") == text
+    page = (
+        f"<article><h1>T</h1><p>{text[0]}</p><h2 id='social-impact'>Social impact</h2><p>{text[1]}</p><section id='related-work'><h2>Related</h2>"
+        f"<p>{text[2]} <span class=ad>ad</span> x<math><mi>y</mi></math></p></section><section id=notices><h2 id=notices-h>Notices</h2></section>"
+        f"<p id='notices-served'>{text[3]}</p><div class='ad-slot-3'>Buy</div><div class='social-share-buttons'>Share</div></article>"
+    )
+    want = ["T", text[0], "Social impact", text[1], "Related", text[2] + " ad xy", "Notices", text[3]]
+    assert html_text.main_text(page).split("\n") == want
+    comments = "".join(f"<p>Reader {i} says a few words about the page.</p>" for i in range(9))
+    assert html_text.main_text(f"<body><article>{body}</article><div class='post-comments'>{comments}</div></body>").split("\n") == text
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>a<", "</p></b>", "<script>x", "<a href='", "<!-- x", "&am", "<div>" * 3000 + "x"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
