@@ -31,6 +31,10 @@ GRAM = 8
 EDIT_SHARE = 0.1
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
+#: Items in a block.
+BLOCK_ITEMS = 1 << 18
+#: Pairs of documents and items that are numbered together, so that a pair and its diagonal fit 63 bits.
+PAIRS = 1 << 31
 #: Shared q-grams looked at together.
 HITS = 4_000_000
 #: Counters in a dense table of documents and items.
@@ -110,8 +114,9 @@ def align(item: np.ndarray, windows: np.ndarray, anchored: bool = False) -> tupl
     place, and each place left out counts as an edit.
     """
     width = windows.shape[1] - len(item)
-    step = np.arange(width, dtype=np.int16)
-    best = np.tile(step, (len(windows), 1)) if anchored else np.zeros((len(windows), width), np.int16)
+    kind = np.int16 if width + len(item) < 1 << 15 else np.int32  # no count is larger than both together
+    step = np.arange(width, dtype=kind)
+    best = np.tile(step, (len(windows), 1)) if anchored else np.zeros((len(windows), width), kind)
     for i, sign in enumerate(item):
         new = best + (windows[:, i : i + width] != sign)
         new[:, :-1] = np.minimum(new[:, :-1], best[:, 1:] + 1)
@@ -151,6 +156,9 @@ def shared_grams(block: Block, data: np.ndarray, row: np.ndarray) -> Iterator[tu
 
 def find(block: Block, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first byte, end byte) of the best occurrence of each item in each text that holds it."""
+    n_rows = max(1, (PAIRS - 1) // max(len(block.ids), 1))
+    if len(texts) > n_rows:
+        return [(r + low, *rest) for low in range(0, len(texts), n_rows) for r, *rest in find(block, texts.slice(low, n_rows))]
     raw, raw_offsets = text_bytes(texts)
     data, offsets, origin = normalise(raw, raw_offsets)
     n_items = len(block.ids)
@@ -235,11 +243,11 @@ def leaked_passages(
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator:
-    """The benchmark as broadcasts of about ``BLOCK_BYTES`` at most, of which there is one even if it is empty."""
+    """The benchmark as broadcasts of about ``BLOCK_BYTES`` and ``BLOCK_ITEMS`` at most, of which there is one even if it is empty."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_blocks = -(-size // BLOCK_BYTES) or 1
+    size, number = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count("t")).first()
+    n_blocks = max(-(-size // BLOCK_BYTES), -(-number // BLOCK_ITEMS), 1)
     for b in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(n_blocks)) == b) if n_blocks > 1 else items
         got = own.orderBy("i", "t").toArrow()

@@ -187,6 +187,27 @@ def test_passages_in_blocks_and_of_nothing(spark, monkeypatch):
     assert decontaminate.leaked_passages(texts.limit(0), items).count() == 0
 
 
+def test_alignment_of_wide_bands():
+    rng = np.random.default_rng(5)
+    item = rng.integers(97, 123, 60).astype(np.uint8)
+    windows = rng.integers(97, 123, (1, 60 + 40_000)).astype(np.uint8)
+    windows[0, 36_000:36_060] = item
+    edits, off = decontaminate.align(item, windows)
+    assert (edits[0], off[0]) == (0, 36_000)
+    edits, off = decontaminate.align(item, windows, anchored=True)
+    assert 35_900 > edits[0] >= 0
+
+
+def test_many_small_items_and_documents():
+    items = [f"{i * 7919 % 1_000_000_007:010d}" for i in range(250_000)]
+    block = decontaminate.Block.of(list(range(len(items))), pa.array(items), 0.1)
+    texts = ["nothing to be found here"] * 10_000
+    want = {(9_000 + k, 249_000 + k) for k in range(900)}
+    for row, item in want:
+        texts[row] = f"so it says {items[item]} in here"
+    assert {(r[0], r[1]) for r in decontaminate.find(block, pa.array(texts)) if r[2] == 0} == want
+
+
 # --- quality
 
 
