@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, lm, minhash, quality, quotes, secrets, sql
+from reelmill.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, lm, minhash, quality, quotes, ranked_search, secrets, sql
 from reelmill.plans.registry import query
 
 
@@ -96,3 +96,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quotation_links")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_reversed_search", sql.RANKED_SEARCH)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
