@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, lm, minhash, quality, quotes, ranked_search, secrets, sql
+from reelmill.llm import bpe, decontaminate, fingerprint, html_text, line_dedup, lm, minhash, ngram_join, quality, quotes, ranked_search, secrets, sql, token_alignment
 from reelmill.plans.registry import query
 
 
@@ -101,3 +101,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_reversed_search", sql.RANKED_SEARCH)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align_tokenizers(docs, vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+@query("op12_ngram_jaccard", sql.NGRAM_JACCARD)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=3, percent=90)

@@ -48,3 +48,33 @@ WITH terms AS (
 )
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+#: Components of documents whose sets of three-word runs have a Jaccard likeness of 0.9: every pair of different sets with a run in common is compared.
+NGRAM_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+                      WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) END AS s
+  FROM words
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS c FROM sets WHERE len(s) > 0 GROUP BY s
+), tokens AS (SELECT c, n, unnest(s) AS t FROM classes
+), shared AS (
+  SELECT a.c AS x, b.c AS y, a.n AS n, b.n AS m, count(*) AS o
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.c < b.c AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n
+), links AS (
+  SELECT x, y FROM shared WHERE 100 * o >= 90 * (n + m - o)
+), sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT c AS start, c AS reach FROM classes WHERE c IN (SELECT x FROM sides)
+  UNION
+  SELECT start, y FROM reached JOIN sides ON reach = x
+), least AS (SELECT start, min(reach) AS component_id FROM reached GROUP BY start)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, c, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON c = start
+"""
