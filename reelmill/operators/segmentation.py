@@ -3,11 +3,14 @@
 Voiced videos are cut where neighbouring transcript windows differ; silent ones where the scene label changes. Cuts then pass through
 the same four rules: merge short, split long, cap the number, cover the whole duration. All steps but
 the cap work on rows with :func:`ordered_scan`, so no step needs a whole video in one task; the cap shrinks very long
-videos by parallel rounds first and folds an array of at most ``FOLD_LIMIT`` spans at the end.
+videos by rounds over slices of neighbours first and folds an array of at most ``FOLD_LIMIT`` spans at the end.
 """
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from reelmill.functions.columns import dot, ordered_join, truthy
 from reelmill.functions.intervals import match_in_time
 from reelmill.functions.materialize import materialize
 from reelmill.functions.ordered import AUTO, Ordered, ordered_scan, resolve_heavy
+from reelmill.functions.span_merges import merge_shortest_first
 from reelmill.functions.spans import cap_spans, ensure_coverage, split_span
 from reelmill.schemas import (
     CAPTIONS_PER_SEGMENT,
@@ -31,6 +35,8 @@ KEY = "video_no"
 Heavy = DataFrame | None | str
 # Spans of one video that may be folded as one array; must be at least 4 * max_segments.
 FOLD_LIMIT = 2000
+# Neighbouring spans of one video that meet in one task (1 MB of bounds).
+SLICE_SPANS = 1 << 16
 HOUR = 3600
 
 
@@ -224,73 +230,91 @@ def split_long(spans: DataFrame, max_sec: float | None = MAX_SEGMENT_SEC, min_se
     return spans.select(KEY, F.inline(split_span(s, max_sec, min_sec)))
 
 
-def _merge_round(spans: DataFrame, heavy: Heavy) -> DataFrame:
-    """One parallel round of shortest-span merges, with the outcome the one-at-a-time rule would have.
+def _level_round(spans: DataFrame, heavy: Heavy, slice_spans: int, shift: int, max_segments: int) -> DataFrame:
+    """All merges that spans under twice the video's minimum begin, as far as slices of ``slice_spans`` neighbours show them.
 
-    A span that is shortest within two places on either side is merged before anything near it can change, so such merges
-    commute. Only spans under twice the video's minimum (or of the minimum itself, which may be zero) are taken: those are all
-    reached by the one-at-a-time rule before it stops, since merging all of them leaves at least a quarter of the spans. Spans
-    of one length are told apart by their place, so that of equal neighbours one always goes.
+    The one-at-a-time rule reaches each of these before it stops: what they merge into is no such span, so at least a quarter of all
+    spans stays. Spans of no length stay of no length when they are merged; of those only as many as the rule takes begin merges.
     """
-    heavy = resolve_heavy(heavy, spans, [KEY])
-    order = [F.col("start_sec"), F.col("end_sec")]
-    hour = F.floor(F.col("start_sec") / HOUR)
-    here = F.struct((F.col("end_sec") - F.col("start_sec")).alias("dur"), "place", "start_sec", "end_sec")
-    placed = ordered_scan(spans.select(KEY, "start_sec", "end_sec"), [KEY], order, hour, [Ordered("place", "row_number")], heavy)
-    near = ordered_scan(
-        placed.withColumn("me", here),
+    length = F.col("end_sec") - F.col("start_sec")
+    placed = ordered_scan(
+        spans.select(KEY, "start_sec", "end_sec"),
         [KEY],
-        order,
-        hour,
+        [F.col("start_sec"), F.col("end_sec")],
+        F.floor(F.col("start_sec") / HOUR),
         [
-            Ordered("l1", "lag", F.col("me")),
-            Ordered("r1", "lead", F.col("me")),
-            Ordered("shortest", "min_all", F.col("me.dur")),
+            Ordered("place", "row_number"),
+            Ordered("n", "count_all", F.lit(1)),
+            Ordered("shortest", "min_all", length),
+            Ordered("empty", "sum", (length <= 0).cast("int")),
         ],
         heavy,
     )
-    wide = ordered_scan(
-        near, [KEY], order, hour, [Ordered("l2", "lag", F.col("l1")), Ordered("r2", "lead", F.col("r1"))], heavy
-    )
+    short = F.when(F.col("shortest") > 0, length < 2 * F.col("shortest"))
+    short = short.otherwise((length <= 0) & (F.col("empty") <= F.col("n") - max_segments))
+    dealt = placed.select(KEY, "start_sec", "end_sec", "place", "n", short.alias("short"), F.floor((F.col("place") + shift) / slice_spans).alias("slice"))
 
-    def below(other: str) -> Column:
-        return F.col(other).isNull() | (F.col("me") < F.col(other))
+    def merged(table):
+        table = table.sort_by("place")
+        place = table.column("place")
+        sides = place[0].as_py() > 1, place[-1].as_py() < table.column("n")[0].as_py()
+        bounds = (table.column(c).to_numpy() for c in ("start_sec", "end_sec"))
+        return _span_table(table, *merge_shortest_first(*bounds, table.column("short").to_numpy(), None, *sides))
+
+    return dealt.groupBy(KEY, "slice").applyInArrow(merged, spans.schema)
+
+
+def _cap_in_task(spans: DataFrame, max_segments: int) -> DataFrame:
+    """The one-at-a-time rule for videos that fit one slice."""
+
+    def capped(table):
+        table = table.sort_by([("start_sec", "ascending"), ("end_sec", "ascending")])
+        bounds = (table.column(c).to_numpy() for c in ("start_sec", "end_sec"))
+        return _span_table(table, *merge_shortest_first(*bounds, most=table.num_rows - max_segments))
+
+    return spans.groupBy(KEY).applyInArrow(capped, spans.schema)
 
-    short = (F.col("me.dur") < F.col("shortest") * 2) | (F.col("me.dur") == F.col("shortest"))
-    ready = short & below("l1") & below("l2") & below("r1") & below("r2")
-    to_left = F.col("l1").isNotNull() & (F.col("r1").isNull() | (F.col("l1.dur") <= F.col("r1.dur")))
-    decided = wide.withColumn("move", F.when(ready, F.when(to_left, -1).otherwise(1)).otherwise(0))
-    told = ordered_scan(
-        decided, [KEY], order, hour, [Ordered("l_move", "lag", F.col("move")), Ordered("r_move", "lead", F.col("move"))], heavy
-    )
-    return told.where("move = 0").select(
-        KEY,
-        F.when(F.col("l_move") == 1, F.col("l1.start_sec")).otherwise(F.col("start_sec")).alias("start_sec"),
-        F.when(F.col("r_move") == -1, F.col("r1.end_sec")).otherwise(F.col("end_sec")).alias("end_sec"),
-    )
+
+def _span_table(table, start, end):
+    return pa.table([table.column(KEY).slice(0, len(start)), pa.array(start), pa.array(end)], names=[KEY, "start_sec", "end_sec"])
 
 
 def shrink_to_fold(
-    spans: DataFrame, max_segments: int = MAX_SEGMENTS, fold_limit: int = FOLD_LIMIT, heavy: Heavy = AUTO
+    spans: DataFrame,
+    max_segments: int = MAX_SEGMENTS,
+    fold_limit: int = FOLD_LIMIT,
+    heavy: Heavy = AUTO,
+    slice_spans: int = SLICE_SPANS,
 ) -> DataFrame:
-    """Shrink every video to at most ``fold_limit`` spans by rounds of merges; videos within it stay untouched."""
-    if fold_limit < 4 * max_segments:
-        raise ValueError("fold_limit must be at least four times max_segments")
-    spans = materialize(spans)
-    small: DataFrame | None = None
-    left = None
+    """Bring every video to at most ``fold_limit`` spans; videos within it stay untouched, longer ones are capped.
+
+    A video of at most ``slice_spans`` is capped by one task. A longer one is cut into slices, and each round does all merges of a level of
+    lengths that can be seen within a slice; the slices of the next round lie across the borders of the last. So a round takes
+    away a share of the spans, or at least about one slice of them where each merge hangs on the one before.
+    """
+    if fold_limit < 4 * max_segments or slice_spans < 4 * max_segments:
+        raise ValueError("fold_limit and slice_spans must be at least four times max_segments")
+    spans = materialize(spans.select(KEY, "start_sec", "end_sec"))
+    settled: list[DataFrame] = []
+    last, turn = None, 0
     while True:
         counts = spans.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-        big = counts.where(F.col("n") > fold_limit)
-        rows = big.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if left is not None and rows >= left:
-            raise RuntimeError("a round of merges removed no span")
-        left = rows or None
-        if not rows:
-            return spans if small is None else small.unionByName(spans)
-        settled = spans.join(big, KEY, "left_anti")
-        small = settled if small is None else small.unionByName(settled)
-        spans = materialize(_merge_round(spans.join(big.select(KEY), KEY, "left_semi"), heavy))
+        most, rows = counts.agg(F.max("n"), F.sum("n")).first()
+        if not most or most <= fold_limit:
+            return functools.reduce(DataFrame.unionByName, settled, spans)
+        small = counts.where(F.col("n") <= fold_limit).select(KEY)
+        fits = counts.where((F.col("n") > fold_limit) & (F.col("n") <= slice_spans)).select(KEY)
+        settled.append(spans.join(small, KEY, "left_semi"))
+        settled.append(_cap_in_task(spans.join(fits, KEY, "left_semi"), max_segments))
+        if most <= slice_spans:
+            return functools.reduce(DataFrame.unionByName, settled)
+        if turn > 1 and rows >= last:
+            raise RuntimeError("two rounds of merges removed no span")
+        last = rows if turn % 2 == 0 else last
+        above = spans.join(counts.where(F.col("n") > slice_spans).select(KEY), KEY, "left_semi")
+        shift = turn % 2 * (slice_spans // 2)
+        spans = materialize(_level_round(above, resolve_heavy(heavy, above, [KEY]), slice_spans, shift, max_segments))
+        turn += 1
 
 
 def cover(

@@ -92,6 +92,16 @@ def cap_segments(spark, sf_dir):
     return op.cap_and_cover(spans, spans, max_segments=3, stretch=False)
 
 
+@query(
+    "cap_segments_in_slices",
+    with_views(SPAN_ROWS, "segments", extra=segment_rules("segments", None, max_segments=2, merge=False, split=False)),
+)
+def cap_segments_in_slices(spark, sf_dir):
+    """The cap with limits so low that many videos go through the rounds over slices."""
+    spans = op.shrink_to_fold(_spans(spark, sf_dir), max_segments=2, fold_limit=8, slice_spans=10)
+    return op.cap_and_cover(spans, spans, max_segments=2, stretch=False)
+
+
 LENGTHS = "SELECT video_no, max(end_sec) + (video_no % 7)*40 AS duration_sec FROM segments GROUP BY video_no"
 
 

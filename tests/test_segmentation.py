@@ -1,11 +1,14 @@
 """Hand-worked cases, a plain one-at-a-time model, and heavy keys against light ones."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reelmill.functions.ordered import find_heavy
+from reelmill.functions.span_merges import merge_shortest_first
 from reelmill.operators import segmentation as op
 
 SPANS = "video_no long, start_sec double, end_sec double"
@@ -103,14 +106,52 @@ def test_cap_rounds_over_sliced_videos(spark):
     assert got == {v: model_cap(s, 5) for v, s in given.items()}
 
 
-def test_cap_rounds_on_equal_and_rising_lengths(spark):
-    rising = [(float(i * (i + 1) // 2), float((i + 1) * (i + 2) // 2)) for i in range(60)]
-    equal = [(float(i * 10), float(i * 10 + 10)) for i in range(60)]
-    given = {1: rising, 2: equal, 3: random_cuts(random.Random(1), 60, 1, 3)}
-    df = spans(spark, given)
-    small = op.shrink_to_fold(df, max_segments=12, fold_limit=48)
-    got = by_video(op.cap_and_cover(small, small, max_segments=12, stretch=False))
-    assert got == {v: model_cap(s, 12) for v, s in given.items()}
+def one_after_another(sizes):
+    at, out = 0.0, []
+    for x in sizes:
+        out.append((at, at + x))
+        at += x
+    return out
+
+
+SHAPES = {
+    "rising": lambda n, rng: range(1, n + 1),
+    "falling": lambda n, rng: range(n, 0, -1),
+    "saw-tooth": lambda n, rng: [1 + i % 40 for i in range(n)],
+    "equal": lambda n, rng: [10] * n,
+    "any": lambda n, rng: [rng.randrange(1, 1000) for _ in range(n)],
+    "empty ones": lambda n, rng: [rng.choice([0, 0, 0, 1, 2]) for _ in range(n)],
+    "nearly all empty": lambda n, rng: [5 if i in (n // 3, n // 2) else 0 for i in range(n)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_cap_in_slices_equals_one_at_a_time_in_few_rounds(spark, monkeypatch, shape):
+    rng = random.Random(shape)
+    n, rounds = 1500, []
+    own = op._level_round
+    monkeypatch.setattr(op, "_level_round", lambda *a: rounds.append(1) or own(*a))
+    given = {1: one_after_another(SHAPES[shape](n, rng)), 2: one_after_another(SHAPES[shape](90, rng)), 3: [(0.0, 5.0)]}
+    df = spans(spark, given).repartition(3)
+    small = op.shrink_to_fold(df, max_segments=5, fold_limit=40, slice_spans=256)
+    got = by_video(op.cap_and_cover(small, small, max_segments=5, stretch=False))
+    assert got == {v: model_cap(s, 5) for v, s in given.items()}
+    assert 1 <= len(rounds) <= 2 * math.log2(n)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merges_within_a_slice_are_those_of_the_whole(seed):
+    rng = random.Random(seed)
+    whole = one_after_another([rng.choice([rng.randrange(1, 9), rng.randrange(1, 60)]) for _ in range(60)])
+    start, end = (np.array(x) for x in zip(*whole))
+    may = end - start < 2 * (end - start).min()
+    every = list(zip(*merge_shortest_first(start, end, may)))
+    for low in range(0, 40, 7):
+        part = slice(low, low + 20)
+        got = zip(*merge_shortest_first(start[part], end[part], may[part], None, low > 0, True))
+        for s in got:
+            # each span of the slice is one of the whole, or a part of one that isn't merged any further yet
+            assert s in every or any(a <= s[0] and s[1] <= b for a, b in every)
 
 
 def test_twenty_spans_capped_to_five(spark):
