@@ -5,8 +5,9 @@ Segments carry ``video_no``, ``seg_index``, ``status`` of their video, ``embeddi
 
 from __future__ import annotations
 
+import functools
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import clock_label, round_even, search_tokens
+from reelmill.functions.columns import clock_label, once, round_even, search_tokens
 from reelmill.functions.vectors import cosine_to
 from reelmill.schemas import GATE_ABS_FLOOR, GATE_REL_RATIO, RRF_K, SEARCH_LIMIT_MAX
 
@@ -266,8 +267,16 @@ def keyword_topk(segments: DataFrame, query: str, k: int) -> DataFrame:
     return keyword_scores(segments, query).orderBy(F.desc("score"), *KEYS).limit(k)
 
 
-def hybrid_rrf(segments: DataFrame, query: str, vector: Sequence[float], k: int) -> DataFrame:
-    """Reciprocal-rank fusion of both rankings, each cut to a pool of max(4k, 40) rows first."""
+#: A keyword ranking: of a query and a number of rows the best segments with their ``score``.
+KeywordTopk = Callable[[str, int], DataFrame]
+
+
+def hybrid_rrf(segments: DataFrame, query: str, vector: Sequence[float], k: int, keyword: KeywordTopk | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of both rankings, each cut to a pool of max(4k, 40) rows first.
+
+    ``keyword`` ranks by stored postings; without it the tokens of ``segments`` are scanned.
+    """
+    keyword = keyword or functools.partial(keyword_topk, segments)
     pool = max(4 * k, 40)
     ranked = Window.orderBy(F.desc("score"), *KEYS)  # over at most `pool` rows
 
@@ -275,7 +284,7 @@ def hybrid_rrf(segments: DataFrame, query: str, vector: Sequence[float], k: int)
         return hits.select(*KEYS, F.row_number().over(ranked).alias(col))
 
     sem = places(semantic_topk(segments, vector, pool), "sem_rank").withColumn("kw_rank", F.lit(None).cast("int"))
-    kw = places(keyword_topk(segments, query, pool), "kw_rank").withColumn("sem_rank", F.lit(None).cast("int"))
+    kw = places(keyword(query, pool), "kw_rank").withColumn("sem_rank", F.lit(None).cast("int"))
     fused = sem.unionByName(kw).groupBy(*KEYS).agg(F.max("sem_rank").alias("sem_rank"), F.max("kw_rank").alias("kw_rank"))
     part = [F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0)) for c in ("sem_rank", "kw_rank")]
     order = [F.desc("score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("kw_rank")]
@@ -283,14 +292,22 @@ def hybrid_rrf(segments: DataFrame, query: str, vector: Sequence[float], k: int)
 
 
 def search(
-    segments: DataFrame, query: str, mode: str = "semantic", k: int = 10, vector: Sequence[float] | None = None
+    segments: DataFrame,
+    query: str,
+    mode: str = "semantic",
+    k: int = 10,
+    vector: Sequence[float] | None = None,
+    keyword: KeywordTopk | None = None,
 ) -> DataFrame:
-    """Dispatch by mode; unknown modes are semantic, and without a query vector the answer is (and says) keyword."""
+    """Dispatch by mode; unknown modes are semantic, and without a query vector the answer is (and says) keyword.
+
+    ``keyword`` as in :func:`hybrid_rrf`.
+    """
     k = checked_limit(k)
     if mode == "keyword" or vector is None:
-        hits, used = keyword_topk(segments, query, k), "keyword"
+        hits, used = (keyword or functools.partial(keyword_topk, segments))(query, k), "keyword"
     elif mode == "hybrid":
-        hits, used = hybrid_rrf(segments, query, vector, k), "hybrid"
+        hits, used = hybrid_rrf(segments, query, vector, k, keyword), "hybrid"
     else:
         hits, used = semantic_topk(segments, vector, k), "semantic"
     found = hits.select(*KEYS, F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(used).alias("mode"))
@@ -333,4 +350,4 @@ def hit_labels(segments: DataFrame) -> DataFrame:
 def with_tokens(segments: DataFrame) -> DataFrame:
     """Derived search column over transcript, summary and topic."""
     text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("transcript_text", "summary", "topic")])
-    return segments.withColumn("tokens", search_tokens(text))
+    return once(segments, "tokens", search_tokens(text))

@@ -11,8 +11,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import epoch_micros, once, search_tokens, stable_uuid
+from reelmill.functions.columns import epoch_micros, stable_uuid
+from reelmill.functions.materialize import new_table_path
 from reelmill.functions.ordered import Ordered, ordered_scan
+from reelmill.operators.postings import build_index
+from reelmill.operators.search import with_tokens
 from reelmill.sources.files import spread
 
 # Scene labels given to the five event types.
@@ -246,30 +249,39 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searchable segments: one per document, with a vector and the tokens of its text."""
+    """Searchable segments: one per document, with a vector."""
     emb = table(spark, sf_dir, "embeddings")
     size = emb.count()  # answered from the parquet footers
-    docs = texts(spark, sf_dir).select(
-        F.col("doc_id").alias("video_no"), F.lit(0).alias("seg_index"), "text", "source", "lang", (F.col("doc_id") % F.lit(size)).alias("vec_id")
-    )
-    return once(docs, "tokens", search_tokens(F.col("text"))).join(emb, "vec_id").select(
-        "video_no",
-        "seg_index",
-        F.when(F.col("video_no") % 20 == 1, "soft_deleted").otherwise("done").alias("status"),
+    docs = texts(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % F.lit(size))
+    return docs.join(emb, "vec_id").select(
+        F.col("doc_id").alias("video_no"),
+        F.lit(0).alias("seg_index"),
+        F.when(F.col("doc_id") % 20 == 1, "soft_deleted").otherwise("done").alias("status"),
         F.col("source").alias("subject"),
         F.col("lang").alias("grade_level"),
-        (F.col("video_no") % 3 != 0).alias("has_speech"),
+        (F.col("doc_id") % 3 != 0).alias("has_speech"),
         F.lit(0.0).alias("start_sec"),
         (F.char_length("text") / 16).alias("end_sec"),
         F.substring("text", 1, 20).alias("topic"),
         F.substring("text", 1, 60).alias("summary"),
-        F.concat(F.col("video_no").cast("string"), F.lit(".mp4")).alias("source_name"),
-        "text",
-        "tokens",
+        F.concat(F.col("doc_id").cast("string"), F.lit(".mp4")).alias("source_name"),
+        F.col("text").alias("transcript_text"),
         "embedding",
     )
 
 
+INDEXES: dict[tuple, str] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored postings of the corpus, built by the first search of a session over these files."""
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf_dir, "documents").inputFiles()))
+    if key not in INDEXES:
+        segments = with_tokens(corpus(spark, sf_dir).drop("embedding"))
+        INDEXES[key] = build_index(segments, new_table_path(spark, "postings"))
+    return INDEXES[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment vectors alone, one per row of the embeddings table."""
     return table(spark, sf_dir, "embeddings").select(

@@ -1,5 +1,7 @@
 """Search queries over the derived corpus and vectors."""
 
+import functools
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -7,7 +9,9 @@ from pyspark.sql import functions as F
 
 from reelmill.functions import vectors as vec
 from reelmill.functions.columns import round_even
+from reelmill.functions.materialize import new_table_path
 from reelmill.operators import maintenance as mt
+from reelmill.operators import postings
 from reelmill.operators import search as op
 from reelmill.operators.segmentation import transcript_windows
 from reelmill.plans import library as lib
@@ -30,6 +34,11 @@ MEAN = {
 }
 
 
+def indexed(spark, sf_dir):
+    """Keyword ranking over the stored postings of the corpus."""
+    return functools.partial(postings.index_topk, spark, lib.search_index(spark, sf_dir))
+
+
 def scored_sql(source: str, where: str = "true") -> str:
     return f"""SELECT video_no, seg_index, round_even(list_cosine_similarity(embedding::DOUBLE[], qv), 6)::DOUBLE AS score
       FROM {source}, mean_vec WHERE status <> 'soft_deleted' AND {where}"""
@@ -154,7 +163,7 @@ def ann_topk_batch(spark, sf_dir):
     ),
 )
 def keyword_match(spark, sf_dir):
-    return op.keyword_match(lib.corpus(spark, sf_dir), TEXT).select(*op.KEYS)
+    return postings.index_match(spark, lib.search_index(spark, sf_dir), TEXT).select(*op.KEYS)
 
 
 def bm25_sql(limit: str) -> str:
@@ -173,7 +182,24 @@ LIVE = {"live": "SELECT * FROM corpus WHERE status <> 'soft_deleted'"}
 
 @query("keyword_rank", with_views(bm25_sql("LIMIT 20"), "corpus", extra=LIVE))
 def keyword_rank(spark, sf_dir):
-    return op.keyword_topk(lib.corpus(spark, sf_dir), TEXT, 20).select(*op.KEYS, "score")
+    return postings.index_topk(spark, lib.search_index(spark, sf_dir), TEXT, 20)
+
+
+@query("keyword_rank_scan", with_views(bm25_sql("LIMIT 20"), "corpus", extra=LIVE))
+def keyword_rank_scan(spark, sf_dir):
+    """The same ranking without an index, from the tokens of all segments."""
+    return op.keyword_topk(op.with_tokens(lib.corpus(spark, sf_dir).drop("embedding")), TEXT, 20).select(*op.KEYS, "score")
+
+
+@query("keyword_rank_updated", with_views(bm25_sql("LIMIT 20"), "corpus", extra=LIVE))
+def keyword_rank_updated(spark, sf_dir):
+    """The same ranking from an index whose videos all were stored before: some with another text, some as visible that are deleted now."""
+    now = op.with_tokens(lib.corpus(spark, sf_dir).drop("embedding"))
+    changed = F.col("video_no") % 20 <= 2
+    before = now.withColumn("tokens", F.when(changed, F.reverse(F.slice("tokens", 1, 5))).otherwise(F.col("tokens"))).withColumn("status", F.lit("done"))
+    path = postings.build_index(before, new_table_path(spark, "postings"))
+    postings.update_index(now.where(changed), path, gone=now.where("status = 'soft_deleted'"))
+    return postings.index_topk(spark, path, TEXT, 20)
 
 
 RRF = (
@@ -192,7 +218,7 @@ RRF = (
 
 @query("hybrid_rrf", with_views("SELECT * FROM fused", "corpus", extra=RRF))
 def hybrid_rrf(spark, sf_dir):
-    return op.hybrid_rrf(lib.corpus(spark, sf_dir), TEXT, mean_vector(spark, sf_dir), 10)
+    return op.hybrid_rrf(lib.corpus(spark, sf_dir), TEXT, mean_vector(spark, sf_dir), 10, indexed(spark, sf_dir))
 
 
 @query(
@@ -207,9 +233,9 @@ def hybrid_rrf(spark, sf_dir):
     ),
 )
 def search_dispatch(spark, sf_dir):
-    segs, q = lib.corpus(spark, sf_dir), mean_vector(spark, sf_dir)
-    degraded = op.search(segs, TEXT, "hybrid", 10)  # no vector: keyword
-    return degraded.unionByName(op.search(segs, TEXT, "hybrid", 10, q)).unionByName(op.search(segs, TEXT, "other", 10, q))
+    segs, q, keyword = lib.corpus(spark, sf_dir), mean_vector(spark, sf_dir), indexed(spark, sf_dir)
+    degraded = op.search(segs, TEXT, "hybrid", 10, keyword=keyword)  # no vector: keyword
+    return degraded.unionByName(op.search(segs, TEXT, "hybrid", 10, q, keyword)).unionByName(op.search(segs, TEXT, "other", 10, q, keyword))
 
 
 @query(

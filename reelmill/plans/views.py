@@ -126,8 +126,8 @@ _view(
     [],
     """SELECT doc_id AS video_no, 0 AS seg_index, CASE WHEN doc_id % 20 = 1 THEN 'soft_deleted' ELSE 'done' END AS status,
          source AS subject, lang AS grade_level, doc_id % 3 <> 0 AS has_speech, 0.0::DOUBLE AS start_sec, length(text)/16.0::DOUBLE AS end_sec,
-         substr(text, 1, 20) AS topic, substr(text, 1, 60) AS summary, doc_id||'.mp4' AS source_name, text,
-         list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS tokens, embedding
+         substr(text, 1, 20) AS topic, substr(text, 1, 60) AS summary, doc_id||'.mp4' AS source_name, text AS transcript_text,
+         list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(text, ''), substr(text, 1, 60), substr(text, 1, 20))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS tokens, embedding
        FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)""",
 )
 _view(
