@@ -6,8 +6,9 @@ it, and their diagonals (place in the document less place in the item) span at m
 overlapping bands of 2(k + 1) diagonals, every k + 1; the bands that reach the bound are kept, and a banded alignment of the item
 against the document decides.
 
-An item's budget k is a share of its length (10 %), less where the bound would fall under 1. Items of fewer than q bytes after
-normalising, null ones among them, match nothing; so do null and empty documents. Equal items each get their rows, and so do
+An item's budget k is a share of its length (10 %), less where the bound would fall under 1. An item of fewer than q bytes after
+normalising has no q-gram: it matches as whole words, without edits. Items that nothing is left of, null ones among them, match nothing; so
+do null and empty documents. Equal items each get their rows, and so do
 repeated documents.
 
 The benchmark is a query set: it is broadcast in blocks of bounded size, and each block is compared with all documents.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelmill.llm.arrow import slices, text_bytes
-from reelmill.llm.words import LOWER, ODD
+from reelmill.llm.words import KEEP, LOWER, ODD
 
 GRAM = 8
 EDIT_SHARE = 0.1
@@ -83,6 +84,7 @@ class Block:
     place: np.ndarray
     maybe: np.ndarray
     shift: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: items too short for a q-gram, as numbers in order, and which they are
 
     @classmethod
     def of(cls, ids: list, texts: pa.Array, share: float) -> Block:
@@ -100,7 +102,15 @@ class Block:
         bits = max(12, int(np.ceil(np.log2(max(len(gram), 1) * 16))))
         maybe = np.zeros(1 << bits, bool)
         maybe[(gram * ODD[0]) >> np.uint64(64 - bits)] = True
-        return cls(ids, data, np.append(offsets[:-1], offsets[-1]), budget, least, gram, np.append(first, len(key)), item[order], place[order], maybe, 64 - bits)
+        short = {}
+        for n in range(1, GRAM):
+            own = np.flatnonzero(size == n)
+            number = all_grams[offsets[:-1][own]] & KEEP[n] if len(own) else np.zeros(0, np.uint64)
+            sort = np.argsort(number, kind="stable")
+            if len(own):
+                short[n] = number[sort], own[sort]
+        offsets = np.append(offsets[:-1], offsets[-1])
+        return cls(ids, data, offsets, budget, least, gram, np.append(first, len(key)), item[order], place[order], maybe, 64 - bits, short)
 
     def text(self, i: int) -> np.ndarray:
         e = self.offsets[i + 1]
@@ -154,6 +164,30 @@ def shared_grams(block: Block, data: np.ndarray, row: np.ndarray) -> Iterator[tu
         i = j
 
 
+def whole_words(block: Block, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, item, first byte, end byte) of the first place where each item without a q-gram stands between word ends in each text."""
+    if not block.short:
+        return []
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    begins = data != 32
+    begins[1:] &= (data[:-1] == 32) | (row[1:] != row[:-1])
+    at = np.flatnonzero(begins)
+    g = grams(data)[at]
+    out = []
+    for n, (number, item) in block.short.items():
+        end = at + n
+        inside = end <= offsets[row[at] + 1]
+        inside &= (end == offsets[row[at] + 1]) | (data[np.minimum(end, len(data) - 1)] == 32)
+        key = g & KEEP[n]
+        low, high = (np.searchsorted(number, key, side) for side in ("left", "right"))
+        many = np.where(inside, high - low, 0)
+        hit = np.repeat(np.arange(len(at)), many)
+        which = item[np.arange(len(hit)) + np.repeat(low - (np.cumsum(many) - many), many)]
+        _, first = np.unique(row[at[hit]] * len(block.ids) + which, return_index=True)
+        out += [(int(row[at[h]]), int(i), int(at[h]), int(at[h]) + n) for h, i in zip(hit[first], which[first])]
+    return out
+
+
 def find(block: Block, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first byte, end byte) of the best occurrence of each item in each text that holds it."""
     n_rows = max(1, (PAIRS - 1) // max(len(block.ids), 1))
@@ -162,8 +196,11 @@ def find(block: Block, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     raw, raw_offsets = text_bytes(texts)
     data, offsets, origin = normalise(raw, raw_offsets)
     n_items = len(block.ids)
-    if not len(data) or not len(block.gram):
+    if not len(data):
         return []
+    out = [(r, i, 0, int(origin[s]), int(origin[e - 1]) + 1) for r, i, s, e in whole_words(block, data, offsets)]
+    if not len(block.gram):
+        return out
     row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
     dense = len(texts) * n_items <= DENSE
     total = np.zeros(len(texts) * n_items if dense else 0, np.int64)
@@ -182,7 +219,7 @@ def find(block: Block, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         cells.append(key)
         counts.append(number)
     if not cells:
-        return []
+        return out
     key, inverse = np.unique(np.concatenate(cells), return_inverse=True)
     number = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
     # a band is a cell and the next one: bands of 2(k + 1) diagonals that overlap by half
@@ -198,7 +235,6 @@ def find(block: Block, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     good = total >= block.least[item]
     start, item = start[good], item[good]
     doc, band = (start >> 32) // n_items, start & 0xFFFFFFFF
-    out = []
     for i in np.unique(item):
         text, k = block.text(i), int(block.budget[i])
         width = 2 * (k + 1) + 2 * k

@@ -4,14 +4,17 @@ Every window of 16 bytes, and in texts of 512 code points or more also every win
 the farther the entropy lies from that of usual text, the rarer. In each run of as many neighbouring windows the rarest (of equal ones
 the leftmost) gains a vote, and windows with enough votes are the document's features. Their hashes go into Bloom filters of 2048 bits,
 five bits each; a filter that has taken its 160 features is closed and the next one of the chain begun. A digest is the chain of the
-16-byte windows, followed by that of the 64-byte windows if there is one; the first byte of each filter's row says which it belongs to.
+16-byte windows, followed by that of the 64-byte windows and that of runs (below) if there is one; the first byte of each filter's row says which it belongs to.
 
-Two digests are compared by the widest windows that both have, so that texts on either side of 512 code points can be alike. Their
-likeness is the mean, over the filters of the shorter chain, of the best overlap of set bits with a filter of the other chain, less what
-chance gives, from 0 to 1.
+A text without such a window (shorter than one, or all of near-constant bytes), and every text whose runs of 4 bytes fit one filter, has a
+chain of its distinct runs of 4 bytes too (of fewer bytes: of itself), so that short and monotonous texts have features as well.
 
-A text without such a window (shorter than one, or all of near-constant bytes) has itself as its only feature. A null or empty
-text has no feature and the empty digest, which is like another empty one (1) and unlike all else (0).
+Two digests are compared by the widest windows that both have, so that texts on either side of a limit can be alike. Their
+likeness is the mean, over the filters of the shorter chain (of both in turn, if they are of one length), of the best overlap of set bits with
+a filter of the other chain, less what chance gives, from 0 to 1.
+
+A null or empty text has no feature and the empty digest, which is like another empty one (1) and unlike all else (0). Ids are numbers:
+others are refused where the order of ids matters.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ class Windows(NamedTuple):
 
 
 OF_LONG, OF_SHORT = Windows(64, 64, 16, 4.2), Windows(16, 16, 4, 3.4)
+#: Bytes of a run in texts without windows.
+GRAM = 4
 FILTER_BYTES, FEATURES_IN_FILTER, BITS_OF_FEATURE = 256, 160, 5
 #: Windows of less entropy are no features.
 LEAST = 1.0
@@ -103,11 +108,6 @@ def features(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[n
     eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,)) if len(data) >= 8 else np.zeros(0, np.uint64)
     for k in range(0, width, 8):
         x = mix(x * ODD[0] ^ eight[place + k]) if len(place) else x
-    bare = np.setdiff1d(np.flatnonzero(size), doc)
-    own = [int.from_bytes(hashlib.blake2b(data[offsets[d] : offsets[d + 1]].tobytes(), digest_size=8).digest(), "little") for d in bare]
-    x, doc = np.concatenate([x, np.array(own, np.uint64)]), np.concatenate([doc, bare])
-    order = np.argsort(doc, kind="stable")
-    x, doc = x[order], doc[order]
     by = np.lexsort((np.arange(len(x)), x, doc))
     first = np.ones(len(x), bool)
     first[1:] = (x[by][1:] != x[by][:-1]) | (doc[by][1:] != doc[by][:-1])
@@ -115,9 +115,26 @@ def features(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[n
     return x[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
 
 
-def chains(texts: pa.Array, windows: Windows) -> list[np.ndarray]:
-    """The chain of filters of each text: rows of the window's width and 256 bytes."""
-    x, at = features(*text_bytes(texts), windows)
+def grams(data: np.ndarray, offsets: np.ndarray, windowless: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs of 4 bytes of each text that is ``windowless`` or has few of them, and where each text's begin and end."""
+    size = np.diff(offsets)
+    doc = np.repeat(np.arange(len(size)), size)
+    padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
+    run = np.ndarray((len(data),), "<u4", padded, strides=(1,)).astype(np.uint64)
+    left = offsets[1:][doc] - np.arange(len(data))
+    whole = left >= GRAM
+    short = (size[doc] < GRAM) & (left == size[doc])  # a text of fewer bytes is one run, told apart by its length
+    run[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    key = doc.astype(np.uint64) << np.uint64(34) | run | np.where(short, left % GRAM, 0).astype(np.uint64) << np.uint64(32)
+    key = np.unique(key[whole | short])
+    doc = (key >> np.uint64(34)).astype(np.int64)
+    count = np.bincount(doc, minlength=len(size))
+    kept = (windowless | (count <= FEATURES_IN_FILTER))[doc]
+    return mix(key[kept] & np.uint64((1 << 34) - 1) ^ ODD[1]), np.searchsorted(doc[kept], np.arange(len(size) + 1))
+
+
+def chains(x: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """The chain of filters of each text's features: rows of the window's width and 256 bytes."""
     count = np.diff(at)
     chain = -(-count // FEATURES_IN_FILTER)
     start = np.concatenate([[0], np.cumsum(chain)])
@@ -127,17 +144,17 @@ def chains(texts: pa.Array, windows: Windows) -> list[np.ndarray]:
     for k in range(BITS_OF_FEATURE):
         bit = ((x >> np.uint64(11 * k)) & np.uint64(2047)).astype(np.int64)
         np.bitwise_or.at(filters, number * FILTER_BYTES + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    filters = np.insert(filters.reshape(-1, FILTER_BYTES), 0, windows.width, axis=1)
+    filters = np.insert(filters.reshape(-1, FILTER_BYTES), 0, width, axis=1)
     return [filters[i:j] for i, j in zip(start[:-1], start[1:])]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """How like two digests are, 0 to 1, by the widest windows that both have."""
-    for width in (OF_LONG.width, OF_SHORT.width):
+    for width in (OF_LONG.width, OF_SHORT.width, GRAM):
         x, y = a[a[:, 0] == width, 1:], b[b[:, 0] == width, 1:]
         if len(x) and len(y):
             return chain_likeness(x, y)
-    return float(len(a) == len(b))
+    return float(len(a) == len(b) == 0)
 
 
 def chain_likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -153,8 +170,9 @@ def chain_likeness(a: np.ndarray, b: np.ndarray) -> float:
     most = np.minimum(m[:, None], n[None])
     floor = np.outer(m, n) / (8 * FILTER_BYTES)
     floor = floor + MARGIN * (most - floor)
-    score = np.clip((shared - floor) / np.maximum(most - floor, 1e-9), 0, 1).max(axis=1)
-    return float((score * m).sum() / m.sum())
+    score = np.clip((shared - floor) / np.maximum(most - floor, 1e-9), 0, 1)
+    of_a, of_b = (score.max(axis=1) * m).sum() / m.sum(), (score.max(axis=0) * n).sum() / n.sum()
+    return float((of_a + of_b) / 2 if len(a) == len(b) else of_a)
 
 
 def fingerprint_text(digest: np.ndarray) -> str:
@@ -163,11 +181,14 @@ def fingerprint_text(digest: np.ndarray) -> str:
 
 def fingerprints(texts: pa.Array) -> list[np.ndarray]:
     """The digest of each text: rows of 257 bytes, a window width and a filter."""
-    out = chains(texts, OF_SHORT)
+    data, offsets = text_bytes(texts)
+    x, at = features(data, offsets, OF_SHORT)
+    out = chains(x, at, OF_SHORT.width)
     rows = np.flatnonzero(np.asarray(pc.utf8_length(texts)) >= LONG)
-    for i, chain in zip(rows, chains(texts.take(pa.array(rows)), OF_LONG)):
+    for i, chain in zip(rows, chains(*features(*text_bytes(texts.take(pa.array(rows))), OF_LONG), OF_LONG.width)):
         out[i] = np.concatenate([out[i], chain])
-    return out
+    runs = chains(*grams(data, offsets, np.diff(at) == 0), GRAM)
+    return [np.concatenate([a, b]) if len(b) else a for a, b in zip(out, runs)]
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", fingerprint: str = "fingerprint") -> DataFrame:
@@ -185,6 +206,8 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Only the limits of the ranges and their least ids pass through the driver. Equal ids are ordered by text.
     """
+    if not isinstance(docs.schema[doc_id].dataType, T.NumericType):
+        raise TypeError(f"the ids in {doc_id!r} must be numbers")
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
     n = 4 * max(1, docs.rdd.getNumPartitions())
     limits = base.where("id is not null").approxQuantile("id", [i / n for i in range(n + 1)], 0.25 / n)

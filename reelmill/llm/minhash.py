@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.llm.arrow import slices, text_bytes
+from reelmill.llm.arrow import append_columns, slices, text_bytes
 from reelmill.llm.components import components, roots
 from reelmill.llm.store import forget, stored
 from reelmill.llm.words import hash_words, mix, shingle_hashes
@@ -289,7 +289,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; rows without an id stay."""
-    kept = near_duplicates(docs, doc_id, text, words, percent).where("kept").select(F.col("doc_id").alias(doc_id))
-    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    """``docs`` with one document of each group of near duplicates; rows without an id stay.
+
+    Rows of one id stay together: of those with equal sets of shingles one stays, of those without words one of each text.
+    """
+    kept = near_duplicates(docs, doc_id, text, words, percent).where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    version = next(n for n in map("version{}".format, range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        h, at = shingle_sets(texts, words)
+        raw = [h[i:j].tobytes() or (t or "").encode() for i, j, t in zip(at[:-1], at[1:], texts.to_pylist())]
+        return [pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary())]
+
+    named = append_columns(docs.join(kept, doc_id, "left_semi"), text, f"{version} binary", lambda: work)
+    return named.dropDuplicates([doc_id, version]).select(docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
