@@ -91,7 +91,7 @@ def plain_features(data, windows):
         h = math.log2(width) - sum(c * math.log2(c) for c in counts.values()) / width
         ranks.append(1000 if h < fingerprint.LEAST else min(max(900 - round(abs(h - usual) * 200), 0), 999))
     won = Counter()
-    for low in range(-run + 1, places):
+    for low in range(-run + 1, places) if places > 0 else ():
         rank, i = min((ranks[i], i) for i in range(max(low, 0), min(low + run, places)))
         won[i] += rank < 1000
     out = []
