@@ -76,11 +76,18 @@ def semantic_topk_batch(segments: DataFrame, queries: DataFrame, k: int) -> Data
     return _topk_batch(segments, queries, k, [])
 
 
-def _topk_batch(segments: DataFrame, queries: DataFrame, k: int, lists: list[str], near=None) -> DataFrame:
-    vectors = _visible(segments).where(F.col("embedding").isNotNull()).select(*KEYS, "embedding", *lists)
+def _stacked(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+
+
+def _topk_batch(
+    segments: DataFrame, queries: DataFrame, k: int, lists: list[str], near=None, column: str = "embedding", read=_stacked
+) -> DataFrame:
+    """``read`` makes a matrix of vectors from a batch of rows with ``column``."""
+    vectors = _visible(segments).where(F.col(column).isNotNull()).select(*KEYS, column, *lists)
     partial = None
     for block in _query_blocks(queries):
-        best = vectors.mapInPandas(_best_of_partition(block, k, near), "video_no long, seg_index int, score double, query_no long")
+        best = vectors.mapInPandas(_best_of_partition(block, k, near, read), "video_no long, seg_index int, score double, query_no long")
         partial = best if partial is None else partial.unionByName(best)
     place = Window.partitionBy("query_no").orderBy(F.desc("score"), *KEYS)
     return partial.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
@@ -95,7 +102,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[list[Row]]:
         yield block
 
 
-def _best_of_partition(block: list[Row], k: int, near=None):
+def _best_of_partition(block: list[Row], k: int, near=None, read=_stacked):
     """``near`` gives for a matrix of queries and each list number whether the query looks into the list; without it each sees all."""
     ids = np.array([r["query_no"] for r in block])
     matrix = np.array([r["vector"] for r in block], dtype=np.float64)
@@ -110,7 +117,7 @@ def _best_of_partition(block: list[Row], k: int, near=None):
         for pdf in batches:
             if pdf.empty or not len(ids):
                 continue
-            m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            m = read(pdf)
             n = np.linalg.norm(m, axis=1)
             usable = n > 0
             m, video, seg = m[usable] / n[usable, None], *(pdf.loc[usable, c].to_numpy(np.int64) for c in KEYS)

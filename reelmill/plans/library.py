@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from reelmill.functions.columns import epoch_micros, stable_uuid
 from reelmill.functions.materialize import new_table_path
 from reelmill.functions.ordered import Ordered, ordered_scan
+from reelmill.operators.codes import build_codes
 from reelmill.operators.postings import build_index
 from reelmill.operators.search import with_tokens
 from reelmill.sources.files import spread
@@ -294,6 +295,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> str:
+    """The stored codes of the vectors, made by the first search of a session over these files."""
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf_dir, "embeddings").inputFiles()))
+    if key not in INDEXES:
+        INDEXES[key] = build_codes(vectors(spark, sf_dir), new_table_path(spark, "codes"))
+    return INDEXES[key]
+
+
 def window_vectors(spark: SparkSession, sf_dir: str, windows: DataFrame) -> DataFrame:
     """Give each transcript window the vector of one row of the embeddings table."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

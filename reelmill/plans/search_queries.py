@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelmill.functions import vectors as vec
 from reelmill.functions.columns import round_even
 from reelmill.functions.materialize import new_table_path
+from reelmill.operators import codes
 from reelmill.operators import maintenance as mt
 from reelmill.operators import postings
 from reelmill.operators import search as op
@@ -156,6 +157,19 @@ def ann_topk_batch(spark, sf_dir):
     return found.withColumn("recall", op.recall_of_batch(found, exact).scalar())
 
 
+@query("ann_codes_batch")
+def ann_codes_batch(spark, sf_dir):
+    """Every fiftieth vector as a query against the stored codes of all vectors; ``recall`` is that of all queries against exact search,
+    ``looked_up`` the share of all vectors that a query's candidates are."""
+    segs = lib.vectors(spark, sf_dir)
+    stored, book, candidates = codes.open_codes(spark, lib.vector_codes(spark, sf_dir))
+    asked = lib.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    queries = asked.select(F.col("vec_id").alias("query_no"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = codes.code_topk(stored, book, segs, queries, 10, candidates)
+    recall = op.recall_of_batch(found, op.semantic_topk_batch(segs, queries, 10))
+    return found.withColumn("recall", recall.scalar()).withColumn("looked_up", F.lit(candidates) / stored.agg(F.count(F.lit(1))).scalar())
+
+
 @query(
     "keyword_match",
     with_views(
