@@ -38,7 +38,7 @@ KNOWN = 1 << 19
 #: Id pairs counted in a task before they are passed on.
 COUNTED = 1 << 21
 #: Bytes of text aligned at once; a longer text is aligned alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Ids written into a digest at once.
 DIGESTED = 1 << 20
 #: Bits of a B id in an id pair.
