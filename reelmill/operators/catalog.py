@@ -251,8 +251,8 @@ def soft_delete(videos: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def apply_failures(videos: DataFrame, failures: DataFrame) -> DataFrame:
-    """Mark items as failed with their message, cut to the stored length."""
-    msgs = failures.select("video_id", F.substring("message", 1, ERROR_CHARS).alias("_msg"))
+    """Mark items as failed with their message, cut to the stored length; of several messages of one item the last in order."""
+    msgs = failures.groupBy("video_id").agg(F.max(F.substring("message", 1, ERROR_CHARS)).alias("_msg"))
     return (
         videos.join(msgs, "video_id", "left")
         .withColumn("error_message", F.coalesce(F.col("_msg"), F.col("error_message")))
@@ -261,6 +261,17 @@ def apply_failures(videos: DataFrame, failures: DataFrame) -> DataFrame:
     )
 
 
+def change_feed(before: DataFrame, after: DataFrame, key: str = "video_id") -> DataFrame:
+    """Rows (``key``, ``change``) of what became of each item between two states of a table: ``insert``, ``update`` or ``delete``.
+
+    Rows are compared by a digest of all their columns, so only keys and digests are shuffled. Both states are unique on ``key``.
+    """
+    digest = F.sha2(F.to_json(F.struct(*sorted(c for c in before.columns if c != key)), {"ignoreNullFields": "false"}), 256)
+    old, new = before.select(key, digest.alias("_old")), after.select(key, digest.alias("_new"))
+    change = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("update")
+    return old.join(new, key, "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new"))).select(key, change.alias("change"))
+
+
 def document_names(videos: DataFrame) -> DataFrame:
     """Output stem per item, with how many items share it (a shared stem means overwriting)."""
     named = videos.select("video_id", "source_path", safe_stem(F.col("source_path"), F.col("video_id")).alias("stem"))

@@ -193,6 +193,22 @@ def upsert_latest_whole(spark, sf_dir):
     return op.upsert_latest(v.select(processed.columns), processed)
 
 
+@query(
+    "mirror_changes",
+    with_views(
+        """SELECT video_id, CASE WHEN video_no % 5 = 0 THEN 'insert' WHEN video_no % 7 = 0 THEN 'delete' ELSE 'update' END AS change FROM videos
+           WHERE (video_no % 5 = 0 AND video_no % 7 <> 0) OR (video_no % 5 <> 0 AND (video_no % 7 = 0 OR (video_no % 3 = 0 AND status <> 'failed')))""",
+        "videos",
+    ),
+)
+def mirror_changes(spark, sf_dir):
+    """What a mirror of all videos must change: some come, some go, and some of the others have failed since."""
+    v = lib.videos(spark, sf_dir)
+    before, after = v.where("video_no % 5 <> 0"), v.where("video_no % 7 <> 0")
+    after = after.withColumn("status", F.when(F.col("video_no") % 3 == 0, "failed").otherwise(F.col("status")))
+    return op.change_feed(before, after)
+
+
 @query(
     "replace_children",
     with_views(

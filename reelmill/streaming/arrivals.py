@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.types import StructType
 
-from reelmill.operators.catalog import register_arrivals, upsert_latest
-from reelmill.sources.tables import SnapshotTable
+from reelmill.sources.catalog import Catalogue
 
 
 def read_manifests(
@@ -18,23 +17,19 @@ def read_manifests(
     return reader.load(folder)
 
 
-def register_into(table: SnapshotTable):
+def register_into(catalogue: Catalogue):
     """Batch function: judge one micro-batch against the stored catalogue and upsert the result.
 
-    Re-running a batch changes nothing: the same ids get the same rows.
+    A batch that was written to the end is left out when it comes again; one that wasn't ends in the same rows.
     """
-
-    def run(batch: DataFrame, _batch_id: int) -> None:
-        table.update(lambda stored: upsert_latest(stored, register_arrivals(batch, stored)))
-
-    return run
+    return catalogue.register
 
 
 def start_register(
-    manifests: DataFrame, table: SnapshotTable, checkpoint: str, every: str | None = None
+    manifests: DataFrame, catalogue: Catalogue, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Run :func:`register_into` on every micro-batch; without ``every`` all waiting files are processed, then it stops."""
-    writer = manifests.writeStream.foreachBatch(register_into(table)).option("checkpointLocation", checkpoint)
+    writer = manifests.writeStream.foreachBatch(register_into(catalogue)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

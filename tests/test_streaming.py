@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelmill.functions.columns import epoch_micros
 from reelmill.operators import jobs
 from reelmill.plans import library as lib
-from reelmill.sources.tables import SnapshotTable
+from reelmill.sources.catalog import Catalogue
 from reelmill.streaming import arrivals
 from reelmill.streaming import jobs as sj
 
@@ -89,7 +89,7 @@ def test_register_stream(spark, tmp):
         arrivals.start_register(m, table, f"{tmp}/ckpt").awaitTermination(120)
         return {r.video_id: (r.status, r.is_duplicate, r.canonical_video_id, r.created_s) for r in table.read().collect()}
 
-    table = SnapshotTable(spark, f"{tmp}/videos", CATALOG)
+    table = Catalogue(spark, f"{tmp}/videos", CATALOG, buckets=16)
     drop(1, [("a", "/a", "h1", 1, 10), ("b", "/b", "h1", 1, 11), ("c", "/c", "h2", 1, 12)])
     first = run()
     assert first == {"a": ("queued", False, None, 10), "b": ("done", True, "a", 11), "c": ("queued", False, None, 12)}
@@ -98,7 +98,7 @@ def test_register_stream(spark, tmp):
     second = run()
     assert second["d"] == ("done", True, "a", 20) and second["e"] == ("done", True, "a", 21)
     assert {k: second[k] for k in first} == first
-    table.update(lambda df: df.withColumn("status", F.when(F.col("video_id") == "c", "done").otherwise(F.col("status"))))
+    table.upsert(table.read().where("video_id = 'c'").withColumn("status", F.lit("done")))
     drop(3, [("c", "/c", "h9", 1, 30)])
     assert run()["c"] == ("done", False, None, 12)  # already processed: untouched
 
