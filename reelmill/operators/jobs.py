@@ -6,7 +6,9 @@ Events: ``job_no``, ``video_no``, ``event_id``, ``us`` (microseconds), ``stage``
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,6 +122,41 @@ def stage_timings(events: DataFrame) -> DataFrame:
     )
 
 
+# Neighbouring slots of a timing sketch differ by this factor, so a percentile is off by 1 % at most.
+SLOT_FACTOR = 1.02
+SECONDS_PER_DAY = 86_400
+
+
+def timing_sketch(events: DataFrame) -> DataFrame:
+    """Counts per ``stage``, ``day`` and ``slot`` of the logarithm of the seconds; what takes no time is in the slot NULL.
+
+    Sketches of other days or parts are merged by adding their counts. A sketch has at most some 1500 slots per stage and day between a
+    microsecond and a year, however many events there are.
+    """
+    day = F.floor(F.col("us") / (SECONDS_PER_DAY * 1_000_000)).alias("day")
+    slot = F.when(F.col("seconds") > 0, F.ceil(F.log("seconds") / math.log(SLOT_FACTOR))).cast("int").alias("slot")
+    return events.where(F.col("seconds").isNotNull()).groupBy("stage", day, slot).agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    """One sketch of all events of several."""
+    every = functools.reduce(DataFrame.unionByName, sketches)
+    return every.groupBy("stage", "day", "slot").agg(F.sum("n").alias("n"))
+
+
+def sketch_percentiles(sketch: DataFrame, shares: Sequence[float] = (0.5, 0.95), keys: Sequence[str] = ("stage",)) -> DataFrame:
+    """Per key the number of events and ``p50``, ``p95``, ...: within 1 % of the value of that rank."""
+    slots = sketch.groupBy(*keys, "slot").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("slot"))  # over the slots of a key
+    seen = slots.withColumn("upto", F.sum("n").over(along)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    value = F.coalesce(F.pow(F.lit(SLOT_FACTOR), F.col("slot")) * 2 / (1 + SLOT_FACTOR), F.lit(0.0))
+    found = [
+        F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.struct("upto", value.alias("v"))))["v"].alias(f"p{round(100 * q)}") for q in shares
+    ]
+    out = seen.groupBy(*keys).agg(F.max("total").alias("n"), *found)
+    return out.select(*keys, "n", *[round_even(F.col(f"p{round(100 * q)}"), 4).alias(f"p{round(100 * q)}") for q in shares])
+
+
 def stage_index(stage: Column) -> Column:
     """Position among the ordered stages: all of them when done or stored, 0 at the start, -1 when unknown."""
     place = F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage) - 1
@@ -142,9 +179,23 @@ def recent_jobs(events: DataFrame, size: int = RECENT_JOBS) -> DataFrame:
 
 
 def reuse_stage_output(
-    items: DataFrame, cached: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str
+    items: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], key: str, run: int = 0, rounds: int = 1
 ) -> DataFrame:
-    """Stored stage output where there is one, freshly computed output for the rest."""
-    fresh = compute(items.join(cached.select(key), key, "left_anti"))
-    kept = cached.join(items.select(key), key, "left_semi")
-    return kept.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+    """Stage output of all ``items`` (unique on ``key``): what ``path`` holds already, and the rest computed and stored there.
+
+    The items are dealt over ``rounds``, each stored before the next begins. A run that was stopped is taken up by the next one, which
+    computes only what isn't stored. ``run`` numbers the runs: the result tells in ``reused`` what an earlier one computed.
+    """
+    spark = items.sparkSession
+    schema = compute(items.limit(0)).withColumn("run", F.lit(run)).schema
+
+    def stored() -> DataFrame:
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)  # so that there is a table to read
+        return spark.read.schema(schema).parquet(path)
+
+    for r in range(rounds):
+        mine = items.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == r)
+        rest = mine.join(stored().select(key), key, "left_anti")
+        compute(rest).withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    kept = stored().join(items.select(key), key, "left_semi")
+    return kept.withColumn("reused", F.col("run") != run).drop("run")

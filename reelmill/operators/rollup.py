@@ -138,12 +138,18 @@ def nested_segments(
     return nested.groupBy(key, *parts).agg(F.sort_array(F.collect_list("s")).alias("segments"))
 
 
+# What a document says of where its item was processed, from the item's ``runtime``.
+PROVENANCE = ["os", "python", "gpu", "profile", "package_version"]
+
+
 def export_documents(
     videos: DataFrame, segments: DataFrame, timings: DataFrame, key: str = "video_no", part_segments: int | None = None
 ) -> DataFrame:
     """Result documents, one row per video: provenance, rounded lengths, ordered segments and the video summary.
 
-    ``timings`` has (video, stage, seconds); its sum is reported to one decimal. ``part_segments`` as in :func:`nested_segments`.
+    Of ``videos`` all columns are kept; ``video_id`` also gives the short ``id8``, ``duration_sec`` is rounded to two decimals (0 if it is
+    missing), and a map ``runtime`` becomes the fields of ``PROVENANCE``. ``timings`` has (video, stage, seconds): they make the map
+    ``stage_timings`` and, to one decimal, their sum. ``part_segments`` as in :func:`nested_segments`.
     """
     fields = [
         (F.col("seg_index") + 1).alias("segment"),
@@ -156,17 +162,27 @@ def export_documents(
         F.col("tags"),
         F.col("confidence"),
     ]
-    if "dominant_scene" in segments.columns:
-        fields.append(F.col("dominant_scene"))
+    fields += [F.col(c) for c in ("content_type", "subtopics", "summary", "dominant_scene") if c in segments.columns]
     if "objects" in segments.columns:
         fields.append(
             F.when(F.col("is_silent"), F.col("objects")).otherwise(F.array().cast("array<string>")).alias("objects_detected")
         )
     nested = nested_segments(segments, fields, key, part_segments)
     summary = video_rollup(segments, key)
-    spent = timings.groupBy(key).agg(round_even(F.sum("seconds"), 1).alias("pipeline_time_sec"))
+    per_stage = timings.groupBy(key, "stage").agg(F.sum("seconds").alias("seconds"))
+    stage = F.struct("stage", round_even(F.col("seconds").cast("double"), 2).alias("seconds"))
+    spent = per_stage.groupBy(key).agg(
+        round_even(F.sum("seconds"), 1).alias("pipeline_time_sec"),
+        F.map_from_entries(F.sort_array(F.collect_list(stage))).alias("stage_timings"),
+    )
     docs = videos.join(summary, key, "left").join(spent, key, "left").join(nested, key, "left")
     docs = docs.withColumn("segment_count", F.coalesce("segment_count", F.lit(0).cast("long")))
+    if "video_id" in videos.columns:
+        docs = docs.withColumn("id8", F.substring("video_id", 1, 8))
+    if "duration_sec" in videos.columns:
+        docs = docs.withColumn("duration_sec", round_even(F.coalesce("duration_sec", F.lit(0.0)), 2))
+    if "runtime" in videos.columns:
+        docs = docs.select("*", *[F.col("runtime")[c].alias(c) for c in PROVENANCE]).drop("runtime")
     return docs.withColumn("part_no", F.coalesce("part_no", F.lit(0).cast("long"))) if part_segments else docs
 
 

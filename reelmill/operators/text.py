@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import round_even, search_tokens
+from reelmill.functions.columns import dot, norm, round_even, search_tokens
+from reelmill.functions.vectors import digest_embedder
 from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, STOP_WORDS, TOP_ENTITIES, TOP_KEYWORDS
 
 
@@ -79,6 +80,28 @@ def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) ->
     )
 
 
+#: Adds ``embedding`` to texts named by the key columns: (rows, keys, text column).
+Embedder = Callable[[DataFrame, list[str], str], DataFrame]
+
+
+def keyphrases_by_embedding(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS, embedder: Embedder = digest_embedder) -> DataFrame:
+    """Words and pairs of neighbouring words, without English stop words and single characters, whose vectors are nearest to the text's.
+
+    Each distinct phrase is embedded once, whatever number of texts has it, and so is each text. ``score`` is the cosine, to six decimals,
+    ties by phrase. Phrases and texts without a usable vector have none.
+    """
+    tokens = F.filter(search_tokens(F.col("text")), lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 1))
+    found = phrase_counts(docs, key, tokens).select(key, "phrase")
+    phrases = embedder(found.select("phrase").distinct(), ["phrase"], "phrase").select("phrase", F.col("embedding").alias("of_phrase"))
+    texts = embedder(docs.select(key, "text"), [key], "text").select(key, F.col("embedding").alias("of_text"))
+    pairs = found.join(phrases, "phrase").join(texts, key)
+    length = norm(F.col("of_phrase")) * norm(F.col("of_text"))
+    score = round_even(F.try_divide(dot(F.col("of_phrase"), F.col("of_text")), length), 6)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "phrase"))
+    scored = pairs.select(key, "phrase", score.alias("score")).where(F.col("score").isNotNull())
+    return scored.withColumn("place", place).where(F.col("place") <= top)
+
+
 def entity_rollup(mentions: DataFrame, key: str = "doc_id", top: int = TOP_ENTITIES) -> DataFrame:
     """First distinct (text, label) mentions of each item in sorted order."""
     place = Window.partitionBy(key).orderBy("mention", "label")

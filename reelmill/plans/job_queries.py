@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import words
+from reelmill.functions.materialize import new_table_path
 from reelmill.operators import jobs as op
 from reelmill.operators import text as tx
 from reelmill.plans import library as lib
@@ -137,6 +138,26 @@ def stage_timings(spark, sf_dir):
     return op.stage_timings(lib.job_events(spark, sf_dir))
 
 
+@query(
+    "stage_percentiles",
+    with_views(
+        """SELECT stage, total AS n, round_even(min(v) FILTER (upto >= ceil(total*0.5::DOUBLE)), 4)::DOUBLE AS p50,
+             round_even(min(v) FILTER (upto >= ceil(total*0.95::DOUBLE)), 4)::DOUBLE AS p95
+           FROM (SELECT *, coalesce(pow(1.02::DOUBLE, slot)*2/2.02::DOUBLE, 0) AS v, sum(n) OVER (PARTITION BY stage)::BIGINT AS total,
+               sum(n) OVER (PARTITION BY stage ORDER BY slot NULLS FIRST) AS upto
+             FROM (SELECT stage, CASE WHEN seconds > 0 THEN ceil(ln(seconds)/ln(1.02::DOUBLE)) END AS slot, count(*) AS n
+               FROM job_events WHERE seconds IS NOT NULL GROUP BY ALL))
+           GROUP BY stage, total""",
+        "job_events",
+    ),
+)
+def stage_percentiles(spark, sf_dir):
+    """Median and 95th percentile of each stage, from the merged sketches of even and odd jobs."""
+    events = lib.job_events(spark, sf_dir)
+    parts = [op.timing_sketch(events.where(F.col("job_no") % 2 == k)) for k in (0, 1)]
+    return op.sketch_percentiles(op.merge_sketches(*parts))
+
+
 @query(
     "stage_progress",
     with_views(
@@ -176,7 +197,9 @@ def reuse_stage_output(spark, sf_dir):
     def count_words(df):
         return df.select("doc_id", F.size(words(F.col("text"))).alias("n_words"))
 
-    return op.reuse_stage_output(docs, count_words(docs.where("doc_id % 3 = 0")), count_words, "doc_id")
+    path = new_table_path(spark, "stage-output")
+    op.reuse_stage_output(docs.where("doc_id % 3 = 0"), path, count_words, "doc_id", run=1)
+    return op.reuse_stage_output(docs, path, count_words, "doc_id", run=2, rounds=2)
 
 
 @query(
@@ -208,6 +231,29 @@ def keyphrases(spark, sf_dir):
     return tx.keyphrases(lib.texts(spark, sf_dir).select("doc_id", "text"))
 
 
+@query(
+    "keyphrases_by_embedding",
+    f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS k FROM documents),
+         slots AS (SELECT token, ((instr(d, h[1])-1)*4096 + (instr(d, h[2])-1)*256 + (instr(d, h[3])-1)*16 + instr(d, h[4])-1) % 64 AS slot
+           FROM (SELECT token, md5(token) AS h, '0123456789abcdef' AS d FROM (SELECT DISTINCT unnest(k) AS token FROM t))),
+         text_slots AS (SELECT doc_id, slot, count(*) AS n FROM (SELECT doc_id, unnest(k) AS token FROM t) JOIN slots USING (token) GROUP BY ALL),
+         text_len AS (SELECT doc_id, sqrt(sum(n*n)::DOUBLE) AS l FROM text_slots GROUP BY doc_id),
+         u AS (SELECT doc_id, list_filter(k, lambda x: length(x) > 1 AND x NOT IN ({", ".join(repr(w) for w in STOP_WORDS)})) AS k FROM t),
+         p AS (SELECT DISTINCT doc_id, unnest(list_filter(k || list_transform(range(1, len(k)), lambda i: k[i]||' '||k[i+1]),
+                 lambda x: length(x) BETWEEN 2 AND 40)) AS phrase FROM u),
+         phrase_slots AS (SELECT phrase, slot, count(*) AS m FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS token
+           FROM (SELECT DISTINCT phrase FROM p)) JOIN slots USING (token) GROUP BY ALL),
+         phrase_len AS (SELECT phrase, sqrt(sum(m*m)::DOUBLE) AS l FROM phrase_slots GROUP BY phrase),
+         s AS (SELECT doc_id, phrase, round_even((sum(n*m)/(any_value(a.l)*any_value(b.l)))::DOUBLE, 6)::DOUBLE AS score
+               FROM p JOIN phrase_slots USING (phrase) JOIN text_slots USING (doc_id, slot) JOIN text_len a USING (doc_id)
+                 JOIN phrase_len b USING (phrase) GROUP BY doc_id, phrase)
+       SELECT doc_id, phrase, score, place::INTEGER AS place FROM (SELECT *, row_number() OVER
+         (PARTITION BY doc_id ORDER BY score DESC, phrase) AS place FROM s) WHERE place <= 20""",
+)
+def keyphrases_by_embedding(spark, sf_dir):
+    return tx.keyphrases_by_embedding(lib.texts(spark, sf_dir).select("doc_id", "text"))
+
+
 @query(
     "entity_rollup",
     """SELECT doc_id, mention, label, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mention, label)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import round_even
+from reelmill.functions.columns import round_even, stable_uuid
 from reelmill.operators import browse, rollup
 from reelmill.operators.segmentation import attach_frame_signals
 from reelmill.plans import library as lib
@@ -114,29 +114,48 @@ def dominant_scene(spark, sf_dir):
     return rollup.dominant_scene(segs, frames)
 
 
+STAGE_TIMINGS = """SELECT l_orderkey AS video_no, round_even(sum(spent)::DOUBLE, 1)::DOUBLE AS pipeline_time_sec,
+    string_agg(stage||'='||round_even(spent::DOUBLE, 2)::DECIMAL(18,2), ';' ORDER BY stage) AS stage_timings
+    FROM (SELECT l_orderkey, l_returnflag AS stage, sum(l_quantity) AS spent FROM lineitem GROUP BY ALL) GROUP BY l_orderkey"""
+
+
 @query(
     "export_documents",
     with_views(
-        """SELECT v.video_no, v.status, v.language, coalesce(r.segment_count, 0) AS segment_count, r.subject, r.grade, r.difficulty,
-             r.primary_topic, r.topics, r.all_tags, t.pipeline_time_sec, d.segments
-           FROM segment_videos v LEFT JOIN roll r USING (video_no) LEFT JOIN tim t USING (video_no) LEFT JOIN docs d USING (video_no)""",
+        """SELECT v.video_no, v.status, v.language, left(h[1:8]||'-'||h[9:12], 8) AS id8, round_even(coalesce(total/7, 0)::DOUBLE, 2)::DOUBLE AS duration_sec,
+             CASE WHEN v.video_no % 3 <> 0 THEN 'voice' ELSE 'silent' END AS tagging_path, 'linux '||v.video_no % 5 AS os, NULL::VARCHAR AS python,
+             CASE WHEN v.video_no % 2 = 0 THEN 'a100' END AS gpu, v.language AS profile, '1.'||v.video_no % 3 AS package_version,
+             coalesce(r.segment_count, 0) AS segment_count, r.subject, r.grade, r.difficulty,
+             r.primary_topic, r.topics, r.all_tags, t.pipeline_time_sec, t.stage_timings, d.segments
+           FROM segment_videos v JOIN (SELECT o_orderkey AS video_no, o_totalprice AS total,
+               sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(o_orderkey||'.mp4')) AS h FROM orders) USING (video_no)
+             LEFT JOIN roll r USING (video_no) LEFT JOIN tim t USING (video_no) LEFT JOIN docs d USING (video_no)""",
         "segments",
         "segment_videos",
         extra=ROLLUP_VIEWS
         | {
-            "tim": """SELECT l_orderkey AS video_no, round_even(sum(l_quantity)::DOUBLE, 1)::DOUBLE AS pipeline_time_sec
-                FROM lineitem GROUP BY l_orderkey""",
+            "tim": STAGE_TIMINGS,
             "docs": """SELECT video_no, string_agg((seg_index+1)||':'||start_sec::BIGINT||'-'||end_sec::BIGINT||' '||topic,
                 ';' ORDER BY seg_index) AS segments FROM segments GROUP BY ALL""",
         },
     ),
 )
 def export_documents(spark, sf_dir):
-    videos = lib.segment_videos(spark, sf_dir).select("video_no", "status", "language")
+    """The documents with lists and maps as text."""
+    n = F.col("video_no")
+    prices = lib.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_no"), (F.col("o_totalprice") / 7).cast("double").alias("duration_sec"))
+    runtime = F.create_map(
+        F.lit("os"), F.concat(F.lit("linux "), n % 5), F.lit("gpu"), F.when(n % 2 == 0, "a100"), F.lit("profile"), F.col("language"),
+        F.lit("package_version"), F.concat(F.lit("1."), n % 3),
+    )
+    videos = lib.segment_videos(spark, sf_dir).join(prices, "video_no").select(
+        "video_no", "status", "language", stable_uuid(F.concat(n, F.lit(".mp4"))).alias("video_id"), "duration_sec",
+        F.when(n % 3 != 0, "voice").otherwise("silent").alias("tagging_path"), runtime.alias("runtime"),
+    )
     timings = lib.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("video_no"), F.col("l_returnflag").alias("stage"), F.col("l_quantity").alias("seconds")
     )
-    docs = flat_lists(rollup.export_documents(videos, lib.segments(spark, sf_dir), timings))
+    docs = flat_lists(rollup.export_documents(videos, lib.segments(spark, sf_dir), timings)).drop("video_id")
     shown = F.transform(
         "segments",
         lambda s: F.concat(
@@ -144,7 +163,8 @@ def export_documents(spark, sf_dir):
             s["end"].cast("long").cast("string"), F.lit(" "), s["topic"],
         ),
     )
-    return docs.withColumn("segments", F.array_join(shown, ";"))
+    spent = F.transform(F.map_entries("stage_timings"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("decimal(18,2)")))
+    return docs.withColumn("segments", F.array_join(shown, ";")).withColumn("stage_timings", F.array_join(spent, ";"))
 
 
 @query(
