@@ -115,22 +115,32 @@ def features(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[n
     return x[new], np.searchsorted(doc[new], np.arange(len(size) + 1))
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, windowless: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct runs of 4 bytes of each text that is ``windowless`` or has few of them, and where each text's begin and end."""
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(len(size)), size)
+def distinct_runs(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of 4 bytes of the texts in ``rows`` (of the ``most`` first ones that each has), and the text of each, in order."""
+    size = np.diff(offsets)[rows]
+    count = np.where(size < GRAM, size > 0, size - GRAM + 1)
+    count = count if most is None else np.minimum(count, most)
+    text = np.repeat(np.arange(len(rows)), count)
+    place = np.arange(count.sum()) + np.repeat(offsets[:-1][rows] - (np.cumsum(count) - count), count)
     padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
-    run = np.ndarray((len(data),), "<u4", padded, strides=(1,)).astype(np.uint64)
-    left = offsets[1:][doc] - np.arange(len(data))
-    whole = left >= GRAM
-    short = (size[doc] < GRAM) & (left == size[doc])  # a text of fewer bytes is one run, told apart by its length
-    run[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
-    key = doc.astype(np.uint64) << np.uint64(34) | run | np.where(short, left % GRAM, 0).astype(np.uint64) << np.uint64(32)
-    key = np.unique(key[whole | short])
-    doc = (key >> np.uint64(34)).astype(np.int64)
-    count = np.bincount(doc, minlength=len(size))
-    kept = (windowless | (count <= FEATURES_IN_FILTER))[doc]
-    return mix(key[kept] & np.uint64((1 << 34) - 1) ^ ODD[1]), np.searchsorted(doc[kept], np.arange(len(size) + 1))
+    run = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))[place].astype(np.uint64)
+    short = np.flatnonzero(size[text] < GRAM)  # a text of fewer bytes is one run, told apart by its length
+    length = size[text[short]].astype(np.uint64)
+    run[short] = run[short] & ((np.uint64(1) << np.uint64(8) * length) - np.uint64(1)) | length << np.uint64(32)
+    key = np.unique(text.astype(np.uint64) << np.uint64(34) | run)
+    return key & np.uint64((1 << 34) - 1), rows[(key >> np.uint64(34)).astype(np.int64)]
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, windowless: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs of 4 bytes of each text that is ``windowless`` or has few of them, and where each text's begin and end.
+
+    A text whose first runs alone are too many to fit a filter isn't looked at any further.
+    """
+    n = len(offsets) - 1
+    _, text = distinct_runs(data, offsets, np.arange(n), 2 * FEATURES_IN_FILTER)
+    run, text = distinct_runs(data, offsets, np.flatnonzero(windowless | (np.bincount(text, minlength=n) <= FEATURES_IN_FILTER)))
+    kept = (windowless | (np.bincount(text, minlength=n) <= FEATURES_IN_FILTER))[text]
+    return mix(run[kept] ^ ODD[1]), np.searchsorted(text[kept], np.arange(n + 1))
 
 
 def chains(x: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
