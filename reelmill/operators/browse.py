@@ -55,7 +55,10 @@ def list_page(videos: DataFrame, segments: DataFrame, page: int = 1, size: int =
     broadcast for that, a larger one is joined like any other table.
     """
     size = max(1, size)
-    rows = videos.orderBy(F.desc("created_s"), key).offset((max(page, 1) - 1) * size).limit(size)
+    return _with_counts(videos.orderBy(F.desc("created_s"), key).offset((max(page, 1) - 1) * size).limit(size), segments, size, key)
+
+
+def _with_counts(rows: DataFrame, segments: DataFrame, size: int, key: str) -> DataFrame:
     counts = (
         segments.select(key)
         .join(F.broadcast(rows.select(key)) if size <= PAGE_SIZE_MAX else rows.select(key), key, "left_semi")
@@ -65,6 +68,43 @@ def list_page(videos: DataFrame, segments: DataFrame, page: int = 1, size: int =
     return rows.join(counts, key, "left").withColumn("segment_count", F.coalesce("segment_count", F.lit(0).cast("long")))
 
 
+# Ranges whose rows are counted to find a page, and rows of the ranges holding it that need no finer count.
+PAGE_RANGES, PAGE_ROWS = 1024, 10_000
+
+
+def list_page_by_ranges(
+    videos: DataFrame, segments: DataFrame, page: int = 1, size: int = PAGE_SIZE, key: str = "video_no", enough: int = PAGE_ROWS
+) -> DataFrame:
+    """As :func:`list_page`, for pages however deep: rows are counted per range of ``created_s`` (a whole number), and only the ranges
+    that hold the page are sorted. Ranges of over ``enough`` rows are counted again in finer steps, down to single seconds."""
+    size = max(1, size)
+    skip, within = (max(page, 1) - 1) * size, videos
+    while True:
+        low, high = within.agg(F.min("created_s"), F.max("created_s")).first()
+        if low is None:
+            break
+        step = -(-(high - low + 1) // PAGE_RANGES)
+        place = F.expr(f"(created_s - {low}L) div {step}L").alias("place")
+        counts = {r["place"]: r["n"] for r in within.groupBy(place).agg(F.count(F.lit(1)).alias("n")).collect()}  # PAGE_RANGES and null
+        places = [*sorted((p for p in counts if p is not None), reverse=True), *([None] if None in counts else [])]
+        before, held = 0, []
+        for p in places:
+            if before + counts[p] > skip and before < skip + size:
+                held.append(p)
+            before += counts[p]
+        if not held:
+            return _with_counts(videos.limit(0), segments, size, key)
+        skip -= sum(counts[p] for p in places[: places.index(held[0])])
+        named = [p for p in held if p is not None]
+        chosen = F.col("created_s").isNull() if None in held else F.lit(False)
+        if named:
+            chosen = chosen | F.col("created_s").between(low + named[-1] * step, low + named[0] * step + step - 1)
+        within = within.where(chosen)
+        if len(counts) == len(held) or step == 1 or sum(counts[p] for p in held) <= enough:
+            break
+    return _with_counts(within.orderBy(F.desc("created_s"), key).offset(skip).limit(size), segments, size, key)
+
+
 def video_detail(videos: DataFrame, segments: DataFrame, key: str = "video_no") -> DataFrame:
     """Video, ordered segments and summary in one row."""
     fields: list[Column] = [F.col(c) for c in ("seg_index", *[c for c in segments.columns if c not in (key, "seg_index")])]

@@ -253,6 +253,23 @@ def list_page(spark, sf_dir):
     return browse.list_page(v, segs, page=2)
 
 
+@query(
+    "list_page_deep",
+    with_views(
+        """SELECT video_no, status, created_s, (SELECT count(*) FROM lineitem WHERE l_orderkey = p.video_no) AS segment_count
+           FROM (SELECT *, row_number() OVER (ORDER BY created_s DESC, video_no) AS place, count(*) OVER () AS n FROM
+             (SELECT video_no, status, created_s FROM segment_videos WHERE status <> 'soft_deleted')) p
+           WHERE (place - 1)//25 = n//50""",
+        "segment_videos",
+    ),
+)
+def list_page_deep(spark, sf_dir):
+    """The page in the middle of the list."""
+    v = browse.list_videos(lib.segment_videos(spark, sf_dir).select("video_no", "status", "created_s"))
+    segs = lib.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_no"))
+    return browse.list_page_by_ranges(v, segs, page=v.count() // 50 + 1)
+
+
 @query(
     "distinct_subjects",
     with_views("SELECT DISTINCT subject FROM segments WHERE subject IS NOT NULL ORDER BY subject", "segments"),
