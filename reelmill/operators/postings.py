@@ -17,7 +17,8 @@ from reelmill.functions.columns import round_even
 from reelmill.operators.search import BM25_B, BM25_K1, KEYS, SCORE_DIGITS, _visible, query_terms
 
 BUCKETS = 64
-PARTS = 8
+# Segments of which the postings of one bucket are written by one task.
+PART_SEGMENTS, MOST_PARTS = 200_000, 256
 
 
 def bucket_of(term: str, buckets: int = BUCKETS) -> int:
@@ -32,8 +33,9 @@ def _postings(segments: DataFrame, generation: int, buckets: int) -> DataFrame:
     return counted.select("term", *KEYS, "tf", "len", F.lit(generation).alias("gen"), F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int").alias("bucket"))
 
 
-def _append(segments: DataFrame, path: str, generation: int, buckets: int, parts: int) -> None:
+def _append(segments: DataFrame, path: str, generation: int, buckets: int, parts: int | None) -> None:
     live = _visible(segments)
+    parts = parts or min(MOST_PARTS, 1 + segments.count() // PART_SEGMENTS)
     dealt = _postings(live, generation, buckets).repartition("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(parts)))
     dealt.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     live.select(*KEYS, F.size("tokens").alias("len"), F.lit(generation).alias("gen")).write.mode("append").parquet(f"{path}/lengths")
@@ -59,15 +61,18 @@ def _finish(spark: SparkSession, path: str, generation: int, finished: list[int]
     stats.withColumn("gen", F.lit(generation)).coalesce(1).write.mode("append").parquet(f"{path}/stats")
 
 
-def build_index(segments: DataFrame, path: str, buckets: int = BUCKETS, parts: int = PARTS) -> str:
-    """Index the visible segments (``video_no``, ``seg_index``, ``status``, ``tokens``) in a new folder ``path``."""
+def build_index(segments: DataFrame, path: str, buckets: int = BUCKETS, parts: int | None = None) -> str:
+    """Index the visible segments (``video_no``, ``seg_index``, ``status``, ``tokens``) in a new folder ``path``.
+
+    ``parts`` tasks share a bucket, so that no task writes all postings of a frequent term; by default more of them the more segments there are.
+    """
     segments.select("video_no", F.lit(0).alias("since")).limit(0).write.parquet(f"{path}/replaced")
     _append(segments, path, 0, buckets, parts)
     _finish(segments.sparkSession, path, 0, [])
     return path
 
 
-def update_index(segments: DataFrame, path: str, gone: DataFrame | None = None, buckets: int = BUCKETS, parts: int = PARTS) -> None:
+def update_index(segments: DataFrame, path: str, gone: DataFrame | None = None, buckets: int = BUCKETS, parts: int | None = None) -> None:
     """Replace all rows of the videos in ``segments`` by these, and drop those of the videos in ``gone`` (``video_no``).
 
     The new rows count once the last step is done, all at the same moment; what a failed update left is never read. One update at a time.
