@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 from array import array
 
 import numpy as np
@@ -22,8 +23,10 @@ from reelmill.llm.arrow import append_columns, lists
 
 # Fixed value: how the byte-level tokenizer cuts a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and fragments remembered in a task before starting afresh.
-REMEMBERED = 400_000
+#: Bytes of words or fragments and their ids remembered before starting afresh; an entry of over an eighth of them isn't remembered.
+REMEMBERED_BYTES = 40 << 20
+#: Bytes of an entry besides its key and value.
+ENTRY_BYTES = 100
 #: Bits of an id in a pair of ids; no pair is joined at rank NEVER.
 BITS = 20
 NEVER = 1 << 62
@@ -39,16 +42,22 @@ def byte_signs() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """A bounded memory of a function of one argument."""
+    """A memory of a function of one argument, bounded in bytes."""
 
     def __init__(self, function):
         super().__init__()
-        self.function = function
+        self.function, self.left = function, REMEMBERED_BYTES
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        value = self.function(key)
+        size = ENTRY_BYTES + sys.getsizeof(key) + sys.getsizeof(value)
+        if size > REMEMBERED_BYTES >> 3:
+            return value
+        if size > self.left:
             self.clear()
-        value = self[key] = self.function(key)
+            self.left = REMEMBERED_BYTES
+        self.left -= size
+        self[key] = value
         return value
 
 

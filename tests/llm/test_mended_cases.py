@@ -4,13 +4,14 @@ import itertools
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from reelmill.llm import decontaminate, fingerprint, minhash
+from reelmill.llm import bpe, decontaminate, fingerprint, minhash
 from reelmill.llm.words import ODD, mix
 
 DOC = "doc_id long, text string"
@@ -127,3 +128,14 @@ def test_fingerprints_by_definition():
 def test_ids_that_are_no_numbers_are_refused_by_name(spark):
     with pytest.raises(TypeError, match="doc_id"):
         fingerprint.compare_with_edit(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_remembered_words_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 40_000)
+    calls = []
+    memory = bpe.Remembered(lambda k: calls.append(k) or k.encode())
+    for i in range(3000):
+        assert memory[f"word {i}"] == f"word {i}".encode()
+        assert sum(bpe.ENTRY_BYTES + sys.getsizeof(k) + sys.getsizeof(v) for k, v in memory.items()) <= 40_000
+    assert 0 < len(memory) < 300 and memory["word 2999"] and len(calls) == 3000
+    assert memory["x" * 50_000] and "x" * 50_000 not in memory
