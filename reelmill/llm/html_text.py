@@ -9,7 +9,7 @@ hold such a word (``has-sidebar``, ``related-work``) mean nothing, and neither h
 named container or form that holds the bulk of the page's text stays.
 
 A null or empty page has the empty text. Broken markup never fails: open elements end with the page, stray end tags and a tag
-cut off at the end are ignored. Character references are decoded, white space (of any kind) inside a block becomes one space,
+cut off at the end are ignored; the time grows with the page's length, however its tags are nested. Character references are decoded, white space (of any kind) inside a block becomes one space,
 blocks are joined by a line feed in page order. Nothing is cut short.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +83,17 @@ def parse(page: str) -> Node:
     """The page as a tree of elements and texts, with the usual repairs of missing end tags."""
     root = at = Node("#page", "", None)
     open_tags: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # where in open_tags each tag stands
+    scopes: list[int] = []  # and where the tags of SCOPE do
+
+    def close(depth: int) -> Node:
+        for node in open_tags[depth:]:
+            places[node.tag].pop()
+            if node.tag in SCOPE:
+                scopes.pop()
+        del open_tags[depth:]
+        return open_tags[-1]
+
     place = 0
     while True:
         m = TAG.search(page, place)
@@ -97,24 +109,26 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if closing:
-            depth = next((i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i].tag == tag), 0)
-            if depth:
-                del open_tags[depth:]
-                at = open_tags[-1]
+            if places.get(tag):
+                at = close(places[tag][-1])
             continue
-        shut = CLOSES.get(tag, ()) + (("p",) if tag in BLOCK else ())
-        for i in range(len(open_tags) - 1, 0, -1):
-            if open_tags[i].tag in shut:
-                del open_tags[i:]
-                at = open_tags[-1]
-            elif open_tags[i].tag in SCOPE:
-                break
+        if shut := CLOSES.get(tag, ()) + (("p",) if tag in BLOCK else ()):
+            k = len(scopes) - 1
+            while k >= 0 and open_tags[scopes[k]].tag in shut:
+                k -= 1
+            stop = scopes[k] if k >= 0 else 0
+            standing = [(places[t], bisect_right(places[t], stop)) for t in shut if places.get(t)]
+            if ended := [where[i] for where, i in standing if i < len(where)]:
+                at = close(min(ended))
         node = Node(tag, attrs, at)
         at.parts.append(node)
         if tag in RAW:
             m = RAW[tag].search(page, place)
             place = m.end() if m else len(page)
         elif tag not in VOID:
+            places.setdefault(tag, []).append(len(open_tags))
+            if tag in SCOPE:
+                scopes.append(len(open_tags))
             open_tags.append(node)
             at = node
 
@@ -237,7 +251,8 @@ def main_text(page: str | None) -> str:
         own = 1 - sum(chars[k] for k in inner) / chars[id(node)] if chars[id(node)] else 0.0
         total[id(node)] = sum(density[k] for k in inner) + own * density[id(node)]
 
-    best = max((n for n in blocks if below(n, body)), key=lambda n: total[id(n)], default=body)
+    under = {id(n) for n in walk(body)}
+    best = max((n for n in blocks if id(n) in under), key=lambda n: total[id(n)], default=body)
     threshold, node = density[id(best)], best
     while node is not body and node.parent is not None:
         node = node.parent
@@ -247,16 +262,10 @@ def main_text(page: str | None) -> str:
         for p in node.parts:
             if type(p) is not str and id(p) in largest and total[id(largest[id(p)])] > total[id(largest[id(node)])]:
                 largest[id(node)] = largest[id(p)]
-    chosen = {id(largest[id(n)]) for n in blocks if below(n, body) and density[id(n)] >= threshold}
+    chosen = {id(largest[id(n)]) for n in blocks if id(n) in under and density[id(n)] >= threshold}
     return "\n".join(block_texts(body, chosen))
 
 
-def below(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
-
-
 def block_texts(body: Node, chosen: set[int]) -> list[str]:
     """Texts of the blocks in the chosen subtrees."""
     out: list[str] = []
