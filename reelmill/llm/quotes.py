@@ -20,6 +20,7 @@ however long it is; brothers are put in order by ranges of the whole table, so n
 from __future__ import annotations
 
 import re
+from functools import reduce
 from hashlib import md5
 from itertools import groupby
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.llm.arrow import append_columns
-from reelmill.llm.store import forget, stored
+from reelmill.llm.store import stored
 
 # Ends of lines that announce a quote.
 ANNOUNCES = re.compile(r"(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
@@ -103,20 +104,25 @@ def answered(messages: DataFrame) -> DataFrame:
 
 
 def doubled(pointers: DataFrame, add: bool) -> DataFrame:
-    """Follow ``to`` from each message (``c``, ``m``) to the end of its way, each round twice as far; with ``add``, sum ``steps``."""
-    pointers = stored(pointers, "pointers")
-    while pointers.where("to is not null").limit(1).count():
-        far = pointers.select("c", F.col("m").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("end").alias("far_end"))
-        step = pointers.join(far, ["c", "to"], "left").select(
+    """Follow ``to`` from each message (``c``, ``m``) to the end of its way, each round twice as far; with ``add``, sum ``steps``.
+
+    A message that is at its end isn't joined again, so a round works on the conversations that are longer than it sees."""
+    rounds = [stored(pointers, "pointers")]
+
+    def ended() -> DataFrame:
+        return reduce(DataFrame.unionByName, [r.where("to is null") for r in rounds])
+
+    while (going := rounds[-1].where("to is not null")).limit(1).count():
+        known = ended().unionByName(going)
+        far = known.select("c", F.col("m").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("end").alias("far_end"))
+        step = going.join(far, ["c", "to"], "left").select(
             *MESSAGE,
             F.col("far").alias("to"),
             (F.col("steps") + F.coalesce("more", F.lit(0)) if add else F.col("steps")).alias("steps"),
             F.coalesce("far_end", "end").alias("end"),
         )
-        step = stored(step, "pointers")
-        forget(pointers)
-        pointers = step
-    return pointers
+        rounds.append(stored(step, "pointers"))
+    return ended()
 
 
 def with_next(rows: DataFrame) -> DataFrame:
