@@ -31,6 +31,14 @@ STORED_FLAGS = ("_parse_error", "_recovered", "_retried", "confidence_defaulted"
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value`` evaluated once, where a plain expression would be evaluated again at each place that it stands in.
+
+    A chain of them also keeps the generated code of a stage small; large methods are left uncompiled by the JVM.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def json_body(raw: Column) -> Column:
     """Text from the first ``{`` on, without code fences; NULL when there is none."""
     text = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^\s*```(?:json)?|```\s*$", "")
@@ -40,10 +48,10 @@ def json_body(raw: Column) -> Column:
 def _strict(candidate: Column) -> Column:
     """One JSON object and nothing else as a map of its values, else NULL.
 
-    Wrapped in brackets, trailing text or a second object is a syntax error or a second element.
+    Wrapped in brackets, trailing text or a second object is a syntax error or a second element. The text is parsed once.
     """
     rows = F.from_json(F.concat(F.lit("["), candidate, F.lit("]")), "array<map<string,string>>", STRICT_JSON)
-    return F.when(F.size(rows) == 1, _last_of_each(F.get(rows, F.lit(0))))
+    return named(rows, lambda r: F.when(F.size(r) == 1, _last_of_each(F.get(r, F.lit(0)))))
 
 
 def _last_of_each(fields: Column) -> Column:
@@ -126,14 +134,17 @@ def parse_model_json(raw: Column, body: Column, strict: Column, rec: Column) ->
 
 def with_parsed(answers: DataFrame, raw: str, out: str) -> DataFrame:
     """Add the parsed struct of column ``raw``; every text is parsed once."""
-    body, strict = f"_body_{out}", f"_strict_{out}"
-    df = once(answers, body, json_body(F.col(raw)))
-    df = once(df, strict, strict_fields(F.col(body)))
-    # the fallback runs only where the strict parse failed
-    rec = f"_rec_{out}"
-    failed = F.col(body).isNotNull() & F.col(strict).isNull()
-    df = once(df, rec, F.when(failed, recovered_fields(F.col(body))))
-    return once(df, out, parse_model_json(F.col(raw), F.col(body), F.col(strict), F.col(rec))).drop(body, strict, rec)
+    col = F.col(raw)
+
+    def read(body: Column) -> Column:
+        return named(strict_fields(body), lambda strict: with_fallback(body, strict))
+
+    def with_fallback(body: Column, strict: Column) -> Column:
+        # the fallback runs only where the strict parse failed
+        failed = body.isNotNull() & strict.isNull()
+        return named(F.when(failed, recovered_fields(body)), lambda rec: parse_model_json(col, body, strict, rec))
+
+    return once(answers, out, named(json_body(col), read))
 
 
 def finalize_tags(parsed: Column, is_silent: Column) -> Column:
