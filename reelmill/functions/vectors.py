@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import norm, search_tokens
+from reelmill.functions.columns import named, norm, once, search_tokens
 
 
 def cosine_to(embedding: Column, query: Sequence[float]) -> Column:
@@ -47,18 +47,24 @@ def hashing_embedder(df: DataFrame, text_col: str, out_col: str = "embedding", d
 def digest_embedder(df: DataFrame, keys: list[str], text_col: str, out_col: str = "embedding", dim: int = 64) -> DataFrame:
     """An embedder that other engines can repeat: counts of tokens in the slot that their MD5 names, unit length; zeros for blank text.
 
-    ``keys`` name a text. Counts of a text combine before they are shuffled.
+    ``keys`` name a text. Its tokens are counted in its row, so nothing is shuffled.
     """
-    slot = F.pmod(F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int"), F.lit(dim))
-    tokens = df.select(*keys, F.explode(search_tokens(F.coalesce(text_col, F.lit("")))).alias("token"))
-    counts = tokens.groupBy(*keys, slot.alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    found = counts.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("n"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length")
-    )
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("n", i) / F.col("length"), F.lit(0.0))
-    )
-    return df.join(found, keys, "left").withColumn(out_col, each).drop("n", "length")
+
+    def slot(token: Column) -> Column:
+        return F.pmod(F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int"), F.lit(dim))
+
+    def counted(slots: Column) -> Column:
+        found = F.array_distinct(slots)
+        return F.map_from_arrays(found, F.transform(found, lambda s: (F.size(slots) - F.size(F.array_remove(slots, s))).cast("double")))
+
+    def unit(n: Column) -> Column:
+        length = F.sqrt(F.aggregate(F.map_values(n), F.lit(0.0), lambda total, x: total + x * x))
+        return named(length, lambda size: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at(n, i), size), F.lit(0.0))
+        ))
+
+    slots = F.transform(search_tokens(F.coalesce(text_col, F.lit(""))), slot)
+    return once(df, out_col, named(slots, lambda s: named(counted(s), unit)))
 
 
 def vector_quality(df: DataFrame, dim: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelmill.functions.columns import first_truthy, once, round_even, truthy
+from reelmill.functions.columns import first_truthy, named, once, round_even, truthy
 from reelmill.schemas import (
     CORE_TAG_FIELDS,
     DEFAULT_TOPIC,
@@ -31,14 +31,6 @@ STORED_FLAGS = ("_parse_error", "_recovered", "_retried", "confidence_defaulted"
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
-def named(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value`` evaluated once, where a plain expression would be evaluated again at each place that it stands in.
-
-    A chain of them also keeps the generated code of a stage small; large methods are left uncompiled by the JVM.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def json_body(raw: Column) -> Column:
     """Text from the first ``{`` on, without code fences; NULL when there is none."""
     text = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^\s*```(?:json)?|```\s*$", "")

@@ -11,10 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import dot, norm, round_even, search_tokens
+from reelmill.functions.columns import norm, round_even, search_tokens
 from reelmill.functions.vectors import digest_embedder
 from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, STOP_WORDS, TOP_ENTITIES, TOP_KEYWORDS
 
+# Counted phrases that leave a task at once; a batch of texts holds hundreds of times as many phrases as texts.
+PHRASE_ROWS = 1 << 16
+
 
 def _counts(tokens: list[str]) -> dict[str, int]:
     """Occurrences of tokens and neighbouring pairs of 2 to 40 characters in one text."""
@@ -23,16 +26,19 @@ def _counts(tokens: list[str]) -> dict[str, int]:
     return {p: n for p, n in seen.items() if PHRASE_MIN_CHARS <= len(p) <= PHRASE_MAX_CHARS}
 
 
-def phrase_counts(docs: DataFrame, key: str, tokens: Column, top: int | None = None) -> DataFrame:
-    """Count per (text, phrase) with the text's ``total``; only the ``top`` most frequent ones if given.
-
-    All phrases of a text come from its one row, so they are counted where the row is and nothing is shuffled.
-    """
+def _phrase_rows(key: str, top: int | None = None):
+    """Batches of (key, ``tokens``) to batches of counted phrases of about ``PHRASE_ROWS`` rows, whatever the texts of a batch hold."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids: list = []
             found: list[tuple[str, int, int, int]] = []
+
+            def rows(ids: list, found: list, kind=pdf[key].dtype) -> pd.DataFrame:
+                out = pd.DataFrame(found, columns=["phrase", "n", "total", "place"])
+                out.insert(0, key, pd.Series(ids, dtype=kind))
+                return out
+
             for doc, words in zip(pdf[key], pdf["tokens"], strict=True):
                 seen = _counts(words.split(" ") if words else [])
                 total = sum(seen.values())
@@ -44,14 +50,24 @@ def phrase_counts(docs: DataFrame, key: str, tokens: Column, top: int | None = N
                     ranked = [(p, n, total, i) for i, (p, n) in enumerate(best, start=1)]
                 ids.extend([doc] * len(ranked))
                 found.extend(ranked)
-            out = pd.DataFrame(found, columns=["phrase", "n", "total", "place"])
-            out.insert(0, key, pd.Series(ids, dtype=pdf[key].dtype))
-            yield out
+                if len(found) >= PHRASE_ROWS:
+                    yield rows(ids, found)
+                    ids, found = [], []
+            yield rows(ids, found)
+
+    return count
+
+
+def phrase_counts(docs: DataFrame, key: str, tokens: Column, top: int | None = None) -> DataFrame:
+    """Count per (text, phrase) with the text's ``total``; only the ``top`` most frequent ones if given.
+
+    All phrases of a text come from its one row, so they are counted where the row is and nothing is shuffled.
+    """
 
     kind = docs.schema[key].dataType.simpleString()
     # one string per text crosses to Python, not one per token
     listed = docs.select(key, F.array_join(tokens, " ").alias("tokens"))
-    return listed.mapInPandas(count, f"{key} {kind}, phrase string, n long, total long, place int")
+    return listed.mapInPandas(_phrase_rows(key, top), f"{key} {kind}, phrase string, n long, total long, place int")
 
 
 def keyword_share(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) -> DataFrame:
@@ -80,6 +96,17 @@ def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) ->
     )
 
 
+def _sparse(vector: Column) -> Column:
+    """The elements of a vector that aren't zero, with their places."""
+    placed = F.transform(vector, lambda x, i: F.struct(i.alias("at"), x.cast("double").alias("x")))
+    return F.filter(placed, lambda e: e["x"].isNull() | (e["x"] != 0))
+
+
+def _sparse_dot(a: Column, b: Column) -> Column:
+    """Inner product of a :func:`_sparse` vector and a whole one; zeros add nothing."""
+    return F.aggregate(a, F.lit(0.0), lambda acc, e: acc + e["x"] * F.get(b, e["at"]).cast("double"))
+
+
 #: Adds ``embedding`` to texts named by the key columns: (rows, keys, text column).
 Embedder = Callable[[DataFrame, list[str], str], DataFrame]
 
@@ -88,15 +115,16 @@ def keyphrases_by_embedding(docs: DataFrame, key: str = "doc_id", top: int = TOP
     """Words and pairs of neighbouring words, without English stop words and single characters, whose vectors are nearest to the text's.
 
     Each distinct phrase is embedded once, whatever number of texts has it, and so is each text. ``score`` is the cosine, to six decimals,
-    ties by phrase. Phrases and texts without a usable vector have none.
+    ties by phrase. Phrases and texts without a usable vector have none. A phrase travels to its texts as the places of its vector that
+    aren't zero.
     """
     tokens = F.filter(search_tokens(F.col("text")), lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 1))
     found = phrase_counts(docs, key, tokens).select(key, "phrase")
-    phrases = embedder(found.select("phrase").distinct(), ["phrase"], "phrase").select("phrase", F.col("embedding").alias("of_phrase"))
-    texts = embedder(docs.select(key, "text"), [key], "text").select(key, F.col("embedding").alias("of_text"))
+    vector = F.col("embedding")
+    phrases = embedder(found.select("phrase").distinct(), ["phrase"], "phrase").select("phrase", _sparse(vector).alias("of_phrase"), norm(vector).alias("phrase_norm"))
+    texts = embedder(docs.select(key, "text"), [key], "text").select(key, vector.alias("of_text"), norm(vector).alias("text_norm"))
     pairs = found.join(phrases, "phrase").join(texts, key)
-    length = norm(F.col("of_phrase")) * norm(F.col("of_text"))
-    score = round_even(F.try_divide(dot(F.col("of_phrase"), F.col("of_text")), length), 6)
+    score = round_even(F.try_divide(_sparse_dot(F.col("of_phrase"), F.col("of_text")), F.col("phrase_norm") * F.col("text_norm")), 6)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "phrase"))
     scored = pairs.select(key, "phrase", score.alias("score")).where(F.col("score").isNotNull())
     return scored.withColumn("place", place).where(F.col("place") <= top)

@@ -2,9 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from reelmill.functions.columns import dot
+from reelmill.functions.vectors import digest_embedder
 from reelmill.operators import jobs, maintenance, rollup, text
 
 SEGMENT = "video_no long, seg_index int, summary string, transcript_text string, topic string, embedding array<float>"
@@ -95,3 +98,26 @@ def test_phrases_nearest_to_the_text_by_the_callers_embedder(spark):
     assert [(r.doc_id, r.phrase) for r in got] == [(1, "green tree"), (1, "green"), (2, "green")]
     assert calls[0] == ["green", "green tree", "tree"]  # each once
     assert got[2].score == 1.0
+
+
+def test_phrases_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(text, "PHRASE_ROWS", 50)
+    texts = pd.DataFrame({"doc_id": range(100), "tokens": [" ".join(f"w{d}x{i}" for i in range(10)) for d in range(100)]})
+    out = list(text._phrase_rows("doc_id", None)(iter([texts])))
+    assert sum(map(len, out)) == 100 * 19 and max(map(len, out)) < 50 + 19
+    assert set(pd.concat(out)["doc_id"]) == set(range(100))
+
+
+def test_digest_vectors_are_made_in_the_row_of_the_text(spark):
+    docs = spark.createDataFrame([(1, "Lion tiger, lion"), (2, ""), (3, None)], "doc_id long, text string")
+    made = digest_embedder(docs, ["doc_id"], "text")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.embedding for r in made.collect()}
+    assert sorted(x for x in got[1] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and got[2] == got[3] == [0.0] * 64
+
+
+def test_sparse_product_equals_the_whole_one(spark):
+    rows = [([0.0, 0.6, 0.0, -0.8], [0.1, 0.2, 0.3, 0.4]), ([0.0, 0.0], [1.0, 2.0]), ([3.0, None], [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = df.select(text._sparse_dot(text._sparse(F.col("a")), F.col("b")).alias("x"), dot(F.col("a"), F.col("b")).alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got]
