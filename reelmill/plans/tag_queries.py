@@ -261,12 +261,13 @@ def prompt_inputs(spark, sf_dir):
     "rule_tagger",
     with_views(
         """SELECT video_no, seg_index, CASE WHEN len(w) = 0 THEN 'Sample Lesson' ELSE array_to_string(list_transform(w[1:4],
-               lambda x: upper(x[1])||lower(x[2:])), ' ') END AS topic,
+               lambda x: array_to_string(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = 1 OR x[i-1] IN ('-', '''') THEN upper(x[i])
+                 ELSE lower(x[i]) END), '')), ' ') END AS topic,
              array_to_string(list_transform(w[1:3], lambda x: lower(x)), '|') AS subtopics,
              array_to_string(list_transform(w[1:5], lambda x: lower(x)), '|') AS tags,
              CASE WHEN is_silent THEN 'animation' ELSE 'lecture' END AS content_type,
              CASE WHEN is_silent THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS confidence
-           FROM (SELECT *, regexp_extract_all(CASE WHEN is_silent THEN substr(ocr,1,400) ELSE substr(text,1,3000) END,
+           FROM (SELECT *, regexp_extract_all(CASE WHEN is_silent THEN regexp_extract(substr(ocr,1,400), '^[\\t-\\r ]*([^\\n]*)', 1) ELSE substr(text,1,3000) END,
                    '[A-Za-z][A-Za-z''-]+')[1:6] AS w FROM seen JOIN heard USING (video_no, seg_index))""",
         "frames",
         "frame_segments",
