@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.columns import epoch_micros, stable_uuid
 from reelmill.functions.materialize import new_table_path
-from reelmill.functions.ordered import Ordered, ordered_scan
+from reelmill.functions.ordered import Ordered, find_heavy, ordered_scan
 from reelmill.operators.codes import build_codes
 from reelmill.operators.postings import build_index
 from reelmill.operators.search import with_tokens
@@ -37,6 +37,9 @@ STAGE_OF_EVENT = {
     "purchase": "done",
 }
 
+# Segments that one task numbers and sums up; a segment becomes about a dozen values of its video there.
+SEGMENT_ROWS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -145,30 +148,30 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged segments: the lines of an order are the segments of a video."""
-    li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("video_no"),
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        "l_extendedprice",
-        "l_shipdate",
-        "l_quantity",
-    )
+    """Tagged segments: the lines of an order are the segments of a video.
+
+    Lines are dealt by video once, after the join with their part and into parts of about ``SEGMENT_ROWS``, so numbering them and all that is
+    grouped by video later needs no other shuffle, and a task's memory doesn't grow with the table.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "video_no")
+    rows = lines.count()  # answered from the parquet footers
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // SEGMENT_ROWS))
+    li = lines.select("video_no", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")]
     placed = ordered_scan(
-        li,
+        li.join(part, li.l_partkey == part.p_partkey).repartition(parts, "video_no"),
         ["video_no"],
         order,
         F.struct("l_linenumber", F.floor(F.col("l_partkey") / 4096).alias("part_range")),
         [Ordered("seg_no", "row_number"), Ordered("end_sec", "sum", F.col("l_quantity") * 4)],
+        find_heavy(li, ["video_no"]),
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     level = F.element_at(
         F.array(*[F.lit(x) for x in ("beginner", "intermediate", "advanced", "expert", "odd")]),
         (F.col("p_size") % 5 + 1).cast("int"),
     )
-    return placed.join(part, placed.l_partkey == part.p_partkey).select(
+    return placed.select(
         "video_no",
         (F.col("seg_no") - 1).cast("int").alias("seg_index"),
         (F.col("end_sec") - F.col("l_quantity") * 4).alias("start_sec"),
