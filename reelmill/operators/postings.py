@@ -9,7 +9,11 @@ in another folder is how to get rid of replaced rows. A term that is in most seg
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,9 @@ from reelmill.operators.search import BM25_B, BM25_K1, KEYS, SCORE_DIGITS, _visi
 
 BUCKETS = 64
 # Segments of which the postings of one bucket are written by one task.
-PART_SEGMENTS, MOST_PARTS = 200_000, 256
+PART_SEGMENTS, MOST_PARTS = 100_000, 256
+# Tokens that are counted at once.
+TOKENS_AT_ONCE = 1 << 18
 
 
 def bucket_of(term: str, buckets: int = BUCKETS) -> int:
@@ -26,17 +32,44 @@ def bucket_of(term: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of segments with their ``tokens`` to one row per segment and term, in batches of about ``TOKENS_AT_ONCE`` tokens."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // TOKENS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = batch.slice(first, end - first)
+            words = rows.column("tokens").flatten()
+            there = words.is_valid().to_numpy(zero_copy_only=False)
+            words = words.dictionary_encode()
+            if isinstance(words, pa.ChunkedArray):
+                words = words.combine_chunks()
+            row = np.repeat(np.arange(end - first), sizes[first:end])[there]
+            code = words.indices.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            width = max(1, len(words.dictionary))
+            found, tf = np.unique(row * width + code, return_counts=True)
+            row = pa.array(found // width)
+            columns = [words.dictionary.take(pa.array(found % width)), *[rows.column(k).take(row) for k in KEYS]]
+            columns += [pa.array(tf.astype(np.int32)), rows.column("len").take(row)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", *KEYS, "tf", "len"])
+
+
 def _postings(segments: DataFrame, generation: int, buckets: int) -> DataFrame:
-    """One row per segment and term; equal tokens meet in the task that makes them."""
-    tokens = segments.select(*KEYS, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    counted = tokens.groupBy(*KEYS, "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    """One row per segment and term. All tokens of a segment come from its one row, so they are counted there and nothing is shuffled."""
+    kinds = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in KEYS)
+    listed = segments.select(*KEYS, F.size("tokens").alias("len"), "tokens")
+    counted = listed.mapInArrow(_term_counts, f"term string, {kinds}, tf int, len int")
     return counted.select("term", *KEYS, "tf", "len", F.lit(generation).alias("gen"), F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int").alias("bucket"))
 
 
 def _append(segments: DataFrame, path: str, generation: int, buckets: int, parts: int | None) -> None:
     live = _visible(segments)
     parts = parts or min(MOST_PARTS, 1 + segments.count() // PART_SEGMENTS)
-    dealt = _postings(live, generation, buckets).repartition("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(parts)))
+    by = ["bucket", F.pmod(F.xxhash64(*KEYS), F.lit(parts))]
+    postings = _postings(live, generation, buckets)
+    # a large index has a task for each part of a bucket, whose postings are sorted in memory
+    dealt = postings.repartition(buckets * parts, *by) if parts > 1 else postings.repartition(*by)
     dealt.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     live.select(*KEYS, F.size("tokens").alias("len"), F.lit(generation).alias("gen")).write.mode("append").parquet(f"{path}/lengths")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,16 @@ def test_index_of_nothing(spark, tmp):
     assert postings.index_topk(spark, path, "a", 5).count() == 0
     postings.update_index(spark.createDataFrame([(1, 0, "done", ["a"])], SEGMENT), path)
     assert postings.index_topk(spark, path, "a", 5).where(F.col("score") > 0).count() == 1
+
+
+def test_tokens_are_counted_in_their_row_by_bounded_batches(spark, monkeypatch):
+    rows = [(1, 0, ["b", "a", None, "b"], 4), (1, 1, [], 0), (2, 0, None, -1), (3, 0, ["a"] * 5 + ["b", "été"], 7), (4, 0, ["c"], 1)]
+    monkeypatch.setattr(postings, "TOKENS_AT_ONCE", 4)
+    kind = pa.schema([("video_no", pa.int64()), ("seg_index", pa.int32()), ("tokens", pa.list_(pa.string())), ("len", pa.int32())])
+    batch = pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
+    out = list(postings._term_counts(iter([batch])))
+    got = sorted(tuple(r.values()) for b in out for r in b.to_pylist())
+    assert got == [("a", 1, 0, 1, 4), ("a", 3, 0, 5, 7), ("b", 1, 0, 2, 4), ("b", 3, 0, 1, 7), ("c", 4, 0, 1, 1), ("été", 3, 0, 1, 7)]
+    assert len(out) > 1
+    plan = postings._postings(spark.createDataFrame([(1, 0, "done", ["a"])], SEGMENT), 0, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
