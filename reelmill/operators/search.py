@@ -26,6 +26,8 @@ HIT_FIELDS = ["start_sec", "end_sec", "topic", "subject", "grade_level", "summar
 SCORE_DIGITS = 6
 # Queries scored in one pass over the segments; more queries take more passes.
 BATCH_QUERIES = 4096
+# What a task holds at once: scores of a batch of rows, best rows of its queries, and rows that groups of queries go over.
+TILE_SCORES, KEPT_ROWS, HELD_ROWS = 1 << 21, 1 << 20, 1 << 18
 BM25_K1, BM25_B = 1.2, 0.75
 
 
@@ -102,47 +104,79 @@ def _query_blocks(queries: DataFrame) -> Iterator[list[Row]]:
         yield block
 
 
+def _held(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[list[pd.DataFrame]]:
+    """Batches in lists of about ``rows`` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _best_of_partition(block: list[Row], k: int, near=None, read=_stacked):
-    """``near`` gives for a matrix of queries and each list number whether the query looks into the list; without it each sees all."""
+    """``near`` gives for a matrix of queries and each list number whether the query looks into the list; without it each sees all.
+
+    Scores are made in tiles of ``TILE_SCORES``. Where the ``k`` rows of all queries would be more than ``KEPT_ROWS``, rows are held
+    ``HELD_ROWS`` at a time and the queries go over them one group after another.
+    """
     ids = np.array([r["query_no"] for r in block])
     matrix = np.array([r["vector"] for r in block], dtype=np.float64)
     looks = near(matrix) if near and len(matrix) else None
     if len(matrix):
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = (matrix / np.where(lengths == 0, 1, lengths)).T
+    group = max(1, KEPT_ROWS // k)
 
-    def best_of_partition(batches):
+    def best_of(batches, queries):
         none = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        kept = [none] * len(ids)
+        kept = {q: none for q in queries}
         for pdf in batches:
-            if pdf.empty or not len(ids):
+            if pdf.empty or not len(queries):
                 continue
             m = read(pdf)
             n = np.linalg.norm(m, axis=1)
             usable = n > 0
             m, video, seg = m[usable] / n[usable, None], *(pdf.loc[usable, c].to_numpy(np.int64) for c in KEYS)
             if looks is None:
-                parts = [(np.arange(len(m)), np.arange(len(ids)))]
+                parts = [(np.arange(len(m)), queries)]
             else:
                 number = pdf.loc[usable, "list_no"].to_numpy()
-                parts = [(np.flatnonzero(number == x), np.flatnonzero(looks[:, x])) for x in np.unique(number)]
+                parts = [(np.flatnonzero(number == x), queries[looks[queries, x]]) for x in np.unique(number)]
             for rows, asked in parts:
                 if not len(rows) or not len(asked):
                     continue
-                scores = np.round(m[rows] @ matrix[:, asked], SCORE_DIGITS)
-                if len(scores) > k:  # everything that can still be among the k, ties included
-                    edges = np.partition(scores, -k, axis=0)[-k]
-                else:
-                    edges = np.full(len(asked), -np.inf)
-                for c, q in enumerate(asked):
-                    i = np.flatnonzero(scores[:, c] >= edges[c])
-                    s, v, g = (np.concatenate(both) for both in zip(kept[q], (scores[i, c], video[rows[i]], seg[rows[i]])))
-                    first = np.lexsort((g, v, -s))[:k]
-                    kept[q] = (s[first], v[first], g[first])
-        for q, (s, v, g) in enumerate(kept):
+                own, tile = (m[rows], video[rows], seg[rows]), max(1, TILE_SCORES // len(rows))
+                for start in range(0, len(asked), tile):
+                    keep_best(kept, asked[start : start + tile], *own)
+        for q, (s, v, g) in kept.items():
             if len(s):
                 yield pd.DataFrame({"video_no": v, "seg_index": g.astype(np.int32), "score": s, "query_no": ids[q]})
 
+    def keep_best(kept, asked, m, video, seg):
+        scores = np.round(m @ matrix[:, asked], SCORE_DIGITS)
+        if len(scores) > k:  # everything that can still be among the k, ties included
+            edges = np.partition(scores, -k, axis=0)[-k]
+        else:
+            edges = np.full(len(asked), -np.inf)
+        for c, q in enumerate(asked):
+            i = np.flatnonzero(scores[:, c] >= edges[c])
+            s, v, g = (np.concatenate(both) for both in zip(kept[q], (scores[i, c], video[i], seg[i])))
+            first = np.lexsort((g, v, -s))[:k]
+            kept[q] = (s[first], v[first], g[first])
+
+    def best_of_partition(batches):
+        every = np.arange(len(ids))
+        if group >= len(ids):
+            yield from best_of(batches, every)
+            return
+        for held in _held(batches, HELD_ROWS):
+            for start in range(0, len(ids), group):
+                yield from best_of(held, every[start : start + group])
+
     return best_of_partition
 
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF_DIR
 
@@ -69,3 +70,35 @@ def test_registered_search_at_every_size(spark, size):
     assert {r.query_no for r in rows} == {r.vec_id for r in asked.collect()}
     assert rows[0].recall >= 0.9 and rows[0].looked_up < 0.1
     print(size, rows[0].recall, rows[0].looked_up)
+
+
+def test_tiles_and_groups_of_queries_hold_little_and_give_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(300, 8)), 1)
+    block = [{"query_no": i, "vector": list(v)} for i, v in enumerate(vectors[:40])]
+    batches = [pd.DataFrame({"video_no": range(i, i + 60), "seg_index": 0, "embedding": list(vectors[i : i + 60]), "list_no": np.arange(60) % 3}) for i in range(0, 300, 60)]
+    shapes, real = [], np.partition
+
+    def seen(a, *args, **more):
+        shapes.append(a.size)
+        return real(a, *args, **more)
+
+    monkeypatch.setattr(np, "partition", seen)
+
+    def best(near, k=20):
+        out = pd.concat(search._best_of_partition(block, k, near)(iter(batches)))
+        out = out.sort_values(["query_no", "score", "video_no"], ascending=[True, False, True]).groupby("query_no").head(k)
+        return out.reset_index(drop=True)
+
+    for near in (None, lambda m: (np.arange(3)[None, :] != (np.arange(len(m)) % 3)[:, None])):
+        with monkeypatch.context() as m:
+            whole = best(near)
+            m.setattr(search, "TILE_SCORES", 200)
+            m.setattr(search, "KEPT_ROWS", 100)
+            m.setattr(search, "HELD_ROWS", 120)
+            shapes.clear()
+            small = best(near)
+            assert not shapes or max(shapes) <= 200
+        pd.testing.assert_frame_equal(whole, small)
+        assert len(whole) == 40 * 20
+    assert search.TILE_SCORES * 8 <= 1 << 24
