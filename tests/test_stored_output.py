@@ -121,3 +121,11 @@ def test_sparse_product_equals_the_whole_one(spark):
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
     got = df.select(text._sparse_dot(text._sparse(F.col("a")), F.col("b")).alias("x"), dot(F.col("a"), F.col("b")).alias("y")).collect()
     assert [r.x for r in got] == [r.y for r in got]
+
+
+def test_window_vectors_need_no_shuffle_of_tokens(spark):
+    import __spark_entry__ as project
+
+    plan = project.queries()["window_embedding"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "slot" in plan
+    assert not [line for line in plan.splitlines() if ("Aggregate" in line or "Exchange" in line) and "slot" in line]
