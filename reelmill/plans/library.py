@@ -40,6 +40,9 @@ STAGE_OF_EVENT = {
 # Segments that one task numbers and sums up; a segment becomes about a dozen values of its video there.
 SEGMENT_ROWS = 100_000
 
+# Characters of documents whose lines one task numbers and joins; with one more per document they bound its lines too.
+TEXT_CHARS = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,8 +81,15 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time-stamped lines of every document; 16 characters take one second."""
-    lines = texts(spark, sf_dir).select(
+    """Time-stamped lines of every document; 16 characters take one second.
+
+    Documents are dealt by id once, into parts of about ``TEXT_CHARS`` whatever the scan and the table are like, so numbering their lines and all
+    that is grouped by video later needs no other shuffle, and a task's memory doesn't grow with the table.
+    """
+    docs = table(spark, sf_dir, "documents")
+    size = docs.agg(F.sum(F.coalesce("n_chars", F.lit(0)) + 1)).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // TEXT_CHARS))
+    lines = docs.repartition(parts, "doc_id").select(
         F.col("doc_id").alias("video_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     timed = ordered_scan(
