@@ -53,7 +53,15 @@ def first_truthy(*texts: Column) -> Column:
 
 
 def round_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
+    """Half-even on the scaled double, as DuckDB and numpy round; decimal digits, as ``bround`` reads them, take other sides near a half.
+
+    A value whose scaling overflows stays as it is.
+    """
+    scale = float(10**digits)
+    return named(
+        x.cast("double"),
+        lambda v: F.when(F.abs(v * scale) == float("inf"), v).otherwise(F.rint(v * scale) / scale),
+    )
 
 
 def words(text: Column) -> Column:

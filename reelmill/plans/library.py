@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.functions.columns import epoch_micros, stable_uuid
+from reelmill.functions.columns import epoch_micros, round_even, stable_uuid
 from reelmill.functions.materialize import new_table_path
 from reelmill.functions.ordered import Ordered, find_heavy, ordered_scan
 from reelmill.operators.codes import build_codes
@@ -356,5 +356,5 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select(
         F.col("label").alias("label_no"),
         F.concat(F.lit("label-"), F.col("label").cast("string")).alias("label"),
-        F.transform("m", lambda x: F.bround(x, 6)).alias("vector"),
+        F.transform("m", lambda x: round_even(x, 6)).alias("vector"),
     )

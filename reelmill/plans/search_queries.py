@@ -26,7 +26,7 @@ def mean_vector(spark, sf_dir):
     """Query vector: the mean of all vectors, to 6 decimals (one small row)."""
     vectors = lib.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("v"))
     mean = vectors.select(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
-    return mean.select(F.transform("m", lambda x: F.bround(x, 6))).first()[0]
+    return mean.select(F.transform("m", lambda x: round_even(x, 6))).first()[0]
 
 
 MEAN = {

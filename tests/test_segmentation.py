@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reelmill.functions.columns import round_even
 from reelmill.functions.ordered import find_heavy
 from reelmill.functions.span_merges import merge_shortest_first
 from reelmill.operators import segmentation as op
@@ -278,3 +280,12 @@ def test_cap_with_spans_of_no_length(spark):
     counts = {r.video_no: r["count"] for r in got.groupBy("video_no").count().collect()}
     assert 5 <= counts[1] <= 20 and 5 <= counts[2] <= 20
     assert got.where("video_no = 1").agg(F.min("start_sec"), F.max("end_sec")).first()[:] == (0.0, 600.0)
+
+
+def test_bounds_next_to_a_half_are_rounded_as_in_sql(spark):
+    got = by_video(op.cover(spans(spark, {1: [(0, 150), (150, 300)]}), lengths(spark, {1: 362.6875})))
+    assert got[1] == [(0.0, 150.0), (150.0, 256.35), (256.35, 362.69)]
+    values = [k / 200 for k in range(-60_000, 60_000, 7)] + [k / 80 for k in range(20_001)] + [1e308, -1e308, float("inf"), -0.001, None]
+    rounded = spark.createDataFrame([(x,) for x in values], "x double").select("x", round_even(F.col("x"), 2).alias("y")).collect()
+    want = duckdb.execute("SELECT round_even(unnest(?::DOUBLE[]), 2)", [[r.x for r in rounded]]).fetchall()
+    assert [r.y for r in rounded] == [y for (y,) in want]
