@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.columns import named, norm, once, search_tokens
 
+#: Slots of the digest embedder.
+DIGEST_DIM = 64
+
 
 def cosine_to(embedding: Column, query: Sequence[float]) -> Column:
     """Cosine similarity of an array column to one query vector; NULL for zero or missing vectors.
@@ -44,7 +47,7 @@ def hashing_embedder(df: DataFrame, text_col: str, out_col: str = "embedding", d
     return unit.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_unit")
 
 
-def digest_embedder(df: DataFrame, keys: list[str], text_col: str, out_col: str = "embedding", dim: int = 64) -> DataFrame:
+def digest_embedder(df: DataFrame, keys: list[str], text_col: str, out_col: str = "embedding", dim: int = DIGEST_DIM) -> DataFrame:
     """An embedder that other engines can repeat: counts of tokens in the slot that their MD5 names, unit length; zeros for blank text.
 
     ``keys`` name a text. Its tokens are counted in its row, so nothing is shuffled.

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import norm, round_even, search_tokens
-from reelmill.functions.vectors import digest_embedder
+from reelmill.functions.phrases import Phrases, Words, best_rows, text_slices
+from reelmill.functions.vectors import DIGEST_DIM, digest_embedder
 from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, STOP_WORDS, TOP_ENTITIES, TOP_KEYWORDS
 
 # Counted phrases that leave a task at once; a batch of texts holds hundreds of times as many phrases as texts.
 PHRASE_ROWS = 1 << 16
+_STOPPED = pa.array(STOP_WORDS)
 
 
 def _counts(tokens: list[str]) -> dict[str, int]:
@@ -76,6 +82,11 @@ def keyword_share(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS)
     return counts.select(key, "phrase", round_even(F.col("n") / F.col("total"), 3).alias("score"), "place")
 
 
+def _joined_tokens(text: Column) -> Column:
+    """:func:`search_tokens` with a blank between them, without a string for each."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) -> DataFrame:
     """Phrases without English stop words, ranked by TF-IDF (to six decimals) within each text, ties by phrase.
 
@@ -107,6 +118,27 @@ def _sparse_dot(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, e: acc + e["x"] * F.get(b, e["at"]).cast("double"))
 
 
+def _nearest_by_digest(batch: pa.RecordBatch, texts: pa.Array, key: str, top: int) -> pa.RecordBatch:
+    """:func:`keyphrases_by_embedding` of texts by whole counts of tokens in slots: a cosine is one division, and ties are exact."""
+    words = Words(texts)
+    names = words.vocabulary.cast(pa.binary()).to_pylist()
+    slot = np.frombuffer(b"".join([hashlib.md5(w).digest()[:2] for w in names]), ">u2").astype(np.int64) % DIGEST_DIM
+    counts = np.bincount(words.text * DIGEST_DIM + slot[words.word], minlength=len(texts) * DIGEST_DIM).reshape(-1, DIGEST_DIM)
+    wanted = ~np.asarray(pc.is_in(words.vocabulary, _STOPPED)) & (np.asarray(pc.utf8_length(words.vocabulary)) > 1)
+    found = Phrases(words.keep(wanted[words.word]))
+    single = found.second < 0
+    one, two = slot[found.first], slot[found.second]
+    text, phrase = found.text, found.phrase
+    inner = counts[text, one[phrase]] + np.where(single[phrase], 0, counts[text, two[phrase]])
+    size = np.sqrt(np.where(single, 1, np.where(one == two, 4, 2)))
+    score = np.round(inner / (np.sqrt((counts * counts).sum(1))[text] * size[phrase]), 6)
+    rows, place = best_rows(text, score, top)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(key).take(pa.array(text[rows])), found.strings(phrase[rows]), pa.array(score[rows]), pa.array(place.astype(np.int32))],
+        names=[key, "phrase", "score", "place"],
+    )
+
+
 #: Adds ``embedding`` to texts named by the key columns: (rows, keys, text column).
 Embedder = Callable[[DataFrame, list[str], str], DataFrame]
 
@@ -114,10 +146,20 @@ Embedder = Callable[[DataFrame, list[str], str], DataFrame]
 def keyphrases_by_embedding(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS, embedder: Embedder = digest_embedder) -> DataFrame:
     """Words and pairs of neighbouring words, without English stop words and single characters, whose vectors are nearest to the text's.
 
-    Each distinct phrase is embedded once, whatever number of texts has it, and so is each text. ``score`` is the cosine, to six decimals,
-    ties by phrase. Phrases and texts without a usable vector have none. A phrase travels to its texts as the places of its vector that
-    aren't zero.
+    ``score`` is the cosine, to six decimals, ties by phrase. Phrases and texts without a usable vector have none. The digest embedder's
+    vectors follow from the tokens, so each text is done in its row and nothing is shuffled. By any other embedder each distinct phrase is
+    embedded once, whatever number of texts has it, and so is each text; a phrase travels to its texts as the places of its vector
+    that aren't zero.
     """
+    if embedder is digest_embedder:
+        kind = docs.schema[key].dataType.simpleString()
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, texts in text_slices(batch, "tokens"):
+                    yield _nearest_by_digest(part, texts, key, top)
+
+        return docs.select(key, _joined_tokens(F.col("text")).alias("tokens")).mapInArrow(nearest, f"{key} {kind}, phrase string, score double, place int")
     tokens = F.filter(search_tokens(F.col("text")), lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 1))
     found = phrase_counts(docs, key, tokens).select(key, "phrase")
     vector = F.col("embedding")

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from reelmill.functions import phrases
 from reelmill.functions.columns import dot
 from reelmill.functions.vectors import digest_embedder
 from reelmill.operators import jobs, maintenance, rollup, text
@@ -116,6 +119,39 @@ def test_digest_vectors_are_made_in_the_row_of_the_text(spark):
     assert sorted(x for x in got[1] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and got[2] == got[3] == [0.0] * 64
 
 
+def test_phrases_nearest_by_digest_are_found_in_the_row_of_the_text(spark):
+    rng = random.Random(5)
+    words = ["the", "x", "é", "éa", "a1", "lion", "Tiger", "bear", "longest" * 6, *(f"w{i}" for i in range(300))]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 30, 400]))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (90, None), (91, " -- "), (92, ", lion;lion ")], "doc_id long, text string")
+    made = text.keyphrases_by_embedding(docs, top=7)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    joined = text.keyphrases_by_embedding(docs, top=7, embedder=lambda *a: digest_embedder(*a))
+    assert made.dtypes == joined.dtypes
+    got = sorted(map(tuple, made.collect()))
+    assert got == sorted(map(tuple, joined.collect())) and {d for d, *_ in got} > {92}
+
+
+def test_texts_are_gone_over_in_slices(monkeypatch):
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 1000)
+    batch = pa.record_batch({"doc_id": range(7), "tokens": ["a" * n for n in (0, 400, 5, 2000, 0, 0)] + [None]})
+    made = list(phrases.text_slices(batch, "tokens"))
+    assert [b.column("doc_id").to_pylist() for b, _ in made] == [[0, 1], [2], [3], [4, 5, 6]]
+    assert [x for _, t in made for x in t.to_pylist()] == [x or "" for x in batch.column("tokens").to_pylist()]
+
+
+def test_best_rows_of_each_group_keep_the_order_of_ties():
+    rng = np.random.default_rng(4)
+    group = np.sort(rng.integers(0, 9, 3000))
+    group = group[np.concatenate([np.flatnonzero(group == 4)[:3], np.flatnonzero(group != 4)])]
+    group.sort()
+    score = rng.integers(0, 40, len(group)) / 8
+    rows, place = phrases.best_rows(group, score, 5)
+    want = [(int(r), k) for g in range(9) for k, r in enumerate(sorted(np.flatnonzero(group == g), key=lambda r: (-score[r], r))[:5], start=1)]
+    assert list(zip(rows.tolist(), place.tolist(), strict=True)) == want
+    assert not len(phrases.best_rows(group[:0], score[:0], 5)[0])
+
+
 def test_sparse_product_equals_the_whole_one(spark):
     rows = [([0.0, 0.6, 0.0, -0.8], [0.1, 0.2, 0.3, 0.4]), ([0.0, 0.0], [1.0, 2.0]), ([3.0, None], [1.0, 1.0])]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
