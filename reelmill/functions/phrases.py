@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS
 #: Bytes of text worked on at once; a longer text is a slice of its own. Each text counts as ``TEXT_COST`` bytes more.
 SLICE_BYTES = 4 << 20
 TEXT_COST = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def joined_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -81,6 +83,15 @@ class Phrases:
         row, self.n = np.unique(owner * max(len(keys), 1) + place, return_counts=True)
         self.text, self.phrase = np.divmod(row, max(len(keys), 1))
 
+    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 16 bits of hash of each phrase; the same phrase has the same ones in any batch."""
+        raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in self.vocabulary.cast(pa.binary()).to_pylist()])
+        a, b = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+        one, two, pair = self.first, self.second, self.second >= 0
+        wide = np.where(pair, a[one] * _ODD + b[two], a[one])
+        narrow = np.where(pair, b[one] * _ODD + a[two], b[one]) >> np.uint64(48)
+        return wide, narrow.astype(np.uint16)
+
     def strings(self, phrases: np.ndarray) -> pa.Array:
         first = self.vocabulary.take(pa.array(self.first[phrases]))
         second = self.second[phrases]
@@ -108,3 +119,28 @@ def best_rows(group: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarra
     place = np.arange(len(rows)) - np.repeat(opens, np.diff(opens, append=len(rows))) + 1
     best = place <= top
     return rows[best], place[best]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first: bytes that are zero in all of them are nothing once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def sum_by_key(wide: np.ndarray, narrow: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``counts`` over the rows with its hashes."""
+    order = np.argsort(wide)
+    opens = np.diff(wide[order]) != 0
+    other = narrow[order][1:] != narrow[order][:-1]
+    if (other & ~opens).any():  # phrases that only the narrow hash tells apart may lie mixed
+        order = np.lexsort((narrow, wide))
+        opens = np.diff(wide[order]) != 0
+        other = narrow[order][1:] != narrow[order][:-1]
+    starts = np.flatnonzero(np.concatenate([[True], opens | other]))
+    total = np.add.reduceat(counts[order], starts)
+    out = np.empty_like(counts)
+    out[order] = np.repeat(total, np.diff(starts, append=len(order)))
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import pairwise
@@ -16,12 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.columns import norm, round_even, search_tokens
-from reelmill.functions.phrases import Phrases, Words, best_rows, text_slices
+from reelmill.functions.phrases import Phrases, Words, best_rows, from_planes, joined_texts, planes, sum_by_key, text_slices
 from reelmill.functions.vectors import DIGEST_DIM, digest_embedder
 from reelmill.schemas import PHRASE_MAX_CHARS, PHRASE_MIN_CHARS, STOP_WORDS, TOP_ENTITIES, TOP_KEYWORDS
 
 # Counted phrases that leave a task at once; a batch of texts holds hundreds of times as many phrases as texts.
 PHRASE_ROWS = 1 << 16
+# Bytes of texts whose phrases ask for their document frequencies together.
+BLOCK_BYTES = 8 << 20
+_ASKED = ["part", "block", "steps", "narrow", "own"]
 _STOPPED = pa.array(STOP_WORDS)
 
 
@@ -87,24 +91,85 @@ def _joined_tokens(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _without_stop_words(texts: pa.Table | pa.RecordBatch) -> Phrases:
+    words = Words(joined_texts(texts.column("tokens")))
+    return Phrases(words.keep(~np.asarray(pc.is_in(words.vocabulary, _STOPPED), bool)[words.word]))
+
+
+def _ask(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """What a block of texts asks for: its distinct phrases by hash, in ranges of the hash, with the number of its texts that have each."""
+
+    def ask(block: pa.Table) -> pa.Table:
+        found = _without_stop_words(block)
+        wide, narrow = found.hashed()
+        order = np.argsort(wide, kind="stable")
+        wide, narrow = wide[order], narrow[order]
+        own = np.bincount(found.phrase, minlength=len(wide))[order].astype(np.uint32)
+        step = np.diff(wide, prepend=np.uint64(0))
+        part = ((wide >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        step[starts] = wide[starts]
+        rows = list(zip(starts.tolist(), np.append(starts[1:], len(part))[: len(starts)].tolist(), strict=True))
+        columns = [pa.array([planes(x[i:j]) for i, j in rows], pa.binary()) for x in (step, narrow, own)]
+        return pa.table([pa.array(part[starts]), block.column("block")[:1].take(pa.array([0] * len(rows), pa.int64())), *columns], names=_ASKED)
+
+    return ask
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """The document frequency of all that blocks ask for in a range of the hash, in the order of each request."""
+
+    def read(name: str, kind: str) -> list[np.ndarray]:
+        return [from_planes(x, kind) for x in asked.column(name).to_pylist()]
+
+    steps = read("steps", "<u8")
+    wide, narrow, own = np.concatenate([np.cumsum(s) for s in steps]), np.concatenate(read("narrow", "<u2")), np.concatenate(read("own", "<u4")).astype(np.uint64)
+    at = np.cumsum([0, *map(len, steps)]).tolist()
+    df = sum_by_key(wide, narrow, own)
+    found = pa.array([planes(df[i:j]) for i, j in zip(at, at[1:])], pa.binary())
+    return pa.table([asked.column("block"), asked.column("part"), found], names=["block", "part", "df"])
+
+
+def _rank_by_tfidf(key: str, top: int, size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Ranks the phrases of a block of texts by the answers to what :func:`_ask` asked for it."""
+
+    def rank(block: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _without_stop_words(block)
+        order = np.argsort(found.hashed()[0], kind="stable")
+        df = np.empty(len(order), np.int64)
+        df[order] = np.concatenate([np.zeros(0, np.int64), *(from_planes(x, "<u8") for x in answers.sort_by("part").column("df").to_pylist())])
+        frequencies, at = np.unique(df, return_inverse=True)
+        weight = np.array([math.log((size + 1) / (n + 1)) for n in frequencies.tolist()])[at]
+        text, phrase = found.text, found.phrase
+        score = np.round(found.n / found.total[text] * weight[phrase], 6)
+        group = pc.fill_null(block.column(key).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)[text] + 1
+        if len(np.unique(group)) < len(np.unique(text)):  # texts with the same key are ranked together
+            together = np.lexsort((phrase, group))
+            text, phrase, score, group = text[together], phrase[together], score[together], group[together]
+        rows, place = best_rows(group, score, top)
+        ids = block.column(key).take(pa.array(text[rows]))
+        return pa.table([ids, found.strings(phrase[rows]), pa.array(score[rows]), pa.array(place.astype(np.int32))], names=[key, "phrase", "score", "place"])
+
+    return rank
+
+
 def keyphrases(docs: DataFrame, key: str = "doc_id", top: int = TOP_KEYWORDS) -> DataFrame:
     """Phrases without English stop words, ranked by TF-IDF (to six decimals) within each text, ties by phrase.
 
-    The document frequencies are one row per phrase; a very common phrase is skewed on the other side of that
-    join only, which adaptive execution splits.
+    Texts are dealt by key over blocks of about ``BLOCK_BYTES``. A block asks for the document frequency of each of its distinct phrases once,
+    by 80 bits of hash; the requests are dealt by ranges of the hash, summed and answered in the same order. So a (text, phrase) pair is
+    never a row, and the phrases of a block are counted where its texts are, before they ask and again to be ranked.
     """
-    tokens = F.filter(search_tokens(F.col("text")), lambda t: ~t.isin(STOP_WORDS))
-    tf = phrase_counts(docs, key, tokens).drop("place")
-    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    size = docs.agg(F.count(F.lit(1)).alias("size")).scalar()
-    score = round_even(F.col("n") / F.col("total") * F.log((size + 1) / (F.col("df") + 1)), 6)
-    place = Window.partitionBy(key).orderBy(F.desc("score"), "phrase")
-    return (
-        tf.join(df, "phrase")
-        .select(key, "phrase", score.alias("score"))
-        .withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= top)
-    )
+    size, length = docs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(cores, -(-(length or 0) // BLOCK_BYTES))
+    parts = max(cores, blocks // 2)
+    dealt = docs.select(key, _joined_tokens(F.col("text")).alias("tokens"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_ask(parts), "part long, block long, steps binary, narrow binary, own binary")
+    answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(_answer, "block long, part long, df binary").repartition(blocks, "block")
+    kind = docs.schema[key].dataType.simpleString()
+    ranked = dealt.groupBy("block").cogroup(answers.groupBy("block"))
+    return ranked.applyInArrow(_rank_by_tfidf(key, top, size), f"{key} {kind}, phrase string, score double, place int")
 
 
 def _sparse(vector: Column) -> Column:

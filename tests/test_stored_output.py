@@ -1,6 +1,9 @@
 """Stage output that a second run takes up, percentiles from sketches, documents with all fields, keyphrases by a caller's embedder."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -132,6 +135,41 @@ def test_phrases_nearest_by_digest_are_found_in_the_row_of_the_text(spark):
     assert got == sorted(map(tuple, joined.collect())) and {d for d, *_ in got} > {92}
 
 
+def test_keyphrases_ask_by_blocks_and_no_pair_of_text_and_phrase_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(text, "BLOCK_BYTES", 400)
+    rng = random.Random(7)
+    words = ["the", "of", "é", "x", "lion", "Tiger", "long" * 12, *(f"w{i}" for i in range(60))]
+    rows = [(k % 45, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 9, 80])))) for k in range(50)] + [(90, None), (None, "lion w1 w2"), (None, "w2 lion"), (91, "the - of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = text.keyphrases(docs, top=6)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "phrase" in line]
+    assert made.dtypes == [("doc_id", "bigint"), ("phrase", "string"), ("score", "double"), ("place", "int")]
+    stop = set(text.STOP_WORDS)
+    counts = [text._counts([w for w in re.split("[^a-zé0-9]+", (t or "").lower()) if w and w not in stop]) for _, t in rows]
+    df = Counter(p for c in counts for p in c)
+    want = Counter()
+    for key in {k for k, _ in rows}:
+        mine = [(p, round_6(n / sum(c.values()) * math.log((len(rows) + 1) / (df[p] + 1)))) for (k, _), c in zip(rows, counts, strict=True) if k == key for p, n in c.items()]
+        want.update((key, p, score, place) for place, (p, score) in enumerate(sorted(mine, key=lambda x: (-x[1], x[0]))[:6], start=1))
+    assert Counter(map(tuple, made.collect())) == want
+    none = spark.createDataFrame([(1, None), (2, "the")], "doc_id long, text string")
+    assert text.keyphrases(none).collect() == text.keyphrases(none.where("doc_id > 2")).collect() == []
+
+
+def round_6(x):
+    return float(np.round(x, 6))
+
+
+def test_document_frequencies_are_told_apart_by_both_hashes():
+    wide, narrow = np.array([9, 5, 9, 9, 1 << 63, 9, 5], np.uint64), np.array([1, 0, 2, 1, 3, 2, 0], np.uint16)
+    assert phrases.sum_by_key(wide, narrow, np.arange(1, 8, dtype=np.uint64)).tolist() == [5, 9, 9, 5, 5, 9, 9]
+    assert phrases.from_planes(phrases.planes(wide), "<u8").tolist() == wide.tolist()
+    a, b = (phrases.Phrases(phrases.Words(pa.array(t))) for t in (["b a b", "c"], ["z", "b a", "a b"]))
+    hashes = [dict(zip(x.strings(np.arange(len(x.first))).to_pylist(), zip(*(h.tolist() for h in x.hashed()), strict=True), strict=True)) for x in (a, b)]
+    assert sorted(hashes[0]) == ["a b", "b a"] and hashes[0]["a b"] == hashes[1]["a b"] and hashes[0]["b a"] == hashes[1]["b a"] != hashes[0]["a b"]
+
+
 def test_texts_are_gone_over_in_slices(monkeypatch):
     monkeypatch.setattr(phrases, "SLICE_BYTES", 1000)
     batch = pa.record_batch({"doc_id": range(7), "tokens": ["a" * n for n in (0, 400, 5, 2000, 0, 0)] + [None]})
